@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tapeweave.llm.bpe import round_trip
 from tapeweave.llm.common import table
 from tapeweave.llm.exact_dedup import exact_dedup
 from tapeweave.llm.mixing import mix
+from tapeweave.llm.near_dedup import near_dedup
 from tapeweave.llm.quality import quality_scores
 
 
@@ -16,6 +18,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -24,8 +30,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_mixing, op7_exact_dedup, op9_quality)
+    own = (op2_mixing, op3_bpe, op7_exact_dedup, op9_quality, op10_near_dedup)
     return {f.__name__: f for f in own}
 
 
