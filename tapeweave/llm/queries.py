@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from tapeweave.llm.bpe import round_trip
 from tapeweave.llm.common import table
 from tapeweave.llm.exact_dedup import exact_dedup
+from tapeweave.llm.fingerprints import fingerprints
 from tapeweave.llm.mixing import mix
 from tapeweave.llm.near_dedup import near_dedup
 from tapeweave.llm.quality import quality_scores
+from tapeweave.llm.warc import through_archives
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,10 +24,18 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return through_archives(spark, table(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,7 +45,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_mixing, op3_bpe, op7_exact_dedup, op9_quality, op10_near_dedup)
+    own = (op2_mixing, op3_bpe, op5_fingerprints, op7_exact_dedup, op8_warc, op9_quality, op10_near_dedup)
     return {f.__name__: f for f in own}
 
 
