@@ -10,6 +10,7 @@ from tapeweave.llm.bpe import round_trip
 from tapeweave.llm.common import table
 from tapeweave.llm.exact_dedup import exact_dedup
 from tapeweave.llm.fingerprints import fingerprints
+from tapeweave.llm.html_text import extract
 from tapeweave.llm.mixing import mix
 from tapeweave.llm.near_dedup import near_dedup
 from tapeweave.llm.quality import quality_scores
@@ -28,6 +29,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -45,7 +50,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_mixing, op3_bpe, op5_fingerprints, op7_exact_dedup, op8_warc, op9_quality, op10_near_dedup)
+    own = (op2_mixing, op3_bpe, op5_fingerprints, op6_html_text, op7_exact_dedup, op8_warc, op9_quality, op10_near_dedup)
     return {f.__name__: f for f in own}
 
 
