@@ -13,10 +13,15 @@ from tapeweave.llm.fingerprints import fingerprints
 from tapeweave.llm.html_text import extract
 from tapeweave.llm.mixing import mix
 from tapeweave.llm.near_dedup import near_dedup
+from tapeweave.llm.pii import pseudonymised
 from tapeweave.llm.quality import quality_scores
 from tapeweave.llm.warc import through_archives
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -50,7 +55,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_mixing, op3_bpe, op5_fingerprints, op6_html_text, op7_exact_dedup, op8_warc, op9_quality, op10_near_dedup)
+    own = (op1_pii, op2_mixing, op3_bpe, op5_fingerprints, op6_html_text, op7_exact_dedup, op8_warc, op9_quality, op10_near_dedup)
     return {f.__name__: f for f in own}
 
 
