@@ -15,6 +15,7 @@ from tapeweave.llm.mixing import mix
 from tapeweave.llm.near_dedup import near_dedup
 from tapeweave.llm.pii import pseudonymised
 from tapeweave.llm.quality import quality_scores
+from tapeweave.llm.substring_dedup import repeated_passages
 from tapeweave.llm.warc import through_archives
 
 
@@ -30,6 +31,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
@@ -55,7 +60,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_pii, op2_mixing, op3_bpe, op5_fingerprints, op6_html_text, op7_exact_dedup, op8_warc, op9_quality, op10_near_dedup)
+    own = (op1_pii, op2_mixing, op3_bpe, op4_substring_dedup, op5_fingerprints, op6_html_text, op7_exact_dedup, op8_warc, op9_quality, op10_near_dedup)
     return {f.__name__: f for f in own}
 
 
