@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,3 +44,13 @@ def text_of(column: str = "text") -> Column:
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def packed(df: DataFrame, column: str = "text") -> DataFrame:
+    """df with a text column, without nulls, compressed to binary before a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array([zlib.compress(x.as_py().encode(), 1) for x in batch[c]], pa.binary()) if c == column else batch[c] for c in batch.schema.names], batch.schema.names)
+
+    return df.mapInArrow(run, T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == column else f for f in df.schema.fields]))
