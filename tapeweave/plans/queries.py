@@ -16,6 +16,7 @@ from tapeweave.functions import ticks
 from tapeweave.operators import audit, book, flow, heatmap, liquidity, sequence, signals, snapshots
 from tapeweave.plans.sql import BUY, MEASURES, SELL, SIGNED, over_views, total
 from tapeweave.sources import tables, testdata, wire
+from tapeweave.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 HOUR = 3_600_000
@@ -938,6 +939,58 @@ def _(s, d):
     return audit.replay_outcome(statuses(s, d), sequence.classify_trades(testdata.repeated_trades(s, d)), final(s, d))
 
 
+# --- Streams: the given events as micro-batches, drained, with what the batch forms give ----------
+
+
+def _folder(s: SparkSession) -> str:
+    return f"{s.conf.get('spark.checkpoint.dir', None) or '/tmp'}/tapeweave-stream/{uuid.uuid4().hex}"
+
+
+def _stream(name: str, make: Query, run: Callable[[DataFrame], DataFrame], sql: str | None = None, finish: Callable[[DataFrame], DataFrame] = lambda x: x) -> None:
+    def query_(s, d):
+        path = _folder(s)
+        return finish(streams.drained(run(streams.replayed(s, make(s, d), f"{path}/in")), path))
+
+    query(name, sql)(query_)
+
+
+@query("S-24_raw_stream", "SELECT 'trade' AS stream_type, count(*) AS n FROM trades UNION ALL SELECT 'depth', count(*) FROM levels")
+def _(s, d):
+    path = _folder(s)
+    testdata.raw(s, d).write.parquet(f"{path}/in")
+    return streams.drained(tables.raw_stream(s, f"{path}/in"), path).groupBy("stream_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("R-01_stream_bronze", "SELECT 'order_book_updates' AS name, count(*) AS n, CAST(sum(quantity) AS BIGINT) AS quantity FROM levels UNION ALL SELECT 'trades', count(*), CAST(sum(quantity) AS BIGINT) FROM trades WHERE seq % 62 <> 0 AND order_type <> 'NA'")
+def _(s, d):
+    path = _folder(s)
+    streams.stream_bronze(streams.replayed(s, testdata.raw(s, d), f"{path}/in"), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    count = lambda t: tables.read(s, f"{path}/out", t).groupBy(F.lit(t).alias("name")).agg(F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("quantity"))
+    return count(tables.UPDATES).unionByName(count(tables.TRADES))
+
+
+_stream(
+    "R-02_stream_flow", testdata.trades, lambda rows: streams.stream_flow(rows, HOUR),
+    "SELECT * FROM hflow WHERE bucket + 3600000 <= (SELECT max(ts_ms) FROM trades) - 900000 AND bucket < 1706600000000",
+    lambda x: x.where("bucket < 1706600000000"),
+)
+_stream("R-03_stream_sweeps", testdata.trades, lambda rows: streams.stream_sweeps(rows, SCALED), "SELECT * REPLACE (round(dominance, 6) AS dominance, round(confidence, 6) AS confidence) FROM sw", lambda x: rounded(x, "dominance", "confidence"))
+_stream("R-04_stream_replenishment", lambda s, d: book.with_seeds(testdata.levels(s, d), testdata.snapshot_levels(s, d)), lambda rows: streams.on_time(streams.stream_replenishment(rows, SCALED.replenishment_window)))
+_stream("R-05_stream_sequence", lambda s, d: sequence.headers(testdata.levels(s, d)).unionByName(testdata.snapshots(s, d).select("session_id", "symbol", "seq", F.col("last_update_id").alias("snapshot_id")), allowMissingColumns=True), lambda rows: streams.on_time(streams.stream_sequence(rows)))
+_stream("R-06_stream_dedup", testdata.repeated_trades, lambda rows: streams.on_time(streams.stream_dedup(rows)), CLASSIFIED.format(window=4096) + "SELECT * FROM c")
+
+
+@query("R-07_stream_frame_diff", "SELECT session_id, symbol, price, arg_max(buy_volume, bucket) AS buy_volume FROM hflow GROUP BY ALL")
+def _(s, d):
+    path = _folder(s)
+    streams.stream_frame_diff(streams.replayed(s, testdata.trades(s, d), f"{path}/in"), path, f"{path}/checkpoint", SCALED).awaitTermination()
+    held = None
+    for i in range(3):
+        diff = s.read.parquet(f"{path}/diff/{i}")
+        held = heatmap.apply_diff(diff.limit(0) if held is None else held, diff)
+    return held.select("session_id", "symbol", "price", "buy_volume")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
