@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeweave.llm.common import parts, text_of
+from tapeweave.llm.common import fresh, parts, text_of
 
 LEVELS, GAMMA = 40, 2.0
 SHARD = 100_000  # digests at most, about
@@ -142,12 +142,10 @@ def exact_dedup(docs: DataFrame, history_below: int | None = None) -> DataFrame:
     )
 
 
-def _id() -> Column:
-    return F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id")
-
-
 def keep_distinct(docs: DataFrame) -> DataFrame:
     """The documents that exact_dedup keeps, whole and with their columns; text goes through one shuffle."""
-    kept = exact_dedup(docs).where("kept").select(_id(), F.unhex("text_sha256").alias("_digest"))
-    keyed = docs.withColumns({"_id": _id(), "_digest": F.unhex(F.sha2(text_of(), 256))})
-    return keyed.join(kept, ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"]).drop("_id", "_digest")
+    number, digest = fresh(docs, "_id", "_digest")
+    of = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    kept = exact_dedup(docs).where("kept").select(of.alias(number), F.unhex("text_sha256").alias(digest))
+    keyed = docs.withColumns({number: of, digest: F.unhex(F.sha2(text_of(), 256))})
+    return keyed.join(kept, [number, digest], "left_semi").dropDuplicates([number, digest]).drop(number, digest)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeweave.llm.common import cut, parts, text_of
+from tapeweave.llm.common import cut, parts, small_batches, text_of
 
 BUCKETS, WINDOW = 256, 5
 MOST_LENGTH, MOST_RATIO = 48, 8  # bounds of the length and ratio differences
@@ -135,6 +135,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     Null text counts as empty. One shuffle ranges the rows by doc_id; a range hands only its first
     and last text on.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
     ranged = rows.repartitionByRange(2 * parts(docs.sparkSession), *order).sortWithinPartitions(*order, "text")

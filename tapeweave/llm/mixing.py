@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeweave.llm.common import cut, text_of
+from tapeweave.llm.common import cut, fresh, text_of
 
 WORD = r"[^\x20\x09-\x0D]+"
 CAP = 3.0
@@ -127,8 +127,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = CAP,
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = CAP, seed: int = 17) -> DataFrame:
     """The mix itself: each document as often as mix takes it, with its columns."""
-    keys = {"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_source": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "_size": F.regexp_count(text_of(), F.lit(WORD)).cast("long")}
+    names = fresh(docs, "_id", "_source", "_size", "_copies", "_copy")
     taken = mix(docs, weights, cap, seed).where("copies > 0").dropDuplicates(["doc_id", "source", "size"])
-    taken = taken.select(keys["_id"].alias("_id"), keys["_source"].alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
-    many = docs.withColumns(keys).join(taken, list(keys))
-    return many.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(docs.columns)
+    number, source = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+    taken = taken.select(*(c.alias(n) for c, n in zip((number, source, F.col("size"), F.col("copies")), names, strict=False)))
+    keyed = docs.withColumns({names[0]: number, names[1]: source, names[2]: F.regexp_count(text_of(), F.lit(WORD)).cast("long")})
+    many = keyed.join(taken, names[:3]).withColumn(names[4], F.explode(F.sequence(F.lit(1).cast("long"), names[3])))
+    return many.drop(*names)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeweave.llm.common import cut, text_of
+from tapeweave.llm.common import cut, fresh, small_batches, text_of
 
 KEY = "tapeweave"  # production callers pass their own
 ATTEMPTS = 32
@@ -289,26 +289,30 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     Texts are read whole. The draws of a second or later attempt reach their rows by a join on the
     row's text, broadcast only if counted small.
     """
+    small_batches(docs.sparkSession)
+    redrawn_of, row_of = fresh(docs, "_redrawn", "_row")
     redrawn = surrogates(docs, key).where("attempt > 0").select("kind", "value", "attempt")
     redrawn = cut(redrawn)
     few = redrawn.count()
     if not few:
-        return _replaced(docs.withColumn("_redrawn", F.lit(None).cast("array<struct<kind:string,value:string,attempt:int>>")), docs, key)
+        return _replaced(docs.withColumn(redrawn_of, F.lit(None).cast("array<struct<kind:string,value:string,attempt:int>>")), docs, key, redrawn_of)
 
     def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = sorted({(row, k, v) for row, text in zip(batch["_row"].to_pylist(), batch["text"], strict=True) for _, _, k, v in found(text.as_py())})
             yield pa.record_batch([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["_row", "kind", "value"])
 
-    row = F.xxhash64(text_of()).alias("_row")
+    row = F.xxhash64(text_of()).alias("_row")  # of this inner table; the documents' own is row_of
     where = docs.select(row, text_of().alias("text")).mapInArrow(spots, "_row long, kind string, value string")
     small = F.broadcast(redrawn) if few <= SMALL else redrawn
     by_row = cut(where.join(small, ["kind", "value"]).distinct().groupBy("_row").agg(F.collect_set(F.struct("kind", "value", "attempt")).alias("_redrawn")))
-    by_row = F.broadcast(by_row) if by_row.count() <= SMALL else by_row
-    return _replaced(docs.withColumn("_row", F.xxhash64(text_of())).join(by_row, "_row", "left").drop("_row"), docs, key)
+    few_rows = by_row.count() <= SMALL
+    by_row = by_row.withColumnsRenamed({"_row": row_of, "_redrawn": redrawn_of})
+    by_row = F.broadcast(by_row) if few_rows else by_row
+    return _replaced(docs.withColumn(row_of, F.xxhash64(text_of())).join(by_row, row_of, "left").drop(row_of), docs, key, redrawn_of)
 
 
-def _replaced(rows: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+def _replaced(rows: DataFrame, docs: DataFrame, key: str, redrawn_of: str) -> DataFrame:
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("n_entities", T.LongType())])
 
@@ -316,7 +320,7 @@ def _replaced(rows: DataFrame, docs: DataFrame, key: str) -> DataFrame:
         memo: dict[tuple, str] = {}
         for batch in batches:
             texts, sizes = [], []
-            for text, redrawn in zip(batch["text"], batch["_redrawn"], strict=True):
+            for text, redrawn in zip(batch["text"], batch[redrawn_of], strict=True):
                 text = text.as_py()
                 out, at, n = [], 0, 0
                 later = {(x["kind"], x["value"]): x["attempt"] for x in redrawn.as_py() or []}
@@ -333,4 +337,4 @@ def _replaced(rows: DataFrame, docs: DataFrame, key: str) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if c == "text" else batch[c] for c in names]
             yield pa.record_batch([*columns, pa.array(np.array(sizes, np.int64))], [*names, "n_entities"])
 
-    return rows.select(*names, "_redrawn").mapInArrow(run, schema)
+    return rows.select(*names, redrawn_of).mapInArrow(run, schema)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeweave.llm.common import text_of
+from tapeweave.llm.common import fresh, small_batches, text_of
 from tapeweave.llm.words import slices, split
 
 FIT_ROWS = 20_000  # labelled rows that a fit uses at most; the only bound here
@@ -132,9 +132,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     return fit(x[order], y[order])
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column _score, 0 to 1; null and empty texts are scored as well."""
-    name = "_score"
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with a column name, 0 to 1; null and empty texts are scored as well."""
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     columns = docs.columns
 
@@ -143,6 +142,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             parts = [model.score(features(data, offsets)) for _, _, data, offsets in slices(batch["text"])]
             yield pa.record_batch([*batch.columns, pa.array(np.concatenate(parts) if parts else np.zeros(0))], [*columns, name])
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 
@@ -153,9 +153,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     rows are repeated; other columns are ignored. Without labels of both kinds the score is constant.
     """
     out = scored(docs.select("doc_id", "text"), train(docs, labels, fit_rows))
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The documents with a score of at least 0.5, with their columns."""
-    return scored(docs, train(docs, labels, fit_rows)).where("_score >= 0.5").select(docs.columns)
+    (name,) = fresh(docs, "score")
+    return scored(docs, train(docs, labels, fit_rows), name).where(F.col(name) >= 0.5).drop(name)
