@@ -100,8 +100,8 @@ def fit(x: np.ndarray, good: np.ndarray, seed: int = 17, steps: int = 600, rate:
         w -= rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     s = x @ w
     quantiles = np.quantile(s, np.linspace(0, 1, 1001))
-    right = [((s[up] >= q).mean() + (s[down] < q).mean()) / 2 for q in quantiles]
-    best = np.flatnonzero(np.isclose(right, max(right), atol=1e-12))
+    right = [(s[up] >= q).sum() + (s[down] < q).sum() for q in quantiles]
+    best = np.flatnonzero(np.equal(right, max(right)))
     return Model(w, mean, scale, float((quantiles[best[0]] + quantiles[best[-1]]) / 2))
 
 
