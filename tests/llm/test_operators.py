@@ -483,3 +483,25 @@ def test_pipeline_stages(spark):
         else:
             assert out.count() == docs.count() and out.where("size(ids) <> n_tokens").count() == 0
             assert sorted(r.decoded for r in out.collect()) == sorted(r.text for r in docs.collect())
+
+
+def test_contraction_finds_components(spark):
+    rng = random.Random(8)
+    pairs = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)] + [(f"s{i}", "s0") for i in range(1, 40)] + [(f"r{rng.randrange(80)}", f"r{rng.randrange(80)}") for _ in range(60)]
+    parent = {x: x for p in pairs for x in p}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((top(a), top(b)))
+        parent[b] = a
+    linked = {x for a, b in pairs if a != b for x in (a, b)}
+    links = spark.createDataFrame(pairs, "node string, centre string")
+    got = {r.node: r.root for r in near_dedup.contract(links, len(pairs)).collect()}
+    assert got == {x: top(x) for x in linked}
+    half = near_dedup.contract(links.where("node < 'r'"), 60)
+    assert {r.node: r.root for r in near_dedup.merge_roots(half, links.where("node >= 'r'")).collect()} == got
+    assert near_dedup.contract(links.where("false"), 1).count() == 0
