@@ -19,6 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tapeweave.llm.common import small_batches
 from tapeweave.llm.words import slices
 
 # Fixed values of this kind of vocabulary: white space as Unicode defines it, and the pattern of a pretoken.
@@ -223,6 +224,13 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield batch.slice(row, n), [raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
+def _encoded(tool: Encoder, texts: list[str]) -> tuple[pa.Array, pa.Array, list[bytes]]:
+    packed = tool.encode(texts)
+    sizes = np.array([len(p) // 4 for p in packed], np.int64)
+    flat = pa.array(np.frombuffer(b"".join(packed), "<i4"))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat), pa.array(sizes), packed
+
+
 def encode(docs: DataFrame, path: str | None = None, names: tuple[str, ...] = ("ids", "n_tokens")) -> DataFrame:
     """docs with ids (array of int) and n_tokens. Null text counts as empty, which has no ids."""
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.ArrayType(T.IntegerType())), T.StructField(names[1], T.LongType())])
@@ -230,12 +238,26 @@ def encode(docs: DataFrame, path: str | None = None, names: tuple[str, ...] = ("
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path)
         for part, texts in _texts(batches):
-            packed = tool.encode(texts)
-            sizes = np.array([len(p) // 4 for p in packed], np.int64)
-            flat = pa.array(np.frombuffer(b"".join(packed), "<i4"))
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
-            yield pa.record_batch([*part.columns, ids, pa.array(sizes)], [*part.schema.names, *names])
+            ids, sizes, _ = _encoded(tool, texts)
+            yield pa.record_batch([*part.columns, ids, sizes], [*part.schema.names, *names])
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, schema)
+
+
+def encode_and_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """docs without text, with ids, n_tokens and decoded (the text of the ids), in one pass through Python."""
+    rest = [f for f in docs.schema.fields if f.name != "text"]
+    schema = T.StructType([*rest, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = encoder(path)
+        for part, texts in _texts(batches):
+            ids, sizes, packed = _encoded(tool, texts)
+            decoded = pa.array([tool.decode(p) for p in packed], pa.string())
+            yield pa.record_batch([*(part[f.name] for f in rest), ids, sizes, decoded], schema.names)
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 
@@ -268,4 +290,5 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
             columns = [part["doc_id"], pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array([digest(p) for p in packed], pa.string()), pa.array([digest(tool.decode(p).encode()) for p in packed], pa.string())]
             yield pa.record_batch(columns, schema.names)
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, schema)
