@@ -25,6 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from tapeweave.llm.common import shared_dir
 
 CHUNK = 1 << 16
+LEVEL = 2  # of gzip
 # Fixed values of the format, WARC/1.1.
 VERSION = b"WARC/1.1"
 TYPE, ID, URI, DATE, LENGTH, DIGEST, REFERS = "WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Date", "Content-Length", "WARC-Payload-Digest", "WARC-Refers-To"
@@ -185,7 +186,7 @@ def record(row: dict, packed: bool) -> bytes:
     data = b"\r\n".join(head) + b"\r\n\r\n" + body + b"\r\n\r\n"
     if not packed:
         return data
-    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     return z.compress(data) + z.flush()
 
 
@@ -214,12 +215,11 @@ def register(spark: SparkSession) -> None:
 
 
 def base32_of_hex(digest) -> F.Column:
-    """Upper-case base 32 of a 40-digit hex column: five bits at a time."""
-    bits = F.lpad(F.conv(F.substring(digest, 1, 10), 16, 2), 40, "0")
-    for at in (11, 21, 31):
-        bits = F.concat(bits, F.lpad(F.conv(F.substring(digest, at, 10), 16, 2), 40, "0"))
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-    return F.concat(*[F.substring(F.lit(letters), F.conv(F.substring(bits, 5 * i + 1, 5), 2, 10).cast("int") + 1, F.lit(1)) for i in range(32)])
+    """Upper-case base 32 of a 40-digit hex column: four numbers of 40 bits, eight letters each."""
+    letters = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    parts = F.transform(F.array(*[F.lit(at) for at in (1, 11, 21, 31)]), lambda at: F.conv(F.substring(digest, at, F.lit(10)), 16, 10).cast("bigint"))
+    letter = lambda x, i: F.substring(letters, (F.shiftright(x, 35 - 5 * i).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda x: F.concat(*[letter(x, i) for i in range(8)])), "")
 
 
 def archive(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
