@@ -377,6 +377,20 @@ def test_repeats_within_a_host_go_where_no_article_is_marked(spark):
     assert got[10] == f"{words(90, 99)}\n{boiler}" and got[20] == boiler
 
 
+def test_repeats_decide_inside_a_marked_article_too(spark):
+    notice, quote, story = words(100, 1), words(100, 2), words(400, 3)
+    own = [words(200, 60 + i) for i in range(6)]
+    rows = [(i, f"http://h.example/{i}", f"<body><article><p>{own[i]}</p><div>{notice}</div><blockquote>{quote}</blockquote></article></body>") for i in range(4)]
+    rows += [(4, "http://h.example/4", f"<body><div>{own[4]}</div><div>{notice}</div><div class=story>a short teaser</div></body>")]
+    rows += [(5 + i, f"http://h.example/{5 + i}", f"<article><p>{story}</p><p>{own[5][i:]}</p></article>") for i in range(2)]
+    got = {r.page_id: r.text for r in html_text.extract(pages(spark, rows)).collect()}
+    assert all(got[i] == f"{own[i]}\n{quote}" for i in range(4))
+    assert got[4] == f"{own[4]}\na short teaser"
+    assert got[5] == f"{story}\n{own[5]}"
+    found = html_text.blocks(rows[0][2])
+    assert notice in html_text.main_blocks(found, [0.0] * len(found))  # without the array, the row is another
+
+
 def test_pages_odd_rows(spark):
     rows = [(1, None, None), (2, "not a url", ""), (3, "http://x", "<p>a"), (3, "http://x", "<p>a"), (None, "http://x", "plain"), (5, "http://x", "<p>" + "w " * 100_000)]
     got = html_text.extract(pages(spark, rows)).collect()
