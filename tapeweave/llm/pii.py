@@ -6,12 +6,15 @@ character class at which place) is a number in mixed radix; a keyed Feistel perm
 range, walked until it lands inside, is its surrogate, so two values of one format never share one.
 Check digits are made right again. Names map within their gender and script. The distinct entities
 of the corpus and their surrogates then meet in one grouping: a surrogate that is a real value of
-the corpus, or that two entities share, is drawn again with the next tweak until none is left.
+the corpus, or that two entities share, is drawn again with the next tweak. After ATTEMPTS draws a
+walk passes every value of the format once, and given names get syllables, so the search ends with
+a free surrogate, or with an error where the format has none.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -24,7 +27,9 @@ from pyspark.sql import types as T
 from tapeweave.llm.common import cut, fresh, small_batches, text_of
 
 KEY = "tapeweave"  # production callers pass their own
-ATTEMPTS = 32
+ATTEMPTS = 32  # draws before the walk through a format
+WIDE = 1_000_000  # draws of one round at most, if each open entity has one
+NO_END = 1 << 62
 SMALL = 50_000  # rows of redrawn entities that are broadcast at most; more are joined by shuffle
 
 # Titles that tell gender, given names to find, and given names to put in their place.
@@ -42,6 +47,7 @@ STAND_IN = {
     ("cyrillic", "m"): "Богдан Вадим Глеб Егор Захар Игнат Лев Матвей".split(),
 }
 SYLLABLES = {"latin": "ba be do fa ga hol ka lan mo nir ol pe ra so tal ur ve win yo zar".split(), "cyrillic": "ба ве го да жи за ка ло ма не пи ро са ту ша".split()}
+ENDING = {("latin", "f"): "ina", ("latin", "m"): "ion", ("cyrillic", "f"): "ина", ("cyrillic", "m"): "ион"}
 SEX = {name: (script, sex) for (script, sex), names in GIVEN.items() for name in names}
 
 CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+"
@@ -99,13 +105,23 @@ def _alphabets(value: str) -> list[str]:
     return list(map(_alphabet, value))
 
 
-def reshaped(value: str, tweak: str, key: str, alphabets: list[str] | None = None) -> str:
+def walked(number: int, size: int, tweak: str, key: str, step: int = 0) -> int:
+    """A keyed permutation of range(size); steps 1 to size of one number pass every place once."""
+    place = permuted(number, size, tweak, key)
+    return permuted((place + step) % size, size, tweak + "|walk", key) if step else place
+
+
+def _sizes(alphabets: list[str]) -> int:
+    return math.prod(map(len, alphabets))
+
+
+def reshaped(value: str, tweak: str, key: str, alphabets: list[str] | None = None, step: int = 0) -> str:
     """value with every letter and digit replaced by one of its class."""
     alphabets = alphabets or _alphabets(value)
     number, size = 0, 1
     for c, a in zip(value, alphabets, strict=True):
         number, size = number * len(a) + a.index(c), size * len(a)
-    number = permuted(number, size, tweak + "|" + "".join(a[0] + a[-1] for a in alphabets), key)
+    number = walked(number, size, tweak + "|" + "".join(a[0] + a[-1] for a in alphabets), key, step)
     out = []
     for a in reversed(alphabets):
         number, i = divmod(number, len(a))
@@ -136,21 +152,26 @@ def _script(word: str) -> str:
 
 
 def stand_in(kind: str, value: str, attempt: int, key: str) -> str:
-    """The surrogate of a canonical value at an attempt, canonical as well."""
-    tweak = f"{kind}|{attempt}"
+    """The surrogate of a canonical value at an attempt, canonical as well.
+
+    From ATTEMPTS on, attempts walk through the value's format: room(kind, value) of them meet each of its values.
+    """
+    step = max(0, attempt - ATTEMPTS + 1)
+    tweak = f"{kind}|{min(attempt, ATTEMPTS)}"
     if kind == "email":
         local, _, domain = value.partition("@")
         host, _, top = domain.rpartition(".")
         known = re.fullmatch(r"(?:[\w-]+\.)*example\.(?:com|net|org)", domain)
-        where = domain if known else f"{reshaped(host.replace('.', '-'), tweak + top, key)}.example"
-        return f"{reshaped(local, tweak + domain, key)}@{where}"
+        hosts, locals_ = (x + 1 for x in divmod(step - 1, _sizes(_alphabets(local)))) if step else (0, 0)
+        where = domain if known else f"{reshaped(host.replace('.', '-'), tweak + top, key, step=hosts)}.example"
+        return f"{reshaped(local, tweak + domain, key, step=locals_)}@{where}"
     if kind == "ip":
         octets = [int(x) for x in value.split(".")]
         number, size = 0, 1
         for x in octets:
             if 0 < x < 255:
                 number, size = number * 254 + x - 1, size * 254
-        number = permuted(number, size, tweak + "".join("x" if 0 < x < 255 else str(x) for x in octets), key)
+        number = walked(number, size, tweak + "".join("x" if 0 < x < 255 else str(x) for x in octets), key, step)
         for i in range(3, -1, -1):
             if 0 < octets[i] < 255:
                 number, x = divmod(number, 254)
@@ -158,33 +179,65 @@ def stand_in(kind: str, value: str, attempt: int, key: str) -> str:
         return ".".join(map(str, octets))
     if kind == "card":
         off = (int(value[-1]) - luhn(value[:-1])) % 10
-        body = value[0] + reshaped(value[1:-1], tweak + value[0], key, ["0123456789"] * (len(value) - 2))
+        body = value[0] + reshaped(value[1:-1], tweak + value[0], key, ["0123456789"] * (len(value) - 2), step)
         return body + str((luhn(body) + off) % 10)
     if kind == "iban":
-        body = reshaped(value[4:], tweak + value[:2], key, list(map(_alphabet, value[4:])))
+        body = reshaped(value[4:], tweak + value[:2], key, list(map(_alphabet, value[4:])), step)
         rest = int("".join(str(int(c, 36)) for c in body + value[:2] + "00")) % 97
         return f"{value[:2]}{98 - rest:02d}{body}"
     if kind == "phone":
-        return reshaped(value, tweak, key, [CLASSES[0][i in (0, 3) and c != "0" :] for i, c in enumerate(value)])
+        return reshaped(value, tweak, key, _phone(value), step)
     if kind == "ssn":
-        return reshaped(value, tweak, key)
+        return reshaped(value, tweak, key, step=step)
     if kind.startswith("given"):
         _, script, sex = kind.split("-")
         names, pool = GIVEN[script, sex], STAND_IN[script, sex]
         if value in names:
             shift = permuted(0, len(pool), tweak, key)
-            return pool[(permuted(names.index(value), len(names), tweak, key) + shift) % len(pool)]
+            name = pool[(permuted(names.index(value), len(names), tweak, key) + shift) % len(pool)]
+            if attempt < ATTEMPTS:
+                return name
+            return name + _syllables(script, f"{kind}|{attempt}|{value}", 1 + step // 64, key) + ENDING[script, sex]
     if kind.startswith(("given", "surname")):
-        syllables = SYLLABLES[kind.split("-")[1]]
-        size = len(syllables) ** 5
-        number = int.from_bytes(hashlib.blake2b(f"{tweak}|{value}".encode(), key=key.encode()[:64], digest_size=16).digest(), "big") % size
-        word = ""
-        for _ in range(5):
-            number, i = divmod(number, len(syllables))
-            word += syllables[i]
-        return word.capitalize()
+        return _syllables(kind.split("-")[1], f"{kind}|{attempt}|{value}", 5 + step // 64, key).capitalize()
     head = PREFIX.match(value)[0] if kind == "secret" else ""
-    return head + reshaped(value[len(head) :], tweak + head, key)
+    return head + reshaped(value[len(head) :], tweak + head, key, step=step)
+
+
+def _phone(value: str) -> list[str]:
+    return [CLASSES[0][i in (0, 3) and c != "0" :] for i, c in enumerate(value)]
+
+
+def _syllables(script: str, tweak: str, count: int, key: str) -> str:
+    """A word of count syllables."""
+    syllables = SYLLABLES[script]
+    number = int.from_bytes(hashlib.blake2b(tweak.encode(), key=key.encode()[:64], digest_size=16).digest(), "big") % len(syllables) ** count
+    word = ""
+    for _ in range(count):
+        number, i = divmod(number, len(syllables))
+        word += syllables[i]
+    return word
+
+
+def room(kind: str, value: str) -> int:
+    """How many values the format of a canonical value has; NO_END for names and for more than that."""
+    if kind.startswith(("given", "surname")):
+        return NO_END
+    if kind == "email":
+        local, _, domain = value.partition("@")
+        known = re.fullmatch(r"(?:[\w-]+\.)*example\.(?:com|net|org)", domain)
+        size = _sizes(_alphabets(local)) * (1 if known else _sizes(_alphabets(domain.rpartition(".")[0].replace(".", "-"))))
+    elif kind == "ip":
+        size = 254 ** sum(0 < int(x) < 255 for x in value.split("."))
+    elif kind == "card":
+        size = 10 ** (len(value) - 2)
+    elif kind == "iban":
+        size = _sizes(list(map(_alphabet, value[4:])))
+    elif kind == "phone":
+        size = _sizes(_phone(value))
+    else:
+        size = _sizes(_alphabets(value[len(PREFIX.match(value)[0]) if kind == "secret" else 0 :]))
+    return min(size, NO_END)
 
 
 def rendered(kind: str, shown: str, surrogate: str) -> str:
@@ -260,26 +313,64 @@ def _drawn(rows: DataFrame, key: str) -> DataFrame:
     return rows.select("kind", "value", "attempt").mapInArrow(run, "kind string, value string, attempt int, surrogate string")
 
 
+def _closed(rows: DataFrame) -> DataFrame:
+    """The rows (kind, value, attempt) whose format has been walked through and leaves no other value to draw."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tried = zip(*(batch[c].to_pylist() for c in ("kind", "value", "attempt")), strict=True)
+            got = [(k, n) for k, v, a in tried if a - ATTEMPTS >= (n := room(k, v)) - 1]
+            yield pa.record_batch([pa.array([k for k, _ in got], pa.string()), pa.array([n for _, n in got], pa.int64())], ["kind", "room"])
+
+    return rows.select("kind", "value", "attempt").mapInArrow(run, "kind string, room long")
+
+
+def _movable(rows: DataFrame) -> DataFrame:
+    """The rows whose format has more than one value; an address such as 0.0.0.0 is nobody's and stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([room(k, v) > 1 for k, v in zip(batch["kind"].to_pylist(), batch["value"].to_pylist(), strict=True)], pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
     """kind, value, attempt, surrogate: distinct within a kind, and never a value that the corpus has.
 
-    Where a format is so narrow that no free surrogate turns up in ATTEMPTS draws, the last draw
-    stays, unless it is the value itself or shared; the format's own permutation keeps draws of one
-    attempt apart.
+    Who holds a free surrogate alone, or is the least of those who share it, keeps it. The others draw
+    again, in each round twice as often, until all have one. Where a format has no free value left,
+    this is an error; only a format of a single value maps to itself.
     """
+    family = F.split("kind", "-")[0].alias("family")
     drawn = cut(_drawn(cut(entities(docs)).withColumn("attempt", F.lit(0)), key))
-    for _ in range(ATTEMPTS):
-        family = F.split("kind", "-")[0]
-        claims = drawn.select(family.alias("family"), F.col("surrogate").alias("name"), F.struct("kind", "value").alias("owner"))
-        real = drawn.select(family.alias("family"), F.col("value").alias("name"), F.lit(None).cast("struct<kind:string,value:string>").alias("owner"))
-        seen = claims.union(real).groupBy("family", "name").agg(F.min("owner").alias("first"), F.max(F.col("owner").isNull()).alias("real"))
-        judged = drawn.withColumns({"family": family, "name": F.col("surrogate")}).join(seen, ["family", "name"])
-        again = F.col("real") | (F.struct("kind", "value") != F.col("first"))
-        bad = cut(judged.where(again).select("kind", "value", (F.col("attempt") + 1).alias("attempt")))
-        if bad.isEmpty():
-            break
-        drawn = cut(drawn.join(bad.select("kind", "value"), ["kind", "value"], "left_anti").select("kind", "value", "attempt", "surrogate").unionByName(_drawn(bad, key)))
-    return drawn
+    claims = drawn.select(family, F.col("surrogate").alias("name"), F.struct("kind", "value").alias("owner"))
+    values = drawn.select(family, F.col("value").alias("name"))
+    seen = claims.union(values.withColumn("owner", F.lit(None).cast("struct<kind:string,value:string>"))).groupBy("family", "name").agg(F.min("owner").alias("first"), F.max(F.col("owner").isNull()).alias("real"))
+    judged = drawn.withColumns({"family": F.split("kind", "-")[0], "name": F.col("surrogate")}).join(seen, ["family", "name"])
+    again = F.col("real") | (F.struct("kind", "value") != F.col("first"))
+    bad = cut(_movable(judged.where(again).select("kind", "value", "attempt")))
+    count, wide = bad.count(), 1
+    if not count:
+        return drawn
+    kept = drawn.join(bad.select("kind", "value"), ["kind", "value"], "left_anti").select("kind", "value", "attempt", "surrogate")
+    while count:
+        none = _closed(bad).first()
+        if none:
+            raise ValueError(f"no free surrogate: a format of kind {none['kind']} has {none['room']} values, and the corpus and its surrogates take them all")
+        tries = bad.withColumn("attempt", F.explode(F.sequence(F.col("attempt") + 1, F.col("attempt") + wide)))
+        tries = _drawn(tries, key).withColumns({"family": F.split("kind", "-")[0], "name": F.col("surrogate")})
+        taken = values.union(kept.select(family, F.col("surrogate").alias("name")))
+        free = tries.join(taken, ["family", "name"], "left_anti").groupBy("family", "kind", "value").agg(F.min(F.struct("attempt", "surrogate")).alias("draw"))
+        free = cut(free.select("family", "kind", "value", "draw.attempt", "draw.surrogate"))
+        chosen = free.groupBy("family", "surrogate").agg(F.min(F.struct("kind", "value", "attempt")).alias("x")).select("x.kind", "x.value", "x.attempt", "surrogate")
+        kept = cut(kept.unionByName(chosen))
+        left = bad.join(chosen.select("kind", "value"), ["kind", "value"], "left_anti").join(free.select("kind", "value", F.col("attempt").alias("lost")), ["kind", "value"], "left")
+        bad = cut(left.select("kind", "value", F.coalesce("lost", F.col("attempt") + wide).alias("attempt")))
+        count = bad.count()
+        wide = max(1, min(2 * wide, WIDE // max(1, count)))
+    fixed = drawn.join(kept.select("kind", "value"), ["kind", "value"], "left_anti").select("kind", "value", "attempt", "surrogate")
+    return cut(kept.unionByName(fixed))
 
 
 def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:

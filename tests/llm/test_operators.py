@@ -470,6 +470,28 @@ def test_corpus_surrogates_are_distinct_and_consistent(spark):
     assert pii.surrogates(documents(spark, rows)).where("attempt > 0").count() > 0
 
 
+def test_surrogates_go_on_when_stand_ins_and_draws_run_out(spark):
+    given, pool = pii.GIVEN["latin", "f"], pii.STAND_IN["latin", "f"]
+    rows = [(i, f"{name} Miller") for i, name in enumerate(given)]
+    rows += [(100 + i, f"Mrs {name} Braun") for i, name in enumerate(pool[:22])]  # three stand-ins are nobody's name
+    rows += [(200 + i, f"mail {c}@mail.example.com now") for i, c in enumerate("abcdefghijklm")]  # 13 of 26 are free
+    got = pii.surrogates(documents(spark, rows)).collect()
+    for family in ("given", "surname", "email"):
+        pairs = [(r.value, r.surrogate) for r in got if r.kind.split("-")[0] == family]
+        assert len({new for _, new in pairs}) == len(pairs) > 1 and not {old for old, _ in pairs} & {new for _, new in pairs}
+    assert all(pii.stand_in(r.kind, r.value, r.attempt, pii.KEY) == r.surrogate for r in got)
+    with pytest.raises(ValueError, match="no free surrogate"):
+        pii.surrogates(documents(spark, [(i, f"mail {c}@mail.example.com now") for i, c in enumerate("abcdefghijklmn")]))
+    assert pii.surrogates(documents(spark, [(1, "listen on 0.0.0.0 only")])).collect()[0].surrogate == "0.0.0.0"
+
+
+def test_walks_meet_every_value_once():
+    first = pii.ATTEMPTS
+    for kind, value in (("email", "a7@mail.example.org"), ("secret", "12"), ("email", "a@b.com")):
+        n = pii.room(kind, value)
+        assert len({pii.stand_in(kind, value, first + i, "k") for i in range(n)}) == n
+
+
 def test_pii_odd_rows(spark):
     got = pii.pseudonymised(documents(spark, ODD))
     assert sorted(map(tuple, got.select("doc_id", "text").collect()), key=repr) == sorted(ODD, key=repr)
