@@ -245,6 +245,18 @@ def test_near_copies_are_found_and_others_left(spark):
     assert near_dedup.keep_distinct(documents(spark, rows)).count() == 65
 
 
+def test_copies_that_only_the_original_links_are_one_class(spark):
+    rows = []
+    for g in range(4):  # each copy is at 0.88 to its original and at 0.76 to each other copy
+        base = words(400, 300 + g).split()
+        rows.append(base)
+        for k in range(8):
+            rows.append([*base[: 48 * k], *(f"z{g}x{k}x{i}" for i in range(48)), *base[48 * k + 48 :]])
+    got = near_dedup.near_dedup(documents(spark, [(i, " ".join(r)) for i, r in enumerate(rows)])).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: i // 9 * 9 for i in range(36)}
+    assert all(r.class_size == 9 for r in got)
+
+
 def test_near_dedup_odd_rows(spark):
     got = near_dedup.near_dedup(documents(spark, ODD)).collect()
     by = {r.doc_id: r for r in got}
