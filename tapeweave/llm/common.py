@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 import zlib
@@ -49,18 +48,10 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """A cut for tables of many narrow rows: written as Parquet, which is denser than a checkpoint, in the shared folder.
-
-    The shuffles behind it are done with then; their files would stay until the driver happens to
-    collect its garbage.
-    """
+    """A cut for tables of many narrow rows: written as Parquet, which is denser than a checkpoint, in the shared folder."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    kept = df.sparkSession.read.schema(df.schema).parquet(path)
-    del df
-    gc.collect()  # the plan is no longer held here, so the driver's next collection lets the cleaner drop its shuffle files
-    kept.sparkSession.sparkContext._jvm.System.gc()
-    return kept
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -40,7 +40,7 @@ def seeds(n: int, salt: int = 0) -> np.ndarray:
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = max(SLICE, 1 << max(0, n - 1).bit_length())
     if size not in _powers:
         _powers.clear()
@@ -111,7 +111,7 @@ def split(data: np.ndarray, offsets: np.ndarray) -> Words:
     before[edges], after[edges - 1] = True, True
     start = np.flatnonzero(~space & before)
     end = np.flatnonzero(~space & after) + 1
-    base, inverse = _power(size)
+    base, inverse = power(size)
     prefix = np.zeros(size + 1, U)
     np.cumsum((data.astype(U) + U(1)) * base[:size], out=prefix[1:])
     code = mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(U) * U(0xA0761D6478BD642F))
