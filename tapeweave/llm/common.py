@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapeweave.sources.shared import shared_folder
 
 ROWS_A_FILE = 50_000
 BATCH = 1_000
@@ -23,11 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Point reliable checkpoints at spark.checkpoint.dir; a temporary folder only where that is unset (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tapeweave-"))
+    """Point reliable checkpoints at the shared folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,7 +53,10 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hand at most BATCH rows to Python at a time: texts are long, and a batch stands in memory several times over."""
+    """Hand at most BATCH rows to Python at a time: texts are long, and a batch stands in memory several times over.
+
+    The plan is made when the result is asked for, so the setting has to stay: it lowers the session's own for good.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name)) > BATCH:
         spark.conf.set(name, str(BATCH))
