@@ -4,11 +4,14 @@ Detected values are brought to a canonical form (a phone number is its digits),
 spelling of one entity gets the same surrogate in its own spelling. A value of a format (which
 character class at which place) is a number in mixed radix; a keyed Feistel permutation of that
 range, walked until it lands inside, is its surrogate, so two values of one format never share one.
-Check digits are made right again. Names map within their gender and script. The distinct entities
-of the corpus and their surrogates then meet in one grouping: a surrogate that is a real value of
-the corpus, or that two entities share, is drawn again with the next tweak. After ATTEMPTS draws a
-walk passes every value of the format once, and given names get syllables, so the search ends with
-a free surrogate, or with an error where the format has none.
+Check digits are made right again. Names map within their gender (where a title or a given name tells
+it) and script. A name is found by its shape after a title, a known given name or a phrase that
+introduces one; where a document has named someone, later mentions of one of the names follow. The
+distinct entities of the corpus and their surrogates then meet in one grouping: a surrogate that is a
+real value of the corpus, or that two entities share, is drawn again with the next tweak. After
+ATTEMPTS draws a walk passes every value of the format once; then mail names and secrets grow by a
+letter at a time, addresses vary in all parts, and given names get syllables. So the search ends with a
+free surrogate, or with an error where a fixed format (cards, phones) has none.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from datetime import date
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +30,16 @@ from pyspark.sql import types as T
 
 from tapeweave.llm.common import cut, fresh, small_batches, text_of
 
-KEY = "tapeweave"  # production callers pass their own
+KEY_CONF = "spark.tapeweave.pii.key"  # the secret of a production session
+KEY = "tapeweave"  # where neither the caller nor the session gives one, as in tests
 ATTEMPTS = 32  # draws before the walk through a format
 WIDE = 1_000_000  # draws of one round at most, if each open entity has one
 NO_END = 1 << 62
 SMALL = 50_000  # rows of redrawn entities that are broadcast at most; more are joined by shuffle
 
-# Titles that tell gender, given names to find, and given names to put in their place.
-TITLES = {"f": "Mrs Ms Miss Madame Mme Frau Señora Sra Signora Госпожа".split(), "m": "Mr Mister Monsieur Herr Señor Signor Господин".split()}
+# Titles (u: of any gender), phrases before a name, given names to find, and given names to put in their place.
+TITLES = {"f": "Mrs Ms Miss Madame Mme Frau Señora Sra Signora Госпожа".split(), "m": "Mr Mister Monsieur Herr Señor Signor Господин".split(), "u": "Dr Prof Professor Doctor Доктор Профессор".split()}
+CUES = "my name is|her name is|his name is|person named|signed by|signed,|sincerely,|regards,|attn:|attention:|contact person|on behalf of|patient|меня зовут|ich heiße|je m'appelle|me llamo".split("|")
 GIVEN = {
     ("latin", "f"): "Mary Anna Maria Emma Sophie Laura Julia Sarah Lisa Elena Carmen Claire Ingrid Olivia Alice Emily Jennifer Patricia Linda Susan".split(),
     ("latin", "m"): "John James Peter Paul Michael Thomas David Carlos Pierre Hans Luis Robert William George Henry Daniel Stefan Antonio Charles Joseph".split(),
@@ -47,7 +53,7 @@ STAND_IN = {
     ("cyrillic", "m"): "Богдан Вадим Глеб Егор Захар Игнат Лев Матвей".split(),
 }
 SYLLABLES = {"latin": "ba be do fa ga hol ka lan mo nir ol pe ra so tal ur ve win yo zar".split(), "cyrillic": "ба ве го да жи за ка ло ма не пи ро са ту ша".split()}
-ENDING = {("latin", "f"): "ina", ("latin", "m"): "ion", ("cyrillic", "f"): "ина", ("cyrillic", "m"): "ион"}
+ENDING = {("latin", "f"): "ina", ("latin", "m"): "ion", ("latin", "u"): "en", ("cyrillic", "f"): "ина", ("cyrillic", "m"): "ион", ("cyrillic", "u"): "ен"}
 SEX = {name: (script, sex) for (script, sex), names in GIVEN.items() for name in names}
 
 CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+"
@@ -64,11 +70,19 @@ NUMBER = re.compile(
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<phone>(?<!\w)(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w))"
 )
+TOLD = re.compile(
+    r"\b(?:(?:phone|tel|telephone|mobile|cell|fax)\b(?: (?:no|number|is))?[.:]? {0,2}(?P<phone>\d{7,15})"
+    r"|passport\b(?: (?:no|number|is))?[.:#]* {0,2}(?P<passport>[A-Z]{0,2}\d{6,9})"
+    r"|(?:dob|date of birth|born(?: on)?)\b[.:]? {0,2}(?P<dob>\d{4}-\d\d-\d\d|\d\d[./]\d\d[./]\d{4}))(?!\w)", re.I,
+)
+TOLD_HINTS = ("phone", "tel", "mobile", "cell", "fax", "passport", "dob", "birth", "born")
+IPV6 = re.compile(r"(?<![\w:.])(?=[0-9a-fA-F:]*[0-9])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:])|(?<![\w:.])(?:[0-9a-fA-F]{1,4}:){2,6}:(?:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,5})(?![\w:])")
 DIGITS = re.compile(r"[+(\d][\d ().+-]{6,}")
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")
 IBAN_CLUE = re.compile(r"[A-Z][A-Z]\d\d")
-PERSON = re.compile(rf"\b(?:(?P<title>{'|'.join(sum(TITLES.values(), []))})\.? (?P<titled>{CAPITAL}(?:[ -]{CAPITAL}){{0,2}})|(?P<given>{'|'.join(sorted(SEX, key=len, reverse=True))}) (?P<surname>{CAPITAL}))")
-CALLED = re.compile("|".join(sorted([*sum(TITLES.values(), []), *SEX], key=len, reverse=True)))
+PERSON = re.compile(rf"\b(?:(?i:{'|'.join(map(re.escape, CUES))}) (?P<cued>{CAPITAL}(?:[ -]{CAPITAL}){{1,2}})|(?P<title>{'|'.join(sum(TITLES.values(), []))})\.? (?P<titled>{CAPITAL}(?:[ -]{CAPITAL}){{0,2}})|(?P<given>{'|'.join(sorted(SEX, key=len, reverse=True))}) (?P<surname>{CAPITAL}))")
+CALLED = re.compile("|".join(sorted([*sum(TITLES.values(), []), *SEX], key=len, reverse=True)) + "|(?i:" + "|".join(map(re.escape, CUES)) + ")")
+WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿА-Яа-яЁёẞß]+")
 
 
 def permuted(value: int, size: int, tweak: str, key: str) -> int:
@@ -140,13 +154,23 @@ def canonical(kind: str, value: str) -> str:
         return value.lower()
     if kind in ("card", "ssn"):
         return re.sub(r"\D", "", value)
-    if kind == "phone":  # without the country code, which one spelling has and another hasn't
-        return re.sub(r"\D", "", value)[-10:]
+    if kind == "phone":  # a country code belongs to it, but for 1, which one spelling has and another hasn't
+        digits = re.sub(r"\D", "", value)
+        if not value.startswith("+"):
+            return digits
+        return digits[1:] if digits[0] == "1" and len(digits) == 11 else f"+{digits}"
+    if kind in ("passport", "ip6"):
+        return value.upper() if kind == "passport" else value.lower()
+    if kind == "dob":
+        return value if value[4] == "-" else f"{value[6:]}-{value[3:5]}-{value[:2]}"
     if kind == "iban":
         return value.replace(" ", "")
     return value
 
 
+FIRST_DAY, DAYS = date(1920, 1, 1).toordinal(), 40_000  # dates of birth map to dates of birth
+
+
 def _script(word: str) -> str:
     return "cyrillic" if re.search("[А-Яа-яЁё]", word) else "latin"
 
@@ -158,6 +182,8 @@ def stand_in(kind: str, value: str, attempt: int, key: str) -> str:
     """
     step = max(0, attempt - ATTEMPTS + 1)
     tweak = f"{kind}|{min(attempt, ATTEMPTS)}"
+    if step and kind in GROWS and step > room(kind, value):
+        return _widened(kind, value, step - room(kind, value) - 1, key)
     if kind == "email":
         local, _, domain = value.partition("@")
         host, _, top = domain.rpartition(".")
@@ -189,9 +215,16 @@ def stand_in(kind: str, value: str, attempt: int, key: str) -> str:
         return reshaped(value, tweak, key, _phone(value), step)
     if kind == "ssn":
         return reshaped(value, tweak, key, step=step)
+    if kind == "ip6":
+        return reshaped(value, tweak, key, ["0123456789abcdef" if c != ":" else c for c in value], step)
+    if kind == "dob":
+        day = _day(value)
+        return date.fromordinal(FIRST_DAY + walked(day, DAYS, tweak, key, step)).isoformat() if day is not None else reshaped(value, tweak, key, step=step)
     if kind.startswith("given"):
         _, script, sex = kind.split("-")
-        names, pool = GIVEN[script, sex], STAND_IN[script, sex]
+        names, pool = GIVEN.get((script, sex), []), STAND_IN.get((script, sex), [])
+        if sex == "u":
+            return (_syllables(script, f"{kind}|{attempt}|{value}", 2 + step // 64, key) + ENDING[script, sex]).capitalize()
         if value in names:
             shift = permuted(0, len(pool), tweak, key)
             name = pool[(permuted(names.index(value), len(names), tweak, key) + shift) % len(pool)]
@@ -204,8 +237,36 @@ def stand_in(kind: str, value: str, attempt: int, key: str) -> str:
     return head + reshaped(value[len(head) :], tweak + head, key, step=step)
 
 
+GROWS = ("email", "secret", "ip")  # formats that have more values than those of one length or one pattern of zeros
+
+
+def _widened(kind: str, value: str, extra: int, key: str) -> str:
+    """The surrogate number extra (from 0) beyond the format of value: a longer mail name or secret, or an address that varies in all parts."""
+    if kind == "ip":
+        number = permuted((int.from_bytes(hashlib.blake2b(value.encode(), key=key.encode()[:64], digest_size=8).digest(), "big") + extra) % 254**4, 254**4, "ip|wide", key)
+        return ".".join(str(number // 254**i % 254 + 1) for i in range(4))
+    letters, more, size = CLASSES[1], 1, 26
+    while extra >= size:
+        extra, more, size = extra - size, more + 1, size * 26
+    number = permuted(extra, size, f"{kind}|wide|{more}", key)
+    tail = "".join(letters[number // 26**i % 26] for i in range(more))
+    base, at, domain = stand_in(kind, value, 0, key).partition("@")
+    return base + tail + at + domain
+
+
+def _day(value: str) -> int | None:
+    """The number of a date of birth, None where it is no date or outside of the range."""
+    try:
+        day = date.fromisoformat(value).toordinal() - FIRST_DAY
+    except ValueError:
+        return None
+    return day if 0 <= day < DAYS else None
+
+
 def _phone(value: str) -> list[str]:
-    return [CLASSES[0][i in (0, 3) and c != "0" :] for i, c in enumerate(value)]
+    """Alphabets of a phone number: a country code keeps its first digits (one for 1 and 7, else two)."""
+    kept = (2 if value[1] in "17" else 3) if value[0] == "+" else 0
+    return [c if i < kept else CLASSES[0][i - kept in (0, 3) and c != "0" :] for i, c in enumerate(value)]
 
 
 def _syllables(script: str, tweak: str, count: int, key: str) -> str:
@@ -223,6 +284,10 @@ def room(kind: str, value: str) -> int:
     """How many values the format of a canonical value has; NO_END for names and for more than that."""
     if kind.startswith(("given", "surname")):
         return NO_END
+    if kind == "ip6":
+        return min(16 ** sum(c != ":" for c in value), NO_END)
+    if kind == "dob" and _day(value) is not None:
+        return DAYS
     if kind == "email":
         local, _, domain = value.partition("@")
         known = re.fullmatch(r"(?:[\w-]+\.)*example\.(?:com|net|org)", domain)
@@ -242,7 +307,10 @@ def room(kind: str, value: str) -> int:
 
 def rendered(kind: str, shown: str, surrogate: str) -> str:
     """The canonical surrogate in the spelling of the value shown."""
+    if kind == "dob" and shown[4] != "-":
+        return f"{surrogate[8:]}{shown[2]}{surrogate[5:7]}{shown[5]}{surrogate[:4]}"
     if kind in ("card", "ssn", "phone", "iban"):
+        surrogate = surrogate.lstrip("+")
         before = sum(c.isalnum() for c in shown) - len(surrogate)  # a country code
         letters = iter("".join(c for c in shown if c.isalnum())[:before] + surrogate)
         return "".join(next(letters) if c.isalnum() else c for c in shown)
@@ -270,9 +338,19 @@ def found(text: str) -> list[tuple[int, int, str, str]]:
                 last = m.end()
     if IBAN_CLUE.search(text):
         spans += [(m.start(), m.end(), "iban", canonical("iban", m[0])) for m in IBAN.finditer(text)]
+    if any(h in low for h in TOLD_HINTS):
+        for m in TOLD.finditer(text):
+            spans.append((m.start(m.lastgroup), m.end(m.lastgroup), m.lastgroup, canonical(m.lastgroup, m[m.lastgroup])))
+    if "::" in text or text.count(":") >= 7:
+        spans += [(m.start(), m.end(), "ip6", canonical("ip6", m[0])) for m in IPV6.finditer(text)]
     if CALLED.search(text):
-        for m in PERSON.finditer(text):
-            spans += _names(m)
+        named = [x for m in PERSON.finditer(text) for x in _names(m)]
+        kinds: dict[str, str] = {}
+        for _, _, kind, value in named:  # one name is one entity in a document, whose gender any of its mentions may tell
+            if kinds.get(value, "-u").endswith("-u"):
+                kinds[value] = kind
+        named = [(a, b, kinds[value], value) for a, b, _, value in named]
+        spans += named + _mentions(text, named)
     if len(spans) < 2:
         return spans
     out: list[tuple[int, int, str, str]] = []
@@ -284,8 +362,13 @@ def found(text: str) -> list[tuple[int, int, str, str]]:
 
 def _names(m: re.Match) -> Iterator[tuple[int, int, str, str]]:
     if m["title"]:
-        sex = "f" if m["title"] in TITLES["f"] else "m"
+        sex = next(sex for sex, titles in TITLES.items() if m["title"] in titles)
         words, at = re.split("[ -]", m["titled"]), m.start("titled")
+        if len(words) > 1 and words[0] in SEX:
+            sex = SEX[words[0]][1]
+    elif m["cued"]:
+        words, at = re.split("[ -]", m["cued"]), m.start("cued")
+        sex = SEX[words[0]][1] if words[0] in SEX else "u"
     else:
         sex, words, at = SEX[m["given"]][1], [m["given"], m["surname"]], m.start("given")
     for i, word in enumerate(words):
@@ -293,6 +376,18 @@ def _names(m: re.Match) -> Iterator[tuple[int, int, str, str]]:
         at += len(word) + 1
 
 
+def _mentions(text: str, named: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Later mentions of a name alone; a name that the text also has as a word in small letters is taken for that word."""
+    first: dict[str, tuple[int, str]] = {}
+    for _, end, kind, value in named:
+        first.setdefault(value, (end, kind))
+    if not first:
+        return []
+    words = [(m.start(), m.end(), m[0]) for m in WORD.finditer(text)]
+    plain = {w for *_, w in words if w[0].islower()}
+    return [(a, b, first[w][1], w) for a, b, w in words if w in first and a >= first[w][0] and w.lower() not in plain]
+
+
 def entities(docs: DataFrame) -> DataFrame:
     """kind, value (canonical): the distinct entities of the corpus."""
 
@@ -319,7 +414,7 @@ def _closed(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tried = zip(*(batch[c].to_pylist() for c in ("kind", "value", "attempt")), strict=True)
-            got = [(k, n) for k, v, a in tried if a - ATTEMPTS >= (n := room(k, v)) - 1]
+            got = [(k, n) for k, v, a in tried if k not in GROWS and a - ATTEMPTS >= (n := room(k, v)) - 1]
             yield pa.record_batch([pa.array([k for k, _ in got], pa.string()), pa.array([n for _, n in got], pa.int64())], ["kind", "room"])
 
     return rows.select("kind", "value", "attempt").mapInArrow(run, "kind string, room long")
@@ -335,13 +430,19 @@ def _movable(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
+def session_key(docs: DataFrame) -> str:
+    return docs.sparkSession.conf.get(KEY_CONF, KEY)
+
+
+def surrogates(docs: DataFrame, key: str | None = None) -> DataFrame:
     """kind, value, attempt, surrogate: distinct within a kind, and never a value that the corpus has.
 
     Who holds a free surrogate alone, or is the least of those who share it, keeps it. The others draw
-    again, in each round twice as often, until all have one. Where a format has no free value left,
-    this is an error; only a format of a single value maps to itself.
+    again, in each round twice as often, until all have one. Where a format of fixed length has no free
+    value left, this is an error; only a format of a single value maps to itself. The key is the
+    caller's, or the session's (KEY_CONF).
     """
+    key = key or session_key(docs)
     family = F.split("kind", "-")[0].alias("family")
     drawn = cut(_drawn(cut(entities(docs)).withColumn("attempt", F.lit(0)), key))
     claims = drawn.select(family, F.col("surrogate").alias("name"), F.struct("kind", "value").alias("owner"))
@@ -373,7 +474,7 @@ def surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
     return cut(kept.unionByName(fixed))
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str | None = None) -> DataFrame:
     """docs with the entities in text replaced, and n_entities; a text without any is unchanged.
 
     Null text stays null, with 0 entities. All other columns, and repeated rows, stay as they are.
@@ -381,6 +482,7 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     row's text, broadcast only if counted small.
     """
     small_batches(docs.sparkSession)
+    key = key or session_key(docs)
     redrawn_of, row_of = fresh(docs, "_redrawn", "_row")
     redrawn = surrogates(docs, key).where("attempt > 0").select("kind", "value", "attempt")
     redrawn = cut(redrawn)
