@@ -1,11 +1,13 @@
 """Mixing sources to target weights by pivotal dependent rounding, in DataFrame functions only.
 
 A document of a source with target t and size s is to be taken t / s times: its whole part surely,
-the fractional part as a copy probability. Blocks of documents of one source pair those
-probabilities: words move at random from one of a pair to the other until one of them is surely
-in or out; the other is paired on, large documents first, so that a small one stays open. What is left of each block goes up a tree of fan-in FAN, to at
-most one open document per source, which a coin decides. Expected copies stay as they were, and a
-source's taken words stay within one document of its target.
+the fractional part as a copy probability. Blocks of documents of one source pair those probabilities:
+words move at random from one of a pair to the other until one of them is surely in or out. The
+largest document is paired first, with all smaller ones of its block together, whose probability is
+one and moves as one; then the next largest, so that a small one stays open. What is left of each
+block goes up a tree of fan-in FAN, paired one by one, to at most one open document per source, which
+a coin decides. Expected copies stay as they were, and a source's taken words stay within that one,
+small document of its target.
 """
 
 from __future__ import annotations
@@ -66,17 +68,53 @@ def _unit(x: Column, p: Column) -> Column:
 
 def _settle(state: Column, b: Column, pa: Column, pb: Column) -> Column:
     a = state["open"]
-    integral = lambda p: (p <= NEAR) | (p >= 1 - NEAR)
-    done = F.filter(F.array(F.when(integral(pa), _unit(a, F.round(pa))), F.when(integral(pb), _unit(b, F.round(pb)))), lambda x: x.isNotNull())
-    left = F.when(~integral(pa), _unit(a, pa)).when(~integral(pb), _unit(b, pb))
+    done = F.filter(F.array(F.when(_integral(pa), _unit(a, F.round(pa))), F.when(_integral(pb), _unit(b, F.round(pb)))), lambda x: x.isNotNull())
+    left = F.when(~_integral(pa), _unit(a, pa)).when(~_integral(pb), _unit(b, pb))
     return F.struct(left.alias("open"), F.concat(state["out"], done).alias("out"))
 
 
-def _reduce(units: DataFrame, level: int, seed: int) -> DataFrame:
-    """Blocks of one level: source, block, open (null or the open document), out (the decided ones)."""
+def _blocks(units: DataFrame, level: int, seed: int) -> DataFrame:
+    """Blocks of one level with their items, large ones first; u is each one's random number."""
     u = (F.xxhash64(F.lit(seed), F.lit(level), "doc_id", "size").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))).alias("u")
     item = F.struct((-F.col("words")).alias("large_first"), u, "doc_id", "size", "copies_of", "words", "p")
-    blocks = units.groupBy("source", "blocks", "block").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    return units.groupBy("source", "blocks", "block").agg(F.sort_array(F.collect_list(item)).alias("items"))
+
+
+def _pooled(units: DataFrame, seed: int) -> DataFrame:
+    """The lowest level: source, block, open (null or the open document), out (the decided ones).
+
+    All documents of a block have one probability. Each is paired with the rest of the block, whose
+    probability moves as one, until it is decided or the rest is.
+    """
+    blocks = _blocks(units, 0, seed)
+    first = F.element_at("items", 1)
+    mass = F.aggregate("items", F.lit(0).cast("double"), lambda sum_, x: sum_ + x["words"].cast("double"))
+    none = F.slice(F.transform("items", lambda x: _unit(x, x["p"])), 1, 0)
+    start = F.struct(first["p"].alias("p"), mass.alias("rest"), F.get(none, 0).alias("open"), none.alias("out"))
+
+    def step(state: Column, x: Column) -> Column:
+        p, m = state["p"], x["words"].cast("double")
+        rest = state["rest"] - m
+        up, down = F.least((1 - p) * m, p * rest), F.least(p * m, (1 - p) * rest)
+        gains = x["u"] * (up + down) < down
+        mine = F.when(rest <= 0, p).when(gains, p + up / m).otherwise(p - down / m)
+        pool = F.when(rest <= 0, p).when(gains, p - up / rest).otherwise(p + down / rest)
+        settled = _integral(p) | _integral(mine)
+        mine = F.when(_integral(p), F.round(p)).otherwise(mine)
+        out = F.when(settled, F.concat(state["out"], F.array(_unit(x, F.round(mine))))).otherwise(state["out"])
+        return F.struct(F.when(_integral(p), p).otherwise(pool).alias("p"), rest.alias("rest"), F.coalesce(state["open"], F.when(~settled, _unit(x, mine))).alias("open"), out.alias("out"))
+
+    walked = F.aggregate("items", start, step)
+    return blocks.select("source", "blocks", "block", walked.alias("r")).select("source", "blocks", "block", "r.open", "r.out")
+
+
+def _integral(p: Column) -> Column:
+    return (p <= NEAR) | (p >= 1 - NEAR)
+
+
+def _reduce(units: DataFrame, level: int, seed: int) -> DataFrame:
+    """Blocks of a higher level: source, block, open (null or the open document), out (the decided ones)."""
+    blocks = _blocks(units, level, seed)
     first = F.element_at("items", 1)
     start = F.struct(_unit(first, first["p"]).alias("open"), F.slice(F.transform("items", lambda x: _unit(x, x["p"])), 1, 0).alias("out"))
 
@@ -108,7 +146,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = CAP,
     most = by_source.agg(F.max("rows")).first()[0] or 0
     decided, depth, fan_out = planned.where(~open_).select("source", "doc_id", "size", "copies_of", F.lit(0.0).alias("p")), 0, -(-most // FAN)
     while True:
-        done = cut(_reduce(level, depth, seed))
+        done = cut(_reduce(level, depth, seed) if depth else _pooled(level, seed))
         decided = decided.unionByName(done.select("source", F.explode("out").alias("x")).select("source", "x.doc_id", "x.size", "x.copies_of", "x.p"))
         rest = done.where(F.col("open").isNotNull()).select("source", "open.*", F.ceil(F.col("blocks") / FAN).alias("blocks"), F.floor(F.col("block") / FAN).alias("block"))
         if fan_out <= 1:
