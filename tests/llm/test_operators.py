@@ -99,6 +99,16 @@ def test_mix_is_near_targets_and_repeats(spark):
     assert out.count() == sum(r.copies for r in first) and out.columns == docs.columns
 
 
+def test_a_large_document_is_not_left_to_the_coin(spark):
+    rng = random.Random(7)
+    rows = [(i, words(100 + rng.randrange(100), i), "abcd"[i % 4]) for i in range(800)] + [(1000 + k, words(4000, 2000 + k), "abcd"[k]) for k in range(4)]
+    for seed in range(4):
+        got = mixing.mix(documents(spark, rows), seed=seed).collect()
+        for source in "abcd":
+            mine = [r for r in got if r.source == source]
+            assert abs(sum(r.taken for r in mine) - mine[0].target) <= 200 < 0.02 * mine[0].target or mine[0].target == 3 * mine[0].source_size
+
+
 def test_rounding_keeps_probabilities(spark):
     docs = documents(spark, [(i, "one two", "a") for i in range(40)] + [(100 + i, "one two", "b") for i in range(40)])
     taken = Counter()
@@ -403,6 +413,18 @@ def test_repeats_decide_inside_a_marked_article_too(spark):
     assert notice in html_text.main_blocks(found, [0.0] * len(found))  # without the array, the row is another
 
 
+def test_short_repeats_copies_and_deep_pages(spark):
+    notice, own = words(12, 5), [words(90, 70 + i) for i in range(4)]
+    rows = [(i, f"http://h.example/{i}", f"<body><div>{own[i]}</div><div>{notice}</div></body>") for i in range(3)]
+    rows += [(10 + i, f"http://c.example/{i}", f"<body><div>{own[3]}</div></body>") for i in range(2)]  # copies of one page
+    rows += [(20 + i, f"http://d.example/{i}", f"<body><div>{own[3]}</div><p>{i}</p></body>") for i in range(2)]
+    deep = "<article>" + "<b>" * 500 + "text" + "</article><div class=ad>advert</div>"
+    rows += [(30, "http://e.example/", deep)]
+    got = {r.page_id: r.text for r in html_text.extract(pages(spark, rows)).collect()}
+    assert [got[i] for i in range(3)] == own[:3] and got[10] == got[11] == own[3]
+    assert got[20] == "0" and got[30] == "text"  # a page whose only unique text is a number keeps that
+
+
 def test_pages_odd_rows(spark):
     rows = [(1, None, None), (2, "not a url", ""), (3, "http://x", "<p>a"), (3, "http://x", "<p>a"), (None, "http://x", "plain"), (5, "http://x", "<p>" + "w " * 100_000)]
     got = html_text.extract(pages(spark, rows)).collect()
@@ -492,8 +514,9 @@ def test_surrogates_go_on_when_stand_ins_and_draws_run_out(spark):
         pairs = [(r.value, r.surrogate) for r in got if r.kind.split("-")[0] == family]
         assert len({new for _, new in pairs}) == len(pairs) > 1 and not {old for old, _ in pairs} & {new for _, new in pairs}
     assert all(pii.stand_in(r.kind, r.value, r.attempt, pii.KEY) == r.surrogate for r in got)
-    with pytest.raises(ValueError, match="no free surrogate"):
-        pii.surrogates(documents(spark, [(i, f"mail {c}@mail.example.com now") for i, c in enumerate("abcdefghijklmn")]))
+    every = pii.surrogates(documents(spark, [(i, f"mail {c}@mail.example.com now") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")])).collect()
+    new = {r.surrogate for r in every}  # all mail names of one letter are taken, so these are longer
+    assert len(new) == 26 and all(re.fullmatch("[a-z]{2,}@mail.example.com", x) for x in new)
     assert pii.surrogates(documents(spark, [(1, "listen on 0.0.0.0 only")])).collect()[0].surrogate == "0.0.0.0"
 
 
@@ -504,6 +527,23 @@ def test_walks_meet_every_value_once():
         assert len({pii.stand_in(kind, value, first + i, "k") for i in range(n)}) == n
 
 
+def test_later_names_follow_and_codes_tell_phones_apart(spark):
+    text = "Mrs. Jane Miller called. Later Miller said hi, and Jane left. My name is Priya Patel. Dr. Wei Zhang knows Patel. A miller mills, Smith does not."
+    shown = [(text[a:b], k) for a, b, k, _ in pii.found(text)]
+    assert shown == [("Jane", "given-latin-f"), ("Miller", "surname-latin"), ("Jane", "given-latin-f"), ("Priya", "given-latin-u"), ("Patel", "surname-latin"), ("Wei", "given-latin-u"), ("Zhang", "surname-latin"), ("Patel", "surname-latin")]
+    rows = [(1, "ring +44 20 7946 0958 or (207) 946-0958 or +1 207 946 0958"), (2, "DOB: 1990-01-02, born on 02/01/1990, passport no. X1234567, tel 5551234567, at 2001:db8::1, 12:30:45")]
+    first, again = (pii.pseudonymised(documents(spark, rows), key).orderBy("doc_id").collect() for key in ("one", "two"))
+    numbers = re.findall(r"[+(]\d[\d ()-]+\d", first[0].text)
+    digits = [re.sub(r"\D", "", x) for x in numbers]
+    assert digits[0][:2] == "44" and digits[2] == "1" + digits[1] and digits[0][-10:] != digits[1]
+    assert first[1].n_entities == 5 and "12:30:45" in first[1].text and first[1].text != again[1].text
+    y, m, d = re.search(r"DOB: (\d{4})-(\d\d)-(\d\d)", first[1].text).groups()
+    assert f"{d}/{m}/{y}" in first[1].text
+    spark.conf.set(pii.KEY_CONF, "two")
+    assert pii.pseudonymised(documents(spark, rows)).orderBy("doc_id").collect()[1].text == again[1].text
+    spark.conf.unset(pii.KEY_CONF)
+
+
 def test_pii_odd_rows(spark):
     got = pii.pseudonymised(documents(spark, ODD))
     assert sorted(map(tuple, got.select("doc_id", "text").collect()), key=repr) == sorted(ODD, key=repr)
