@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeweave.operators.flow import aggressor_counts, flow_totals, last_trade
+from tapeweave.operators.book import best_bid_ask, mid, spread
+from tapeweave.operators.flow import last_trade
 from tapeweave.operators.sequence import sequence_report
 
 KEYS = ["session_id", "symbol"]
@@ -85,24 +86,38 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("only_in", F.lit("first")).unionByName(b.exceptAll(a).withColumn("only_in", F.lit("second")))
 
 
-def replay_outcome(statuses: DataFrame, classified: DataFrame, book: DataFrame) -> DataFrame:
-    """One row per session: depth updates by outcome, trades by outcome, the final best prices and level counts."""
-    is_ = lambda s: F.count_if(F.col("status") == s)
-    trades = classified.groupBy(*KEYS).agg(is_("processed").alias("trades_processed"), is_("duplicate").alias("trades_duplicate"), is_("stale").alias("trades_stale"))
-    side = lambda s: F.col("side") == s
-    best = book.groupBy(*KEYS).agg(F.max(F.when(side("BID"), F.col("price"))).alias("best_bid"), F.min(F.when(side("ASK"), F.col("price"))).alias("best_ask"), F.count_if(side("BID")).alias("bid_levels"), F.count_if(side("ASK")).alias("ask_levels"))
-    return sequence_report(statuses).join(trades, KEYS, "full_outer").join(best, KEYS, "full_outer")
+def _tops(book: DataFrame) -> DataFrame:
+    """Per session: best prices, mid and spread (none where crossed) and level counts of a book at its end."""
+    best = best_bid_ask(book, KEYS).select(*KEYS, "best_bid", "best_ask", "bid_levels", "ask_levels")
+    return best.withColumns({"mid": mid(), "spread": spread()})
+
+
+def replay_outcome(statuses: DataFrame, classified: DataFrame, updates: DataFrame, snapshots: DataFrame, book: DataFrame) -> DataFrame:
+    """One row per session: what a replay of its events counts, and the book it ends with.
+
+    updates: headers of depth updates; snapshots: session_id, symbol, seq, last_update_id; book: sequenced_book.
+    A snapshot that no buffered update bridges is an error, as a mismatch is.
+    """
+    is_ = lambda *names: F.count_if(F.col("status").isin(*names))
+    s = statuses.join(updates.select(*KEYS, "seq", "final_update_id"), [*KEYS, "seq"])
+    taken = F.when(F.col("status").isin("applied", "bridged"), F.struct("at_seq", "seq"))
+    depth = s.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("depth_events"), is_("applied", "bridged").alias("events_applied"), is_("stale").alias("events_ignored"), is_("mismatch").alias("_mismatch"), is_("bridged").alias("_bridged"), F.max(taken).alias("_at"), F.max_by("final_update_id", taken).alias("_last"))
+    shots = snapshots.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("snapshots_applied"), F.max("seq").alias("_seq"), F.max_by("last_update_id", "seq").alias("_id"))
+    trades = classified.groupBy(*KEYS).agg(is_("processed").alias("trades_processed"), is_("duplicate", "stale").alias("trades_skipped"))
+    rows = depth.join(shots, KEYS, "full_outer").join(trades, KEYS, "full_outer").join(_tops(book), KEYS, "full_outer")
+    counts = ["depth_events", "snapshots_applied", "events_applied", "events_ignored", "trades_processed", "trades_skipped"]
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in [*counts, "_mismatch", "_bridged"]})
+    newer = F.col("_seq").isNull() | (F.col("_at.at_seq") >= F.col("_seq"))
+    return rows.select(
+        *KEYS, *counts, (F.col("depth_events") + F.col("snapshots_applied") + F.col("trades_processed") + F.col("trades_skipped")).alias("events_total"),
+        (F.col("_mismatch") + F.col("snapshots_applied") - F.col("_bridged")).alias("sequence_errors"), F.when(newer, F.col("_last")).otherwise(F.col("_id")).alias("final_update_id"),
+        "best_bid", "best_ask", "bid_levels", "ask_levels", "mid", "spread",
+    )
 
 
 def market_status(trades: DataFrame, book: DataFrame, cells: DataFrame, statuses: DataFrame) -> DataFrame:
-    """Per session: best prices, mid, spread, last trade, number of heat cells, sequence errors."""
-    side = lambda s: F.col("side") == s
-    best = book.groupBy(*KEYS).agg(F.max(F.when(side("BID"), F.col("price"))).alias("best_bid"), F.min(F.when(side("ASK"), F.col("price"))).alias("best_ask"))
-    best = best.withColumns({"mid": (F.col("best_bid") + F.col("best_ask")) / F.lit(2.0), "spread": F.col("best_ask") - F.col("best_bid")})
+    """Per session: best prices, mid, spread, last trade, number of heat cells, sequence errors. book: sequenced_book."""
+    best = _tops(book).drop("bid_levels", "ask_levels")
     last = last_trade(trades).select(*KEYS, F.col("price").alias("last_price"), F.col("quantity").alias("last_quantity"), F.col("side").alias("last_side"))
     counts = cells.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("cell_count"))
     return best.join(last, KEYS, "full_outer").join(counts, KEYS, "full_outer").join(sequence_report(statuses).select(*KEYS, F.col("errors").alias("sequence_errors")), KEYS, "full_outer")
-
-
-def session_summary(trades: DataFrame) -> DataFrame:
-    return flow_totals(trades).join(aggressor_counts(trades), KEYS)

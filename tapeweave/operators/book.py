@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeweave.config import DEFAULT, SCALE
+from tapeweave.operators.running import running
 from tapeweave.operators.sequence import book_epochs
 
 KEYS = ["session_id", "symbol"]
@@ -18,8 +20,7 @@ LEVEL = [*KEYS, "epoch", "side", "price"]
 def with_seeds(levels: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Level rows and the levels of the snapshots (positive ones), each with its epoch; seed marks the latter."""
     updates = book_epochs(levels, snapshots).withColumn("seed", F.lit(False))
-    heads = snapshots.groupBy(*KEYS, "seq").agg(F.lit(1).alias("_one"))
-    heads = heads.withColumn("epoch", F.sum("_one").over(Window.partitionBy(*KEYS).orderBy("seq"))).drop("_one")
+    heads = running(snapshots.select(*KEYS, "seq").distinct(), "epoch", F.lit(1).cast("bigint"), "sum")
     seeds = snapshots.where("quantity > 0").join(heads, [*KEYS, "seq"]).withColumn("seed", F.lit(True))
     columns = [*KEYS, "epoch", "seq", "pos", "side", "price", "quantity", "ts_ms", "seed"]
     return updates.select(columns).unionByName(seeds.select(columns))
@@ -80,6 +81,18 @@ def final_book(levels: DataFrame, snapshots: DataFrame) -> DataFrame:
     return last.join(newest, [*KEYS, "epoch"]).where("quantity > 0")
 
 
+def sequenced_book(levels: DataFrame, statuses: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """The book that a replay ends with: a session's last snapshot and the updates applied to it since, buffered ones after the snapshot that released them."""
+    newest = snapshots.groupBy(*KEYS).agg(F.max("seq").alias("from_seq"))
+    taken = statuses.where(F.col("status").isin("applied", "bridged")).select(*KEYS, "seq", "at_seq")
+    rows = levels.join(taken, [*KEYS, "seq"]).join(newest, KEYS, "left").where(F.col("from_seq").isNull() | (F.col("at_seq") >= F.col("from_seq")))
+    seeds = snapshots.join(newest, KEYS).where((F.col("seq") == F.col("from_seq")) & (F.col("quantity") > 0)).withColumn("at_seq", F.lit(-1).cast("bigint"))
+    columns = [*KEYS, "side", "price", "quantity", "at_seq", "seq", "pos"]
+    both = rows.select(columns).unionByName(seeds.select(columns))
+    last = both.groupBy(*KEYS, "side", "price").agg(F.max_by("quantity", F.struct("at_seq", "seq", "pos")).alias("quantity"))
+    return last.where("quantity > 0")
+
+
 def best_bid_ask(standing: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Per point: best_bid, best_ask, their quantities and the number of levels a side."""
     by = by or [c for c in standing.columns if c not in ("side", "price", "quantity")]
@@ -170,8 +183,9 @@ CHUNK = 50_000  # sequence numbers that one task folds
 def top_of_book_timeline(levels: DataFrame, snapshots: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Best prices and their quantities after every depth update, and crossed.
 
-    The best of what stands isn't a window function, so chunks of an epoch are folded, each from the
-    book at its start, which the validity intervals give: chunks run in parallel and hold one book.
+    The best of what stands isn't a window function, so chunks of a session are folded, each from the
+    book at its start, which the validity intervals give, and afresh from each snapshot inside it:
+    chunks run in parallel and hold one book.
     """
     rows = with_seeds(levels, snapshots).withColumn("chunk", F.col("seq") - F.col("seq") % chunk)
     starts = rows.where("not seed").select(*KEYS, "epoch", "chunk").distinct()
@@ -182,19 +196,26 @@ def top_of_book_timeline(levels: DataFrame, snapshots: DataFrame, chunk: int = C
     carried = over.select(*LEVEL, "quantity", F.explode(F.sequence("low", "high", F.lit(chunk).cast("bigint"))).alias("chunk")).join(starts, [*KEYS, "epoch", "chunk"], "left_semi")
     seeds = carried.withColumns({"seq": F.lit(-1).cast("bigint"), "pos": F.lit(0), "ts_ms": F.lit(0).cast("bigint"), "seed": F.lit(True)})
     stream = rows.unionByName(seeds)
-    schema = "session_id string, symbol string, epoch long, seq long, ts_ms long, best_bid long, best_ask long, bid_quantity long, ask_quantity long"
-    return stream.groupBy(*KEYS, "epoch", "chunk").applyInPandas(_fold_book, schema).withColumn("crossed", is_crossed())
+    stream = stream.select(*KEYS, "chunk", "epoch", "seq", "pos", "ts_ms", "seed", "side", "price", "quantity")
+    return stream.groupBy(*KEYS, "chunk").applyInArrow(_fold_book, f"session_id string, symbol string, {', '.join(f'{c} long' for c in TOP)}").withColumn("crossed", is_crossed())
+
 
+TOP = ["epoch", "seq", "ts_ms", "best_bid", "best_ask", "bid_quantity", "ask_quantity"]
 
-def _fold_book(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["seq", "pos"], kind="stable")
-    out = list(_walk(zip(*(rows[c].tolist() for c in ("seq", "ts_ms", "seed", "side", "price", "quantity")), strict=True)))
-    columns = ["seq", "ts_ms", "best_bid", "best_ask", "bid_quantity", "ask_quantity"]
-    pdf = pd.DataFrame(out, columns=columns).astype({c: "Int64" for c in columns})
-    return pdf.assign(session_id=key[0], symbol=key[1], epoch=key[2])
+
+def _fold_book(key: tuple, rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by([("epoch", "ascending"), ("seq", "ascending"), ("pos", "ascending")])
+    epochs = rows["epoch"].to_numpy()
+    edges = [0, *(np.flatnonzero(np.diff(epochs)) + 1).tolist(), len(epochs)]
+    columns = [rows[c].to_pylist() for c in ("seq", "ts_ms", "seed", "side", "price", "quantity")]
+    out = [(int(epochs[a]), *x) for a, b in zip(edges[:-1], edges[1:], strict=True) for x in _walk(zip(*(c[a:b] for c in columns), strict=True))]
+    values = list(zip(*out, strict=True)) or [()] * len(TOP)
+    names = [pa.array([k.as_py()] * len(out), pa.string()) for k in key[: len(KEYS)]]
+    return pa.table([*names, *(pa.array(v, pa.int64()) for v in values)], [*KEYS, *TOP])
 
 
 def _walk(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Rows of one epoch to what stands best after each update."""
     books: dict[str, dict[int, int]] = {"BID": {}, "ASK": {}}
     best: dict[str, int | None] = {"BID": None, "ASK": None}
     pick = {"BID": max, "ASK": min}
@@ -216,17 +237,29 @@ def _walk(rows: Iterator[tuple]) -> Iterator[tuple]:
         yield show()
 
 
-def crossed_anomalies(timeline: DataFrame) -> DataFrame:
-    """Updates after which the book is crossed and before which, in its epoch, it wasn't."""
-    was = F.lag("crossed", 1, False).over(Window.partitionBy(*KEYS, "epoch").orderBy("seq"))
-    return timeline.withColumn("_was", was).where("crossed and not _was").select(*KEYS, "epoch", "seq", "ts_ms", "best_bid", "best_ask", F.lit("crossed book after update").alias("reason"))
+def crossed_anomalies(timeline: DataFrame, snapshots: DataFrame, segments: DataFrame) -> DataFrame:
+    """Snapshots whose book is crossed, and updates after which it is while it wasn't known to be.
+
+    What is known to be crossed is the book after the update or snapshot before, in the same segment:
+    the end of a microstructure segment (snapshot_segments) forgets it.
+    """
+    of = lambda side, pick: pick(F.when(F.col("side") == side, F.col("price")))
+    tops = snapshots.where("quantity > 0").groupBy(*KEYS, "seq", "ts_ms").agg(of("BID", F.max).alias("best_bid"), of("ASK", F.min).alias("best_ask"))
+    columns = [*KEYS, "seq", "ts_ms", "best_bid", "best_ask", "crossed"]
+    marks = timeline.select(*columns, F.lit("update").alias("kind")).unionByName(tops.withColumn("crossed", is_crossed()).select(*columns, F.lit("snapshot").alias("kind")))
+    ends = segments.where("fired").select(*KEYS, "seq", F.lit(1).cast("bigint").alias("_fired"))
+    both = running(marks.unionByName(ends, allowMissingColumns=True), "_segment", F.col("_fired"), "sum", then=(F.col("_fired").isNotNull(),))
+    both = running(both, "_before", F.when(F.col("kind").isNotNull(), F.struct("crossed", "_segment")), "last", inclusive=False, then=(F.col("_fired").isNotNull(),))
+    known = F.coalesce(F.col("_before.crossed") & (F.col("_before._segment") == F.col("_segment")), F.lit(False))
+    fresh = both.where(F.col("crossed") & ((F.col("kind") == "snapshot") | ~known))
+    return fresh.select(*KEYS, "seq", "ts_ms", "best_bid", "best_ask", F.concat(F.lit("crossed book after "), "kind").alias("reason"))
 
 
 def trade_with_book(trades: DataFrame, timeline: DataFrame) -> DataFrame:
     """Trades with the book's row that stands at their seq: a union and the last row before, no join."""
     row = F.struct("epoch", "best_bid", "best_ask", "bid_quantity", "ask_quantity", "crossed")
     marks = timeline.select(*KEYS, "seq", row.alias("book"))
-    both = trades.unionByName(marks, allowMissingColumns=True)
-    w = Window.partitionBy(*KEYS).orderBy("seq", F.col("trade_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("book", F.last("book", ignorenulls=True).over(w)).where("trade_id is not null").select(*trades.columns, "book.*")
+    both = trades.withColumn("_trade", F.lit(1)).unionByName(marks.withColumn("_trade", F.lit(0)), allowMissingColumns=True)
+    both = running(both.withColumnRenamed("book", "_mark"), "book", F.col("_mark"), "last", then=(F.col("_trade"),))
+    return both.where("_trade = 1").select(*trades.columns, "book.*")
 

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tapeweave.config import DEFAULT, Config
 from tapeweave.functions.ticks import bucket_start, notional, notional_float, signed
+from tapeweave.operators.running import running
 
 KEYS = ["session_id", "symbol"]
-CHUNK = 1_000_000  # sequence numbers that one task orders
 
 
 def buy() -> Column:
@@ -66,17 +66,9 @@ def completed_buckets(buckets: DataFrame, interval: int) -> DataFrame:
 
 
 def cvd(trades: DataFrame) -> DataFrame:
-    """Each trade with the running signed volume of its session.
-
-    Two levels: sums per chunk of seq are prefixed first, so that no task orders a whole session.
-    """
-    chunk = bucket_start(F.col("seq"), CHUNK)
-    rows = trades.withColumns({"signed_quantity": signed(F.col("quantity"), F.col("side")), "_chunk": chunk})
-    per = rows.groupBy(*KEYS, "_chunk").agg(F.sum("signed_quantity").alias("s"))
-    w = Window.partitionBy(*KEYS).orderBy("_chunk")
-    per = per.select(*KEYS, "_chunk", F.coalesce(F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    run = F.sum("signed_quantity").over(Window.partitionBy(*KEYS, "_chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("_run", run).join(per, [*KEYS, "_chunk"]).withColumn("cvd", F.col("_run") + F.col("_before")).drop("_run", "_before", "_chunk")
+    """Each trade with the running signed volume of its session."""
+    rows = trades.withColumn("signed_quantity", signed(F.col("quantity"), F.col("side")))
+    return running(rows, "cvd", F.col("signed_quantity"), "sum")
 
 
 def flow_digest(trades: DataFrame) -> DataFrame:

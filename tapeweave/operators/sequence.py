@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeweave.config import DEFAULT
+from tapeweave.operators.running import running
 
 KEYS = ["session_id", "symbol"]
 
@@ -19,10 +20,9 @@ def classify_trades(trades: DataFrame, window: int = DEFAULT.dedup_window) -> Da
     A trade is accepted if its id exceeds every earlier one. A repeat finds its accepted original by
     a join on the id and counts the acceptances in between.
     """
-    w = Window.partitionBy(*KEYS).orderBy("seq")
-    before = F.max("trade_id").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = trades.withColumn("accepted", before.isNull() | (F.col("trade_id") > before))
-    rows = rows.withColumn("place", F.count_if("accepted").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = running(trades, "_top", F.col("trade_id"), "max", inclusive=False)
+    rows = rows.withColumn("accepted", F.col("_top").isNull() | (F.col("trade_id") > F.col("_top"))).drop("_top")
+    rows = running(rows, "place", F.col("accepted").cast("bigint"), "sum")
     first = rows.where("accepted").select(*KEYS, "trade_id", F.col("place").alias("original"))
     status = F.when(F.col("accepted"), "processed").when(F.col("original").isNotNull() & (F.col("place") - F.col("original") < window), "duplicate").otherwise("stale")
     return rows.join(first, [*KEYS, "trade_id"], "left").withColumn("status", status).drop("accepted", "place", "original")
@@ -37,8 +37,7 @@ def book_epochs(levels: DataFrame, snapshots: DataFrame) -> DataFrame:
     """levels with epoch: how many snapshots of the session came before."""
     marks = snapshots.select(*KEYS, "seq").distinct().withColumn("_snapshot", F.lit(1))
     both = levels.withColumn("_snapshot", F.lit(0)).unionByName(marks, allowMissingColumns=True)
-    w = Window.partitionBy(*KEYS).orderBy("seq", F.col("_snapshot").desc()).rangeBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("epoch", F.sum("_snapshot").over(w)).where("_snapshot = 0").drop("_snapshot")
+    return running(both, "epoch", F.col("_snapshot").cast("bigint"), "sum", then=(F.col("_snapshot").desc(),)).where("_snapshot = 0").drop("_snapshot")
 
 
 class Sequencer:
@@ -89,14 +88,16 @@ class Sequencer:
 
 def _fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("seq", kind="stable")
-    machine, out = Sequencer(), []
+    machine, out = Sequencer(), []  # out: the update, its status, and what settled it
     for seq, snapshot, first, final, previous in zip(*(rows[c].tolist() for c in ("seq", "snapshot_id", "first_update_id", "final_update_id", "previous_final_update_id")), strict=True):
         if not pd.isna(snapshot):
-            out += machine.snapshot(int(snapshot))
+            made = machine.snapshot(int(snapshot))
         else:
-            out += machine.depth(seq, int(first), int(final), None if pd.isna(previous) else int(previous))
-    out += machine.rest()
-    return pd.DataFrame({"session_id": key[0], "symbol": key[1], "seq": [s for s, _ in out], "status": [x for _, x in out]})
+            made = machine.depth(seq, int(first), int(final), None if pd.isna(previous) else int(previous))
+        out += [(*x, seq) for x in made]
+    out += [(*x, None) for x in machine.rest()]
+    at = pd.array([x[2] for x in out], "Int64")
+    return pd.DataFrame({"session_id": key[0], "symbol": key[1], "seq": [x[0] for x in out], "status": [x[1] for x in out], "at_seq": at})
 
 
 def headers(levels: DataFrame) -> DataFrame:
@@ -105,14 +106,14 @@ def headers(levels: DataFrame) -> DataFrame:
 
 
 def sequence_depth(updates: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """session_id, symbol, seq, status of each depth update; see Sequencer.
+    """session_id, symbol, seq, status of each depth update, and at_seq, the event that settled it (a snapshot for buffered ones); see Sequencer.
 
     What a snapshot finds depends on what the one before it left, so a book is one fold, over five
     numbers per update; books are folded in parallel and levels join their status afterwards.
     """
     marks = snapshots.select(*KEYS, "seq", F.col("last_update_id").alias("snapshot_id"))
     both = updates.unionByName(marks, allowMissingColumns=True)
-    return both.groupBy(*KEYS).applyInPandas(_fold, "session_id string, symbol string, seq long, status string")
+    return both.groupBy(*KEYS).applyInPandas(_fold, "session_id string, symbol string, seq long, status string, at_seq long")
 
 
 def ready_chain_breaks(updates: DataFrame, snapshots: DataFrame) -> DataFrame:

@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 from tapeweave.config import DEFAULT, Config
 from tapeweave.functions.ticks import clamp01, signed
 from tapeweave.operators.flow import large_trades
+from tapeweave.operators.running import running
 
 KEYS = ["session_id", "symbol"]
 
 
 def clusters(trades: DataFrame, gap: int = DEFAULT.cluster_gap, reach: int = DEFAULT.cluster_range * DEFAULT.tick) -> DataFrame:
     """trades with cluster: a new one starts where time or price steps further than gap or reach from the trade before."""
-    w = Window.partitionBy(*KEYS).orderBy("seq")
-    last_ms, last_price = F.lag("ts_ms").over(w), F.lag("price").over(w)
-    breaks = last_ms.isNull() | (F.col("ts_ms") - last_ms > gap) | (F.abs(F.col("price") - last_price) > reach)
-    return trades.withColumn("_new", breaks.cast("bigint")).withColumn("cluster", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    rows = running(trades, "_last", F.struct("ts_ms", "price"), "last", inclusive=False)
+    breaks = F.col("_last").isNull() | (F.col("ts_ms") - F.col("_last.ts_ms") > gap) | (F.abs(F.col("price") - F.col("_last.price")) > reach)
+    return running(rows.withColumn("_new", breaks.cast("bigint")), "cluster", F.col("_new"), "sum").drop("_new", "_last")
 
 
 def cluster_measures(clustered: DataFrame) -> DataFrame:
@@ -173,6 +173,31 @@ def sweep_events(found: DataFrame) -> DataFrame:
     return as_events(found, "sweep_candidate", "end_ms", "dominant_side", "last_price", "total_volume", SWEEP_DETAIL)
 
 
+ABSORPTION_DETAIL = ("confidence", "trade_count", "volume", "displacement", "reference", "open_ms", "last_ms", "opposing_open", "closing", "replenished")
+
+
+def absorption_events(found: DataFrame) -> DataFrame:
+    return as_events(found, "absorption_candidate", "last_ms", quantity="volume", detail=ABSORPTION_DETAIL)
+
+
+def liquidity_change_events(events: DataFrame) -> DataFrame:
+    return as_events(events, F.concat(F.lit("liquidity_"), "kind"), quantity="magnitude")
+
+
+def replenishment_events(found: DataFrame) -> DataFrame:
+    return as_events(found, "liquidity_replenishment")
+
+
+def anomaly_events(found: DataFrame) -> DataFrame:
+    return as_events(found, "book_anomaly", side=None, price=None, quantity=None, detail=("reason",))
+
+
+def sweep_closings(clustered: DataFrame, found: DataFrame) -> DataFrame:
+    """session_id, symbol, seq of the trades that close the sweeps: the first of the cluster after."""
+    first = clustered.groupBy(*KEYS, "cluster").agg(F.min("seq").alias("seq"))
+    return found.select(*KEYS, (F.col("cluster") + 1).alias("cluster")).join(first, [*KEYS, "cluster"]).drop("cluster")
+
+
 def analytics_events(*tables: DataFrame) -> DataFrame:
     """All kinds in one table."""
     out = tables[0]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tapeweave.config import DEFAULT, Config
 from tapeweave.functions.ticks import signed
 from tapeweave.operators.book import book_asof, book_measures
+from tapeweave.operators.sequence import book_epochs
 
 KEYS = ["session_id", "symbol"]
 
@@ -45,7 +46,7 @@ def microstructure_snapshots(trades: DataFrame, levels: DataFrame, snapshots: Da
     counted holds what else a snapshot counts: session_id, symbol, seq and any of liquidity_added,
     liquidity_removed, large_trade_count, sweep_count, absorption_count, replenishment_count,
     anomalies. Each measure is a sum over the events of its segment; the book is the one that stands
-    at the boundary.
+    at the boundary, ready once a snapshot has filled it.
     """
     stream = trades.select(*KEYS, "seq", "ts_ms").unionByName(levels.select(*KEYS, "seq", "ts_ms").distinct())
     segments = snapshot_segments(stream, interval)
@@ -64,6 +65,7 @@ def microstructure_snapshots(trades: DataFrame, levels: DataFrame, snapshots: Da
     per = per.withColumn("cvd", F.sum("delta").over(run))
     per = per if final else per.where("fired")
     book = book_measures(book_asof(levels, snapshots, per), cfg.depth).drop("epoch")
+    per = book_epochs(per, snapshots).withColumn("book_ready", F.col("epoch") > 0).drop("epoch")
     return per.join(book, [*KEYS, "seq"], "left").withColumns({"book_crossed": F.coalesce("crossed", F.lit(False)), "bid_depth": F.coalesce("bid_depth", F.lit(0)), "ask_depth": F.coalesce("ask_depth", F.lit(0))}).drop("crossed")
 
 

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from tapeweave.config import Config
 from tapeweave.functions import ticks
 from tapeweave.operators import audit, book, flow, heatmap, liquidity, sequence, signals, snapshots
-from tapeweave.plans.sql import BUY, MEASURES, SELL, SIGNED, over_views, total
+from tapeweave.plans.sql import ABSORBING, BUY, CROSSINGS, ENDING, FULL, MEASURES, REFILLS, REPORT, SEGMENTS, SELL, SEQUENCING, SIGNED, over_views, total
 from tapeweave.sources import tables, testdata, wire
+from tapeweave.sources.shared import kept, shared_folder
 from tapeweave.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +30,8 @@ SQL: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query; sql goes on after the views."""
+
     def keep(f: Query) -> Query:
         QUERIES[name] = f
         if sql is not None:
@@ -51,7 +54,7 @@ def events(s: SparkSession, d: str) -> DataFrame:
 
 
 def standing(s: SparkSession, d: str) -> DataFrame:
-    return book.book_asof(testdata.levels(s, d), testdata.snapshot_levels(s, d), testdata.trades(s, d).where("trade_id % 20 = 0"))
+    return book.book_asof(testdata.levels(s, d), testdata.snapshot_levels(s, d), testdata.trades(s, d))
 
 
 def timeline(s: SparkSession, d: str) -> DataFrame:
@@ -78,6 +81,10 @@ def statuses(s: SparkSession, d: str) -> DataFrame:
     return sequence.sequence_depth(sequence.headers(testdata.levels(s, d)), testdata.snapshots(s, d))
 
 
+def final_sequenced(s: SparkSession, d: str) -> DataFrame:
+    return book.sequenced_book(testdata.levels(s, d), statuses(s, d), testdata.snapshot_levels(s, d))
+
+
 def final(s: SparkSession, d: str) -> DataFrame:
     return book.final_book(testdata.levels(s, d), testdata.snapshot_levels(s, d))
 
@@ -130,8 +137,8 @@ def _(s, d):
 
 
 def _stored(s: SparkSession, d: str, table: str, rows: DataFrame) -> str:
-    """A table written for this query below the shared folder (or, where none is set, a local one)."""
-    root = f"{s.conf.get('spark.checkpoint.dir', None) or '/tmp'}/tapeweave-store/{uuid.uuid4().hex}"
+    """A table written for this query below the shared folder."""
+    root = f"{shared_folder(s)}/tapeweave-store/{uuid.uuid4().hex}"
     tables.write(rows, root, table)
     return root
 
@@ -168,7 +175,7 @@ _range_read("S-12_read_raw_events_range", tables.RAW, testdata.raw, ["session_id
 @query("S-13_read_analytics_snapshots")
 def _(s, d):
     rows = microstructure(s, d)
-    return tables.read_session(s, _stored(s, d, "analytics_snapshots", rows), "analytics_snapshots", "S0").drop("dt")
+    return shown(tables.read_session(s, _stored(s, d, "analytics_snapshots", rows), "analytics_snapshots", "S0").drop("dt"))
 
 
 @query("S-14_read_analytics_events", "SELECT session_id, symbol, end_ms AS ts_ms, 'sweep_candidate' AS kind, dominant_side AS side, last_price AS price, total_volume AS quantity FROM sw WHERE session_id = 'S0'")
@@ -337,9 +344,21 @@ def _(s, d):
     return signals.liquidity_rows(rows)
 
 
-@query("P-20_persistable_events", "SELECT 'large_trade' AS kind, count(*) AS n FROM trades WHERE quantity >= 500000000 UNION ALL SELECT 'sweep_candidate', count(*) FROM sw")
+ALL_KINDS = SEGMENTS + REFILLS + ABSORBING + CROSSINGS + """, kinds_of AS (
+  SELECT session_id, symbol, ts_ms, 'trade_delta' AS kind, side, price, quantity FROM trades
+  UNION ALL SELECT session_id, symbol, ts_ms, 'large_trade', side, price, quantity FROM trades WHERE quantity >= 500000000
+  UNION ALL SELECT session_id, symbol, end_ms, 'cluster', dominant_side, last_price, total_volume FROM cl WHERE closed
+  UNION ALL SELECT session_id, symbol, end_ms, 'sweep_candidate', dominant_side, last_price, total_volume FROM sw WHERE confidence >= 0.5
+  UNION ALL SELECT session_id, symbol, ts_ms, 'liquidity_' || kind, side, price, magnitude FROM liq
+  UNION ALL SELECT session_id, symbol, ts_ms, 'liquidity_replenishment', side, price, quantity FROM refills
+  UNION ALL SELECT session_id, symbol, last_ms, 'absorption_candidate', side, price, volume FROM absorbed
+  UNION ALL SELECT session_id, symbol, ts_ms, 'book_anomaly', NULL, NULL, NULL FROM anomalies)
+"""
+
+
+@query("P-20_persistable_events", ALL_KINDS + "SELECT * FROM kinds_of WHERE kind NOT IN ('trade_delta', 'cluster')")
 def _(s, d):
-    return signals.persistable_events(all_events(s, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return signals.persistable_events(all_events(s, d)).drop("detail")
 
 
 @query("P-21_event_detail", "SELECT session_id, symbol, end_ms AS ts_ms, start_ms, levels_crossed, duration_ms, displacement FROM sw")
@@ -364,12 +383,12 @@ def _(s, d):
     return heatmap.overlay_sweep(cells(s, d))
 
 
-@query("P-25_overlay_absorption")
+@query("P-25_overlay_absorption", REFILLS + ABSORBING + FULL + f"SELECT {CELL}, buy_volume + sell_volume AS volume, CASE WHEN delta > 0 THEN 'BUY' ELSE 'SELL' END AS direction, 0.7::DOUBLE AS confidence FROM fcells WHERE absorption_count > 0")
 def _(s, d):
     return heatmap.overlay_absorption(full_cells(s, d))
 
 
-@query("P-25_overlay_replenishment")
+@query("P-25_overlay_replenishment", REFILLS + ABSORBING + FULL + f"SELECT {CELL}, resting_bid + resting_ask AS quantity, CASE WHEN resting_bid > resting_ask THEN 'BID' ELSE 'ASK' END AS side FROM fcells WHERE replenishment_count > 0")
 def _(s, d):
     return heatmap.overlay_replenishment(full_cells(s, d))
 
@@ -405,7 +424,7 @@ def _(s, d):
     return sequence.book_epochs(testdata.levels(s, d), testdata.snapshots(s, d)).select("session_id", "seq", "epoch")
 
 
-@query("W-04_sequence_depth")
+@query("W-04_sequence_depth", SEQUENCING + "SELECT session_id, symbol, seq, status, at_seq FROM stat")
 def _(s, d):
     return statuses(s, d)
 
@@ -420,12 +439,12 @@ def _(s, d):
     return sequence.ready_chain_breaks(sequence.headers(testdata.levels(s, d)), testdata.snapshots(s, d))
 
 
-@query("W-06_apply_filter")
+@query("W-06_apply_filter", SEQUENCING + "SELECT l.* FROM levels l JOIN stat s USING (session_id, symbol, seq) WHERE status IN ('applied', 'bridged')")
 def _(s, d):
     return sequence.apply_filter(testdata.levels(s, d), statuses(s, d))
 
 
-@query("W-07_sequence_report")
+@query("W-07_sequence_report", SEQUENCING + REPORT)
 def _(s, d):
     return sequence.sequence_report(statuses(s, d))
 
@@ -491,12 +510,10 @@ _measures("T-09_microprice", ["microprice_num", "microprice_den"], f"SELECT sess
 _measures("T-10_crossed", ["crossed"], "SELECT session_id, seq, coalesce(best_bid >= best_ask, false) AS crossed FROM best")
 
 
-@query(
-    "T-11_crossed_anomalies",
-    ", c AS (SELECT *, coalesce(best_bid >= best_ask, false) AS crossed FROM xtimeline), w AS (SELECT *, coalesce(lag(crossed) OVER (PARTITION BY session_id, symbol, epoch ORDER BY seq), false) AS was FROM c) SELECT session_id, symbol, epoch, seq, ts_ms, best_bid, best_ask FROM w WHERE crossed AND NOT was",
-)
-def _(s, d):
-    return book.crossed_anomalies(book.top_of_book_timeline(testdata.levels(s, d, crossing=True), testdata.snapshot_levels(s, d))).drop("reason")
+@query("T-11_crossed_anomalies", SEGMENTS + CROSSINGS + "SELECT * FROM anomalies")
+def found_anomalies(s, d):
+    levels, ladders = testdata.levels(s, d, crossing=True), testdata.snapshot_levels(s, d, crossing=True)
+    return book.crossed_anomalies(book.top_of_book_timeline(levels, ladders), ladders, segments(s, d))
 
 
 @query("T-12_quantity_at", f"SELECT session_id, symbol, epoch, seq, side, price, quantity FROM standing WHERE side = 'BID' AND price = {99_995 * STEP}")
@@ -506,7 +523,7 @@ def _(s, d):
 
 @query("T-13_top_of_book_timeline", "SELECT *, coalesce(best_bid >= best_ask, false) AS crossed FROM timeline")
 def _(s, d):
-    return book.top_of_book_timeline(testdata.levels(s, d), testdata.snapshot_levels(s, d), chunk=500)
+    return book.top_of_book_timeline(testdata.levels(s, d), testdata.snapshot_levels(s, d))
 
 
 @query("T-14_rejected_levels", "SELECT session_id, symbol, count(*) FILTER (quantity = 500000000) AS rejected FROM ladder GROUP BY ALL")
@@ -584,9 +601,14 @@ def _(s, d):
     return flow.events_per_second(testdata.trades(s, d))
 
 
-@query("A-12_market_status")
+@query(
+    "A-12_market_status",
+    SEQUENCING + ENDING + f""", last AS (SELECT session_id, symbol, arg_max(price, seq) AS last_price, arg_max(quantity, seq) AS last_quantity, arg_max(side, seq) AS last_side FROM trades GROUP BY ALL),
+n AS (SELECT session_id, symbol, count(*) AS cell_count FROM cells GROUP BY ALL), r AS ({REPORT})
+SELECT session_id, symbol, best_bid, best_ask, mid, spread, last_price, last_quantity, last_side, cell_count, errors AS sequence_errors FROM tops FULL JOIN last USING (session_id, symbol) FULL JOIN n USING (session_id, symbol) FULL JOIN r USING (session_id, symbol)""",
+)
 def _(s, d):
-    return audit.market_status(testdata.trades(s, d), final(s, d), cells(s, d), statuses(s, d))
+    return audit.market_status(testdata.trades(s, d), final_sequenced(s, d), cells(s, d), statuses(s, d))
 
 
 @query("A-13_last_trade", "SELECT session_id, symbol, max(seq) AS seq, arg_max(trade_id, seq) AS trade_id, arg_max(price, seq) AS price, arg_max(quantity, seq) AS quantity, arg_max(side, seq) AS side, arg_max(ts_ms, seq) AS ts_ms FROM trades GROUP BY ALL")
@@ -602,37 +624,98 @@ def _(s, d):
     return flow.cvd(testdata.trades(s, d)).select("session_id", "seq", "cvd")
 
 
-SEGMENTS = """, ev AS (SELECT session_id, seq, ts_ms FROM trades UNION ALL SELECT session_id, seq, ts_ms FROM levels),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS n FROM ev),
-nxt AS (SELECT a.session_id, a.n, min(b.n) AS next_n FROM numbered a JOIN numbered b ON b.session_id = a.session_id AND b.n > a.n AND b.ts_ms - a.ts_ms >= 21600000 GROUP BY ALL)
+@query("N-02_snapshot_segments", SEGMENTS + "SELECT * FROM segs")
+def segments(s, d):
+    stream = testdata.trades(s, d).select("session_id", "symbol", "seq", "ts_ms").unionByName(testdata.levels(s, d).select("session_id", "symbol", "seq", "ts_ms"))
+    return snapshots.snapshot_segments(stream, SCALED.snapshot_interval)
+
+
+COUNTED = ["liquidity_added", "liquidity_removed", "large_trade_count", "sweep_count", "absorption_count", "replenishment_count"]
+TALLY = """, tally AS (
+  SELECT session_id, symbol, seq, CASE WHEN kind IN ('added', 'increased') THEN magnitude ELSE 0 END AS liquidity_added, CASE WHEN kind IN ('removed', 'decreased') THEN magnitude ELSE 0 END AS liquidity_removed,
+         0 AS large_trade_count, 0 AS sweep_count, 0 AS absorption_count, 0 AS replenishment_count FROM liq
+  UNION ALL SELECT session_id, symbol, seq, 0, 0, 1, 0, 0, 0 FROM trades WHERE quantity >= 500000000
+  UNION ALL SELECT w.session_id, w.symbol, min(c.seq), 0, 0, 0, 1, 0, 0 FROM sw w JOIN clustered c ON c.session_id = w.session_id AND c.symbol = w.symbol AND c.cluster = w.cluster + 1 GROUP BY w.session_id, w.symbol, w.cluster
+  UNION ALL SELECT session_id, symbol, close_seq, 0, 0, 0, 0, 1, 0 FROM absorbed
+  UNION ALL SELECT session_id, symbol, seq, 0, 0, 0, 0, 0, 1 FROM refills)
 """
 
 
-@query("N-02_snapshot_segments")
-def _(s, d):
-    stream = testdata.trades(s, d).select("session_id", "symbol", "seq", "ts_ms").unionByName(testdata.levels(s, d).select("session_id", "symbol", "seq", "ts_ms"))
-    return snapshots.snapshot_segments(stream, SCALED.snapshot_interval)
+def answers(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(level changes, refills, absorption): made once for the queries that unite them."""
+    ch = kept(changes(s, d))
+    found = signals.absorption(kept(signals.absorption_windows(traded_book(s, d), SCALED.absorption_window)), ch, SCALED)
+    return ch, kept(liquidity.replenishment(liquidity.liquidity_events(ch), SCALED.replenishment_window)), kept(found)
 
 
 def counted(s: SparkSession, d: str) -> DataFrame:
-    zero = F.lit(0).cast("bigint")
-    liq = events(s, d).select("session_id", "symbol", "seq", F.when(F.col("kind").isin("added", "increased"), F.col("magnitude")).otherwise(0).alias("liquidity_added"), F.when(F.col("kind").isin("removed", "decreased"), F.col("magnitude")).otherwise(0).alias("liquidity_removed"), zero.alias("large_trade_count"))
-    big = flow.large_trades(testdata.trades(s, d)).select("session_id", "symbol", "seq", zero.alias("liquidity_added"), zero.alias("liquidity_removed"), F.lit(1).cast("bigint").alias("large_trade_count"))
-    return liq.unionByName(big)
+    """What a snapshot counts besides the flow, each at the event that brings it about."""
+    ch, refilled, absorbed = answers(s, d)
+    one = lambda df, name, seq="seq": df.select("session_id", "symbol", F.col(seq).alias("seq"), F.lit(1).cast("bigint").alias(name))
+    up, down = F.col("kind").isin("added", "increased"), F.col("kind").isin("removed", "decreased")
+    rows = liquidity.liquidity_events(ch).select("session_id", "symbol", "seq", F.when(up, F.col("magnitude")).alias("liquidity_added"), F.when(down, F.col("magnitude")).alias("liquidity_removed"))
+    clustered = kept(signals.clusters(testdata.trades(s, d), SCALED.cluster_gap))
+    swept = signals.sweeps(signals.cluster_measures(clustered), SCALED)
+    more = [
+        one(flow.large_trades(testdata.trades(s, d)), "large_trade_count"), one(signals.sweep_closings(clustered, swept), "sweep_count"),
+        one(absorbed, "absorption_count", "close_seq"), one(refilled, "replenishment_count"),
+    ]
+    for r in more:
+        rows = rows.unionByName(r, allowMissingColumns=True)
+    return rows
 
 
 def microstructure(s: SparkSession, d: str) -> DataFrame:
     return snapshots.microstructure_snapshots(testdata.trades(s, d), testdata.levels(s, d), testdata.snapshot_levels(s, d), counted(s, d), SCALED.snapshot_interval)
 
 
+SNAPSHOT_ROWS = over_views(
+    SEGMENTS + REFILLS + ABSORBING + TALLY
+    + f""", sg AS (
+  SELECT g.session_id, g.symbol, g.segment, max(g.seq) AS seq, arg_max(g.ts_ms, g.seq) AS ts_ms, bool_or(g.fired) AS fired, CAST(coalesce(sum(t.quantity), 0) AS BIGINT) AS trade_volume,
+         CAST(sum(CASE WHEN t.side = 'BUY' THEN t.quantity ELSE 0 END) AS BIGINT) AS buy_volume, CAST(sum(CASE WHEN t.side = 'SELL' THEN t.quantity ELSE 0 END) AS BIGINT) AS sell_volume,
+         CAST(coalesce(sum(CASE WHEN t.side = 'BUY' THEN t.quantity WHEN t.side = 'SELL' THEN -t.quantity END), 0) AS BIGINT) AS delta
+  FROM segs g LEFT JOIN trades t ON t.session_id = g.session_id AND t.symbol = g.symbol AND t.seq = g.seq GROUP BY ALL),
+tl AS (SELECT g.session_id, g.symbol, g.segment, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in COUNTED)} FROM segs g JOIN tally y ON y.session_id = g.session_id AND y.symbol = g.symbol AND y.seq = g.seq GROUP BY ALL),
+sb AS (SELECT s.session_id, s.symbol, s.seq, (SELECT count(*) FROM snaps x WHERE x.session_id = s.session_id AND x.seq <= s.seq) AS epoch FROM sg s),
+sl AS (
+  SELECT p.session_id, p.symbol, p.seq, i.side, i.price, i.quantity FROM sb p JOIN intervals i
+  ON i.session_id = p.session_id AND i.symbol = p.symbol AND i.epoch = p.epoch AND i.quantity > 0 AND i.seq_from <= p.seq AND (i.seq_to IS NULL OR p.seq < i.seq_to)),
+st AS (
+  SELECT session_id, symbol, seq, max(price) FILTER (side = 'BID') AS best_bid, min(price) FILTER (side = 'ASK') AS best_ask, arg_max(quantity, price) FILTER (side = 'BID') AS bid_quantity, arg_min(quantity, price) FILTER (side = 'ASK') AS ask_quantity,
+         count(*) FILTER (side = 'BID') AS bid_levels, count(*) FILTER (side = 'ASK') AS ask_levels FROM sl GROUP BY ALL),
+sd AS (
+  SELECT session_id, symbol, seq, CAST(coalesce(sum(quantity) FILTER (side = 'BID'), 0) AS BIGINT) AS bid_depth, CAST(coalesce(sum(quantity) FILTER (side = 'ASK'), 0) AS BIGINT) AS ask_depth
+  FROM (SELECT *, row_number() OVER (PARTITION BY session_id, symbol, seq, side ORDER BY CASE WHEN side = 'BID' THEN -price ELSE price END) AS rank FROM sl) WHERE rank <= 10 GROUP BY ALL),
+micro AS (
+  SELECT sg.*, CAST(sum(sg.delta) OVER (PARTITION BY sg.session_id, sg.symbol ORDER BY sg.segment) AS BIGINT) AS cvd, {', '.join(f'coalesce(tl.{c}, 0) AS {c}' for c in COUNTED)}, sb.epoch > 0 AS book_ready,
+         st.best_bid, st.best_ask, st.bid_quantity, st.ask_quantity, st.bid_levels, st.ask_levels, coalesce(sd.bid_depth, 0) AS bid_depth, coalesce(sd.ask_depth, 0) AS ask_depth, coalesce(st.best_bid >= st.best_ask, false) AS book_crossed,
+         CASE WHEN st.best_bid < st.best_ask THEN st.best_ask - st.best_bid END AS spread, CASE WHEN st.best_bid < st.best_ask THEN (st.best_bid + st.best_ask) / 2.0 END AS mid,
+         round(CASE WHEN st.best_bid < st.best_ask AND sd.bid_depth + sd.ask_depth > 0 THEN (sd.bid_depth - sd.ask_depth) / (sd.bid_depth + sd.ask_depth) END, 6) AS imbalance,
+         CASE WHEN st.best_bid < st.best_ask THEN CAST(CAST(st.best_ask AS HUGEINT) * st.bid_quantity + CAST(st.best_bid AS HUGEINT) * st.ask_quantity AS VARCHAR) END AS microprice_num,
+         CASE WHEN st.best_bid < st.best_ask THEN CAST(st.bid_quantity + st.ask_quantity AS VARCHAR) END AS microprice_den
+  FROM sg JOIN sb USING (session_id, symbol, seq) LEFT JOIN tl ON tl.session_id = sg.session_id AND tl.symbol = sg.symbol AND tl.segment = sg.segment LEFT JOIN st USING (session_id, symbol, seq) LEFT JOIN sd USING (session_id, symbol, seq))
+"""
+)
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    return rounded(rows.withColumns({c: F.col(c).cast("string") for c in ("microprice_num", "microprice_den")}), "imbalance")
+
+
 @query("N-03_microstructure_snapshots")
 def _(s, d):
-    return microstructure(s, d)
+    return shown(microstructure(s, d))
 
 
-@query("N-04_final_snapshot", f"SELECT session_id, symbol, CAST(sum({SIGNED}) AS BIGINT) AS cvd FROM trades GROUP BY ALL")
+@query("N-04_final_snapshot")
 def _(s, d):
-    return snapshots.final_snapshot(microstructure(s, d)).select("session_id", "symbol", "cvd")
+    return shown(snapshots.final_snapshot(microstructure(s, d)))
+
+
+SQL["N-03_microstructure_snapshots"] = SNAPSHOT_ROWS + "SELECT * FROM micro"
+SQL["N-04_final_snapshot"] = SNAPSHOT_ROWS + "SELECT * FROM micro QUALIFY row_number() OVER (PARTITION BY session_id, symbol ORDER BY segment DESC) = 1"
+SQL["S-13_read_analytics_snapshots"] = SNAPSHOT_ROWS + "SELECT * FROM micro WHERE session_id = 'S0'"
 
 
 @query("L-01_liquidity_events", "SELECT session_id, symbol, epoch, seq, pos, side, price, quantity, ts_ms, old_quantity, kind, magnitude FROM liq")
@@ -645,8 +728,8 @@ def _(s, d):
     return liquidity.liquidity_totals(events(s, d))
 
 
-@query("L-03_replenishment")
-def _(s, d):
+@query("L-03_replenishment", REFILLS + "SELECT * FROM refills")
+def refills(s, d):
     return liquidity.replenishment(events(s, d), SCALED.replenishment_window)
 
 
@@ -690,26 +773,30 @@ def traded_book(s: SparkSession, d: str) -> DataFrame:
     return book.trade_with_book(t, timeline(s, d)).join(depth, ["session_id", "symbol", "seq"], "left")
 
 
+def found_absorption(s: SparkSession, d: str) -> DataFrame:
+    return signals.absorption(windows(s, d), changes(s, d), SCALED)
+
+
 def windows(s: SparkSession, d: str) -> DataFrame:
     return signals.absorption_windows(traded_book(s, d), SCALED.absorption_window)
 
 
-@query("C-05_absorption_windows")
+@query("C-05_absorption_windows", ABSORBING + "SELECT * FROM shut")
 def _(s, d):
     return windows(s, d)
 
 
-@query("C-06_absorption_liquidity")
+@query("C-06_absorption_liquidity", ABSORBING + "SELECT * FROM answered")
 def _(s, d):
     return signals.absorption_liquidity(windows(s, d), changes(s, d), SCALED.absorption_window)
 
 
-@query("C-07_absorption")
-def found_absorption(s, d):
-    return signals.absorption(windows(s, d), changes(s, d), SCALED)
+@query("C-07_absorption", ABSORBING + "SELECT * REPLACE (round(confidence, 6) AS confidence) FROM absorbed")
+def _(s, d):
+    return rounded(found_absorption(s, d), "confidence")
 
 
-@query("C-08_flush_absorption")
+@query("C-08_flush_absorption", ABSORBING + "SELECT * FROM held")
 def _(s, d):
     return signals.absorption_windows(traded_book(s, d), SCALED.absorption_window, flush=True)
 
@@ -726,12 +813,16 @@ def _(s, d):
 
 def all_events(s: SparkSession, d: str) -> DataFrame:
     t = testdata.trades(s, d)
-    return signals.analytics_events(signals.trade_delta_events(t), signals.large_trade_events(t), signals.cluster_events(cluster_rows(s, d)), signals.sweep_events(found_sweeps(s, d)))
+    ch, refilled, absorbed = answers(s, d)
+    return signals.analytics_events(
+        signals.trade_delta_events(t), signals.large_trade_events(t), signals.cluster_events(cluster_rows(s, d)), signals.sweep_events(found_sweeps(s, d)), signals.liquidity_change_events(liquidity.liquidity_events(ch)),
+        signals.replenishment_events(refilled), signals.absorption_events(absorbed), signals.anomaly_events(found_anomalies(s, d)),
+    )
 
 
-@query("C-11_analytics_events", "SELECT 'trade_delta' AS kind, count(*) AS n, CAST(sum(quantity) AS BIGINT) AS quantity FROM trades UNION ALL SELECT 'large_trade', count(*), CAST(sum(quantity) AS BIGINT) FROM trades WHERE quantity >= 500000000 UNION ALL SELECT 'cluster', count(*), CAST(sum(total_volume) AS BIGINT) FROM cl WHERE closed UNION ALL SELECT 'sweep_candidate', count(*), CAST(sum(total_volume) AS BIGINT) FROM sw")
+@query("C-11_analytics_events", ALL_KINDS + "SELECT * FROM kinds_of")
 def _(s, d):
-    return all_events(s, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("quantity"))
+    return all_events(s, d).drop("detail")
 
 
 # --- Heatmap -----------------------------------------------------------------------------------
@@ -748,12 +839,13 @@ def _(s, d):
 
 
 def full_cells(s: SparkSession, d: str) -> DataFrame:
-    refill = liquidity.replenishment(events(s, d), SCALED.replenishment_window).select("session_id", "symbol", "ts_ms", "price", F.lit("replenishment").alias("kind"))
-    absorbed = found_absorption(s, d).select("session_id", "symbol", F.col("last_ms").alias("ts_ms"), "price", F.lit("absorption").alias("kind"))
-    return heatmap.heat_cells(testdata.trades(s, d), changes(s, d), sweep_signals(s, d).unionByName(refill).unionByName(absorbed), SCALED)
+    ch, refilled, absorbed = answers(s, d)
+    refill = refilled.select("session_id", "symbol", "ts_ms", "price", F.lit("replenishment").alias("kind"))
+    absorbed = absorbed.select("session_id", "symbol", F.col("last_ms").alias("ts_ms"), "price", F.lit("absorption").alias("kind"))
+    return heatmap.heat_cells(testdata.trades(s, d), ch, sweep_signals(s, d).unionByName(refill).unionByName(absorbed), SCALED)
 
 
-@query("H-02_heat_cells_all_signals")
+@query("H-02_heat_cells_all_signals", REFILLS + ABSORBING + FULL + "SELECT * FROM fcells")
 def _(s, d):
     return full_cells(s, d)
 
@@ -827,7 +919,10 @@ def _(s, d):
     return heatmap.frame_diff(*halves(s, d))
 
 
-@query("H-11_summary_diff")
+_GAPS = ", ".join(f"a.total_{c} - b.total_{c} AS total_{c}" if c == "delta" else f"greatest(a.total_{c} - b.total_{c}, 0) AS total_{c}" for c in heatmap.SUMMED)
+
+
+@query("H-11_summary_diff", f", before AS (SELECT * FROM cells WHERE bucket < {MID}), after AS (SELECT * FROM cells WHERE bucket >= {MID} AND price > {99_985 * STEP}), b AS ({frame_sql('before', LOW, HIGH, MID)}), a AS ({frame_sql('after', LOW, HIGH, END)}) SELECT a.session_id, a.symbol, {_GAPS} FROM a JOIN b USING (session_id, symbol)")
 def _(s, d):
     before, after = halves(s, d)
     return heatmap.summary_diff(heatmap.frame(before, LOW, HIGH, MID, SCALED), heatmap.frame(after, LOW, HIGH, END, SCALED))
@@ -934,16 +1029,29 @@ def _(s, d):
     return wire.seq_slice(testdata.trades(s, d).select(TRADE), 4000, 9000)
 
 
-@query("U-04_replay_outcome")
+@query(
+    "U-04_replay_outcome",
+    (CLASSIFIED.format(window=4096) + SEQUENCING + ENDING)
+    + """, dep AS (
+  SELECT s.session_id, s.symbol, count(*) AS depth_events, count(*) FILTER (status IN ('applied', 'bridged')) AS events_applied, count(*) FILTER (status = 'stale') AS events_ignored, count(*) FILTER (status = 'mismatch') AS mm,
+         count(*) FILTER (status = 'bridged') AS br, arg_max(l.final_update_id, (at_seq, seq)) FILTER (status IN ('applied', 'bridged')) AS last_id, max(at_seq) FILTER (status IN ('applied', 'bridged')) AS last_at
+  FROM stat s JOIN levels l USING (session_id, symbol, seq) GROUP BY ALL),
+sh AS (SELECT session_id, symbol, count(*) AS snapshots_applied, max(seq) AS shot_at, arg_max(last_update_id, seq) AS shot_id FROM snaps GROUP BY ALL),
+tr AS (SELECT session_id, symbol, count(*) FILTER (status = 'processed') AS trades_processed, count(*) FILTER (status <> 'processed') AS trades_skipped FROM (SELECT * FROM c) GROUP BY ALL)
+SELECT session_id, symbol, depth_events, snapshots_applied, events_applied, events_ignored, trades_processed, trades_skipped, depth_events + snapshots_applied + trades_processed + trades_skipped AS events_total,
+       mm + snapshots_applied - br AS sequence_errors, CASE WHEN last_at >= shot_at THEN last_id ELSE shot_id END AS final_update_id, best_bid, best_ask, bid_levels, ask_levels, mid, spread
+FROM dep JOIN sh USING (session_id, symbol) JOIN tr USING (session_id, symbol) JOIN tops USING (session_id, symbol)""",
+)
 def _(s, d):
-    return audit.replay_outcome(statuses(s, d), sequence.classify_trades(testdata.repeated_trades(s, d)), final(s, d))
+    classified = sequence.classify_trades(testdata.repeated_trades(s, d))
+    return audit.replay_outcome(statuses(s, d), classified, sequence.headers(testdata.levels(s, d)), testdata.snapshots(s, d), final_sequenced(s, d))
 
 
 # --- Streams: the given events as micro-batches, drained, with what the batch forms give ----------
 
 
 def _folder(s: SparkSession) -> str:
-    return f"{s.conf.get('spark.checkpoint.dir', None) or '/tmp'}/tapeweave-stream/{uuid.uuid4().hex}"
+    return f"{shared_folder(s)}/tapeweave-stream/{uuid.uuid4().hex}"
 
 
 def _stream(name: str, make: Query, run: Callable[[DataFrame], DataFrame], sql: str | None = None, finish: Callable[[DataFrame], DataFrame] = lambda x: x) -> None:
@@ -971,12 +1079,11 @@ def _(s, d):
 
 _stream(
     "R-02_stream_flow", testdata.trades, lambda rows: streams.stream_flow(rows, HOUR),
-    "SELECT * FROM hflow WHERE bucket + 3600000 <= (SELECT max(ts_ms) FROM trades) - 900000 AND bucket < 1706600000000",
-    lambda x: x.where("bucket < 1706600000000"),
+    "SELECT * FROM hflow WHERE bucket + 3600000 <= (SELECT max(ts_ms) FROM trades) - 900000",
 )
 _stream("R-03_stream_sweeps", testdata.trades, lambda rows: streams.stream_sweeps(rows, SCALED), "SELECT * REPLACE (round(dominance, 6) AS dominance, round(confidence, 6) AS confidence) FROM sw", lambda x: rounded(x, "dominance", "confidence"))
-_stream("R-04_stream_replenishment", lambda s, d: book.with_seeds(testdata.levels(s, d), testdata.snapshot_levels(s, d)), lambda rows: streams.on_time(streams.stream_replenishment(rows, SCALED.replenishment_window)))
-_stream("R-05_stream_sequence", lambda s, d: sequence.headers(testdata.levels(s, d)).unionByName(testdata.snapshots(s, d).select("session_id", "symbol", "seq", F.col("last_update_id").alias("snapshot_id")), allowMissingColumns=True), lambda rows: streams.on_time(streams.stream_sequence(rows)))
+_stream("R-04_stream_replenishment", lambda s, d: book.with_seeds(testdata.levels(s, d), testdata.snapshot_levels(s, d)), lambda rows: streams.on_time(streams.stream_replenishment(rows, SCALED.replenishment_window)), REFILLS + "SELECT * FROM refills")
+_stream("R-05_stream_sequence", lambda s, d: sequence.headers(testdata.levels(s, d)).unionByName(testdata.snapshots(s, d).select("session_id", "symbol", "seq", F.col("last_update_id").alias("snapshot_id")), allowMissingColumns=True), lambda rows: streams.on_time(streams.stream_sequence(rows)), SEQUENCING + "SELECT session_id, symbol, seq, status FROM stat WHERE status <> 'buffered'")
 _stream("R-06_stream_dedup", testdata.repeated_trades, lambda rows: streams.on_time(streams.stream_dedup(rows)), CLASSIFIED.format(window=4096) + "SELECT * FROM c")
 
 

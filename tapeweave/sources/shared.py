@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
@@ -18,3 +18,11 @@ def shared_folder(spark: SparkSession) -> str:
         path = f"file://{tempfile.mkdtemp(prefix='tapeweave-')}"
         spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df behind a reliable checkpoint, for what several branches of a plan read: they don't make it again."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)

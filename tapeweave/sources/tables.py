@@ -16,23 +16,21 @@ TABLES = {
     "delta_by_price": ("ts_ms", ["price"]),
     "liquidity_events": ("ts_ms", ["ts_ms"]),
 }
+SEQS = 5_000_000
 RAW, TRADES, UPDATES, SNAPSHOTS = "raw_market_events", "trades", "order_book_updates", "order_book_snapshots"
 
 
 def write(rows: DataFrame, root: str, table: str, mode: str = "append", below: str = "") -> None:
     """Append rows by day and session, so that a session's or a day's read opens its own files alone.
 
+    A task and a file hold at most SEQS sequence numbers of a day and session, where rows have them.
     below names a folder under the table's, such as batch=7, which a retry overwrites as a whole.
     """
     ms = TABLES[table][0]
     day = F.to_date(F.timestamp_millis(F.col(ms)))
     parts = [c for c in ("session_id",) if c in rows.columns]
-    rows.withColumn("dt", day).repartition("dt", *parts).sortWithinPartitions(*TABLES[table][1]).write.mode(mode).partitionBy("dt", *parts).parquet(f"{root}/{table}/{below}" if below else f"{root}/{table}")
-
-
-def write_batches(tables: dict[str, DataFrame], root: str) -> None:
-    for name, rows in tables.items():
-        write(rows, root, name)
+    pieces = [F.floor(F.col("seq") / SEQS)] if "seq" in rows.columns else []
+    rows.withColumn("dt", day).repartition("dt", *parts, *pieces).sortWithinPartitions(*TABLES[table][1]).write.mode(mode).partitionBy("dt", *parts).parquet(f"{root}/{table}/{below}" if below else f"{root}/{table}")
 
 
 def read(spark: SparkSession, root: str, table: str) -> DataFrame:

@@ -61,15 +61,16 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels(spark, sf_dir).withColumn("n", at).where("n % 50 = 0").select("session_id", "symbol", (F.col("seq") + 1).alias("seq"), F.col("final_update_id").alias("last_update_id"), "ts_ms")
 
 
-def snapshot_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ladder of each snapshot: RUNGS levels a side, bids first."""
+def snapshot_levels(spark: SparkSession, sf_dir: str, crossing: bool = False) -> DataFrame:
+    """The ladder of each snapshot: RUNGS levels a side, bids first; crossing lifts the bids of some above the asks."""
+    lift = F.when(F.col("seq") % 7 == 0, 5).otherwise(0) if crossing else F.lit(0)
     rung = F.explode(F.sequence(F.lit(0), F.lit(2 * RUNGS - 1))).alias("pos")
     s = snapshots(spark, sf_dir).select("*", rung)
     i = (F.col("pos") % RUNGS).cast("bigint")
     bid = F.col("pos") < RUNGS
     return s.select(
         "session_id", "symbol", "seq", "pos", F.when(bid, "BID").otherwise("ASK").alias("side"),
-        (F.when(bid, 100_000 - i).otherwise(100_001 + i) * STEP).alias("price"), ((i + 1) * SCALE).alias("quantity"), "ts_ms", "last_update_id",
+        (F.when(bid, 100_000 - i + lift).otherwise(100_001 + i) * STEP).alias("price"), ((i + 1) * SCALE).alias("quantity"), "ts_ms", "last_update_id",
     )
 
 

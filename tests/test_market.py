@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tapeweave.config import DEFAULT, SCALE, Config
 from tapeweave.functions import ticks as fn
 from tapeweave.operators import audit, book, flow, heatmap, liquidity, sequence, signals, snapshots
+from tapeweave.operators.running import running
 from tapeweave.sources import tables, wire
 from tests.market import levels, seed_book, ticks, trades
 
@@ -46,7 +47,44 @@ def test_crossing_is_reported_once(spark):
     updates = levels(spark, [(1, 0, "BID", 68000.2, 1, 10), (2, 0, "BID", 68000.3, 1, 11), (3, 0, "BID", 68000.2, 0, 12), (4, 0, "BID", 68000.3, 0, 13), (5, 0, "BID", 68000.2, 2, 14)])
     line = book.top_of_book_timeline(updates, seed_book(spark), chunk=2)
     assert [r.crossed for r in line.orderBy("seq").collect()] == [True, True, True, False, True]
-    assert rows(book.crossed_anomalies(line), "seq") == [(1,), (5,)]
+    quiet = spark.createDataFrame([], "session_id string, symbol string, seq long, fired boolean")
+    assert rows(book.crossed_anomalies(line, seed_book(spark), quiet), "seq", "reason") == [(1, "crossed book after update"), (5, "crossed book after update")]
+    ends = spark.createDataFrame([("S", "X", 1, True)], quiet.schema)  # a segment that ends with update 1 forgets that the book is crossed
+    assert rows(book.crossed_anomalies(line, seed_book(spark), ends), "seq") == [(1,), (2,), (5,)]
+
+
+def test_a_crossed_snapshot_is_an_anomaly_once(spark):
+    ladder = levels(spark, [(0, 0, "BID", 68000.2, 1, 0), (0, 1, "ASK", 68000.1, 1, 0)])
+    line = book.top_of_book_timeline(levels(spark, [(1, 0, "BID", 67999.0, 1, 1), (2, 0, "BID", 68000.2, 0, 2), (3, 0, "BID", 68000.3, 1, 3)]), ladder)
+    quiet = spark.createDataFrame([], "session_id string, symbol string, seq long, fired boolean")
+    assert rows(book.crossed_anomalies(line, ladder, quiet), "seq", "reason") == [(0, "crossed book after snapshot"), (3, "crossed book after update")]
+
+
+def test_replay_ends_with_the_sequenced_book(spark):
+    ids = {1: (100, 105, 99), 2: (106, 110, 105), 4: (111, 115, 110), 5: (200, 210, 999)}
+    updates = levels(spark, [(1, 0, "BID", 68000.0, 7, 1), (2, 0, "BID", 67999.9, 2, 2), (4, 0, "ASK", 68000.3, 4, 4), (5, 0, "BID", 68000.2, 9, 5)])
+    headers = spark.createDataFrame([("S", "X", seq, *x) for seq, x in ids.items()], "session_id string, symbol string, seq long, first_update_id long, final_update_id long, previous_final_update_id long")
+    shots = spark.createDataFrame([("S", "X", 3, 103)], "session_id string, symbol string, seq long, last_update_id long")
+    ladder = levels(spark, [(3, 0, "BID", 68000.0, 1, 3), (3, 1, "ASK", 68000.1, 1, 3)])
+    statuses = sequence.sequence_depth(headers, shots)
+    assert rows(statuses, "seq", "status", "at_seq") == [(1, "bridged", 3), (2, "applied", 3), (4, "applied", 4), (5, "mismatch", 5)]
+    found = book.sequenced_book(updates, statuses, ladder)  # updates 1 and 2 come before the snapshot and apply to it; 5 doesn't
+    assert rows(found, "price", "quantity") == [(ticks(67999.9), 2 * SCALE), (ticks(68000.0), 7 * SCALE), (ticks(68000.1), SCALE), (ticks(68000.3), 4 * SCALE)]
+    done = spark.createDataFrame([("S", "X", "processed"), ("S", "X", "stale")], "session_id string, symbol string, status string")
+    r = audit.replay_outcome(statuses, done, headers, shots, found).first()
+    assert (r.events_total, r.depth_events, r.events_applied, r.sequence_errors, r.final_update_id, r.trades_skipped) == (7, 4, 3, 1, 115, 1)
+    assert (r.best_bid, r.best_ask, r.bid_levels, r.ask_levels, r.spread) == (ticks(68000.0), ticks(68000.1), 2, 2, ticks(0.1))
+
+
+def test_running_values_cross_chunks(spark):
+    t = trades(spark, [(i, i, 68000.0, 1 + i % 3, "BUY", i) for i in range(60)])
+    for chunk in (1, 7, 1000):
+        got = running(t, "s", F.col("quantity"), "sum", chunk=chunk)
+        got = running(got, "m", F.when(F.col("seq") % 11 == 0, F.col("seq")), "last", inclusive=False, chunk=chunk)
+        out = rows(running(got, "x", F.col("quantity"), "max", inclusive=False, chunk=chunk), "seq", "s", "m", "x")
+        for seq, total, last, top in out:
+            assert total == sum(1 + i % 3 for i in range(seq + 1)) * SCALE
+            assert last == (max(i for i in range(0, seq, 11)) if seq else None) and top == (max(1 + i % 3 for i in range(seq)) * SCALE if seq else None)
 
 
 def test_liquidity_and_refill(spark):
