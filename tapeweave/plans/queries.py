@@ -178,9 +178,10 @@ def _(s, d):
     return shown(tables.read_session(s, _stored(s, d, "analytics_snapshots", rows), "analytics_snapshots", "S0").drop("dt"))
 
 
-@query("S-14_read_analytics_events", "SELECT session_id, symbol, end_ms AS ts_ms, 'sweep_candidate' AS kind, dominant_side AS side, last_price AS price, total_volume AS quantity FROM sw WHERE session_id = 'S0'")
+@query("S-14_read_analytics_events", "SELECT session_id, symbol, end_ms AS ts_ms, 'sweep_candidate' AS kind, dominant_side AS side, last_price AS price, total_volume AS quantity, levels_crossed, duration_ms, displacement, first_price, delta FROM sw WHERE session_id = 'S0'")
 def _(s, d):
-    return tables.read_session(s, _stored(s, d, "analytics_events", signals.sweep_events(found_sweeps(s, d))), "analytics_events", "S0").select("session_id", "symbol", "ts_ms", "kind", "side", "price", "quantity")
+    rows = tables.read_session(s, _stored(s, d, "analytics_events", signals.sweep_events(found_sweeps(s, d))), "analytics_events", "S0")
+    return detailed(rows, "levels_crossed", "duration_ms", "displacement", "first_price", "delta")
 
 
 @query("S-15_read_delta_by_price", f"SELECT session_id, symbol, price, {MEASURES}, count(*) FILTER (quantity >= 500000000) AS large_trade_count FROM trades WHERE session_id = 'S0' GROUP BY ALL")
@@ -532,9 +533,9 @@ def _(s, d):
     return book.rejected_levels(rows.withColumn("quantity", F.when(F.col("quantity") == 500_000_000, 0).otherwise(F.col("quantity"))))
 
 
-@query("T-15_trade_with_book", "SELECT t.session_id, t.seq, t.trade_id, b.best_bid, b.best_ask, b.epoch FROM trades t ASOF LEFT JOIN timeline b ON b.session_id = t.session_id AND b.seq <= t.seq")
+@query("T-15_trade_with_book", "SELECT t.session_id, t.seq, t.trade_id, b.best_bid, b.best_ask, b.bid_quantity, b.ask_quantity, CASE WHEN b.seq IS NOT NULL THEN coalesce(b.best_bid >= b.best_ask, false) END AS crossed, b.epoch FROM trades t ASOF LEFT JOIN timeline b ON b.session_id = t.session_id AND b.seq <= t.seq")
 def _(s, d):
-    return book.trade_with_book(testdata.trades(s, d), timeline(s, d)).select("session_id", "seq", "trade_id", "best_bid", "best_ask", "epoch")
+    return book.trade_with_book(testdata.trades(s, d), timeline(s, d)).select("session_id", "seq", "trade_id", "best_bid", "best_ask", "bid_quantity", "ask_quantity", "crossed", "epoch")
 
 
 # --- Flow --------------------------------------------------------------------------------------
@@ -756,9 +757,14 @@ def _(s, d):
     return rounded(cluster_rows(s, d), "dominance")
 
 
-@query("C-03_cluster_events", "SELECT session_id, symbol, end_ms AS ts_ms, 'cluster' AS kind, dominant_side AS side, last_price AS price, total_volume AS quantity FROM cl WHERE closed")
+def detailed(rows: DataFrame, *names: str) -> DataFrame:
+    """Events with numbers of their detail as columns."""
+    return rows.select("session_id", "symbol", "ts_ms", "kind", "side", "price", "quantity", *(F.get_json_object("detail", f"$.{n}").cast("bigint").alias(n) for n in names))
+
+
+@query("C-03_cluster_events", "SELECT session_id, symbol, end_ms AS ts_ms, 'cluster' AS kind, dominant_side AS side, last_price AS price, total_volume AS quantity, start_ms, levels_crossed, trade_count, buy_volume, sell_volume, delta FROM cl WHERE closed")
 def _(s, d):
-    return signals.cluster_events(cluster_rows(s, d)).drop("detail")
+    return detailed(signals.cluster_events(cluster_rows(s, d)), "start_ms", "levels_crossed", "trade_count", "buy_volume", "sell_volume", "delta")
 
 
 @query("C-04_sweeps", "SELECT * REPLACE (round(dominance, 6) AS dominance, round(confidence, 6) AS confidence) FROM sw WHERE confidence >= 0.5")
@@ -946,13 +952,13 @@ def _(s, d):
 
 @query(
     "H-14_nearest_cell",
-    """, pr AS (SELECT session_id, symbol, trade_id AS probe_id, price + 3000000 + (trade_id % 5) * 40000000 AS target FROM trades WHERE trade_id % 50 = 0),
+    """, pr AS (SELECT session_id, symbol, trade_id AS probe_id, price + 3000000 + (trade_id % 5) * 40000000 AS target FROM trades),
 u AS (SELECT DISTINCT session_id, symbol, price FROM cells), sp AS (SELECT session_id, max(price) - min(price) AS span FROM u GROUP BY ALL),
 b AS (SELECT pr.session_id, pr.symbol, pr.probe_id, pr.target, u.price AS nearest, abs(u.price - pr.target) AS distance FROM pr JOIN u ON u.session_id = pr.session_id AND u.symbol = pr.symbol QUALIFY row_number() OVER (PARTITION BY pr.session_id, pr.probe_id ORDER BY abs(u.price - pr.target), u.price) = 1)
 SELECT b.* FROM b JOIN sp USING (session_id) WHERE distance < 0.05 * span""",
 )
 def _(s, d):
-    probes = testdata.trades(s, d).where("trade_id % 50 = 0").select("session_id", "symbol", F.col("trade_id").alias("probe_id"), (F.col("price") + 3_000_000 + F.col("trade_id") % 5 * 40_000_000).alias("target"))
+    probes = testdata.trades(s, d).select("session_id", "symbol", F.col("trade_id").alias("probe_id"), (F.col("price") + 3_000_000 + F.col("trade_id") % 5 * 40_000_000).alias("target"))
     return heatmap.nearest_cell(cells(s, d), probes)
 
 
@@ -1019,7 +1025,7 @@ def _(s, d):
     return wire.merge_session(testdata.snapshots(s, d), testdata.levels(s, d), testdata.trades(s, d)).select("session_id", "symbol", "seq", "event_type", "ts_ms")
 
 
-@query("U-02_depth_regroup", "SELECT session_id, symbol, seq, CAST(20 AS INTEGER) AS bids, CAST(20 AS INTEGER) AS asks, CAST(99999 * 10000000::BIGINT AS BIGINT) AS second_bid FROM snaps")
+@query("U-02_depth_regroup", "SELECT session_id, symbol, seq, CAST(count(*) FILTER (side = 'BID') AS INTEGER) AS bids, CAST(count(*) FILTER (side = 'ASK') AS INTEGER) AS asks, max(price) FILTER (side = 'BID' AND pos = 1) AS second_bid FROM ladder GROUP BY ALL")
 def _(s, d):
     return wire.depth_regroup(testdata.snapshot_levels(s, d)).select("session_id", "symbol", "seq", F.size("bids").alias("bids"), F.size("asks").alias("asks"), F.col("bids")[1]["price"].alias("second_bid"))
 
@@ -1087,15 +1093,16 @@ _stream("R-05_stream_sequence", lambda s, d: sequence.headers(testdata.levels(s,
 _stream("R-06_stream_dedup", testdata.repeated_trades, lambda rows: streams.on_time(streams.stream_dedup(rows)), CLASSIFIED.format(window=4096) + "SELECT * FROM c")
 
 
-@query("R-07_stream_frame_diff", "SELECT session_id, symbol, price, arg_max(buy_volume, bucket) AS buy_volume FROM hflow GROUP BY ALL")
+FLOW = ["buy_volume", "sell_volume", "delta", "trade_count", "large_volume"]
+
+
+@query("R-07_stream_frame_diff", "SELECT session_id, symbol, price, " + ", ".join(f"arg_max({c}, bucket) AS {c}" for c in FLOW) + " FROM hflow GROUP BY ALL")
 def _(s, d):
     path = _folder(s)
     streams.stream_frame_diff(streams.replayed(s, testdata.trades(s, d), f"{path}/in"), path, f"{path}/checkpoint", SCALED).awaitTermination()
-    held = None
-    for i in range(3):
-        diff = s.read.parquet(f"{path}/diff/{i}")
-        held = heatmap.apply_diff(diff.limit(0) if held is None else held, diff)
-    return held.select("session_id", "symbol", "price", "buy_volume")
+    newest = F.max_by(F.struct("change", *FLOW), F.col("batch")).alias("x")  # what the diffs leave of each price, one after the other
+    held = s.read.parquet(f"{path}/diff/*").groupBy("session_id", "symbol", "price").agg(newest)
+    return held.where("x.change <> 'removed'").select("session_id", "symbol", "price", *(f"x.{c}" for c in FLOW))
 
 
 def queries() -> dict[str, Query]:

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 from copy import copy
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +30,11 @@ from tapeweave.sources import tables, wire
 KEYS = ["session_id", "symbol"]
 STATE = "last_seq long, fold string"
 Fold = Callable[[Any, dict], tuple[Any, list[dict]]]
+Step = Callable[[Any, pd.DataFrame], tuple[Any, pd.DataFrame]]
 
 
-def keyed_fold(rows: DataFrame, keys: list[str], fold: Fold, start: Any, schema: str) -> DataFrame:
-    """fold(state, row) gives the new state and rows of schema (without the keys); late rows come out with late true and nulls."""
+def keyed_frames(rows: DataFrame, keys: list[str], step: Step, start: Any, schema: str) -> DataFrame:
+    """step(state, a key's new rows in order) gives the new state and rows of schema (without the keys); late rows come out with late true and nulls."""
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     head = ", ".join(f"{k} {types[k]}" for k in keys)
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
@@ -43,18 +45,17 @@ def keyed_fold(rows: DataFrame, keys: list[str], fold: Fold, start: Any, schema:
         if held.exists:
             last, text = held.get
             state = json.loads(text)
-        before, out = last, []
-        pdf = pd.concat(list(batches)).sort_values(ordered, kind="stable")
-        for row in pdf.to_dict("records"):
-            if row["seq"] <= before:
-                out.append({"late": True, "late_seq": row["seq"]})
-                continue
-            last = max(last, row["seq"])
-            state, made = fold(state, row)
-            out += [{**m, "late": False, "late_seq": None} for m in made]
+        pdf = pd.concat(list(batches)).sort_values(ordered, kind="stable", ignore_index=True)
+        late = pdf["seq"] <= last
+        out = [pd.DataFrame({"late": True, "late_seq": pdf["seq"][late]})] if late.any() else []
+        if not late.all():
+            fresh = pdf[~late].reset_index(drop=True)
+            state, made = step(state, fresh)
+            last = int(fresh["seq"].iloc[-1])
+            out += [made.assign(late=False, late_seq=None)] if len(made) else []
         held.update((int(last), json.dumps(state)))
-        if out:
-            got = pd.DataFrame(out).reindex(columns=[*names, "late", "late_seq"])
+        for part in out:
+            got = part.reindex(columns=[*names, "late", "late_seq"])
             for name, value in zip(keys, key, strict=True):
                 got[name] = value
             yield got[[*keys, *names, "late", "late_seq"]]
@@ -62,6 +63,19 @@ def keyed_fold(rows: DataFrame, keys: list[str], fold: Fold, start: Any, schema:
     return rows.groupBy(*keys).applyInPandasWithState(run, f"{head}, {schema}, late boolean, late_seq long", STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def keyed_fold(rows: DataFrame, keys: list[str], fold: Fold, start: Any, schema: str) -> DataFrame:
+    """keyed_frames for what depends on each row in turn: fold(state, row) gives the new state and rows."""
+
+    def step(state: Any, pdf: pd.DataFrame) -> tuple[Any, pd.DataFrame]:
+        out = []
+        for row in pdf.to_dict("records"):
+            state, made = fold(state, row)
+            out += made
+        return state, pd.DataFrame(out)
+
+    return keyed_frames(rows, keys, step, start, schema)
+
+
 def on_time(rows: DataFrame) -> DataFrame:
     return rows.where("not late").drop("late", "late_seq")
 
@@ -103,33 +117,44 @@ def stream_flow(trades: DataFrame, interval: int = DEFAULT.cell, late: str = "15
 CLUSTER = "cluster long, start_ms long, end_ms long, high long, low long, total_volume long, buy_volume long, sell_volume long, trade_count long, largest_trade long, first_price long, last_price long, levels_crossed long, monotonic boolean, last_seq long, delta long, dominant_side string, dominance double, closed boolean"
 
 
-def clustering(gap: int, reach: int) -> Fold:
-    """The open cluster as state; a trade that doesn't fit closes it."""
-
-    def fold(c: dict | None, row: dict) -> tuple[dict, list[dict]]:
-        price, q, ms, buys = int(row["price"]), int(row["quantity"]), int(row["ts_ms"]), row["side"] == "BUY"
-        out = []
-        if c is None or ms - c["end_ms"] > gap or abs(price - c["last_price"]) > reach:
-            if c is not None:
-                d = c["buy_volume"] - c["sell_volume"]
-                out.append({**c, "delta": d, "dominant_side": "BUY" if d >= 0 else "SELL", "dominance": max(c["buy_volume"], c["sell_volume"]) / c["total_volume"] if c["total_volume"] else 0.0, "closed": True})
-            number = 1 if c is None else c["cluster"] + 1
-            c = {"cluster": number, "start_ms": ms, "end_ms": ms, "high": price, "low": price, "total_volume": 0, "buy_volume": 0, "sell_volume": 0, "trade_count": 0, "largest_trade": 0, "first_price": price, "last_price": price, "levels_crossed": 1, "monotonic": True, "last_seq": -1}
-        else:
-            c = dict(c)
-        if price != c["last_price"]:
-            c["levels_crossed"] += 1
-            up = c["buy_volume"] >= c["sell_volume"]
-            c["monotonic"] = c["monotonic"] and (price > c["last_price"]) == up
-        c["buy_volume" if buys else "sell_volume"] += q
-        c.update(end_ms=ms, high=max(c["high"], price), low=min(c["low"], price), total_volume=c["total_volume"] + q, trade_count=c["trade_count"] + 1, largest_trade=max(c["largest_trade"], q), last_price=price, last_seq=int(row["seq"]))
-        return c, out
-
-    return fold
+# How partial measures of one cluster unite: those of a batch's trades, and those of the open cluster with a batch's.
+UNITE = {"start_ms": "first", "end_ms": "last", "high": "max", "low": "min", "total_volume": "sum", "buy_volume": "sum", "trade_count": "sum", "largest_trade": "max", "first_price": "first", "last_price": "last", "moves": "sum", "against": "sum", "last_seq": "last"}
+
+
+def clustering(gap: int, reach: int) -> Step:
+    """The partial measures of the open cluster as state; a batch's clusters are cut and measured in columns, and all but the last are closed."""
+
+    def step(held: dict | None, t: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
+        before = t[["ts_ms", "price"]].shift().astype("Int64")
+        if held:
+            before.iloc[0] = [held["end_ms"], held["last_price"]]
+        new = (before["ts_ms"].isna() | (t["ts_ms"] - before["ts_ms"] > gap) | ((t["price"] - before["price"]).abs() > reach)).fillna(True).astype(bool)
+        cluster = (held["cluster"] if held else 0) + new.cumsum()
+        move = (t["price"] - before["price"]).where(~new, 0)
+        bought = t["quantity"].where(t["side"] == "BUY", 0)
+        balance = (2 * bought - t["quantity"]).groupby(cluster).cumsum() - (2 * bought - t["quantity"])
+        if held:
+            balance = balance + (2 * held["buy_volume"] - held["total_volume"]) * (cluster == held["cluster"])
+        parts = pd.DataFrame(
+            {
+                "cluster": cluster, "start_ms": t["ts_ms"], "end_ms": t["ts_ms"], "high": t["price"], "low": t["price"], "total_volume": t["quantity"], "buy_volume": bought, "trade_count": 1, "largest_trade": t["quantity"],
+                "first_price": t["price"], "last_price": t["price"], "moves": (move != 0).astype("int64"), "against": ((move != 0) & ((move > 0) != (balance >= 0))).astype("int64"), "last_seq": t["seq"],
+            }
+        )
+        measured = pd.concat([pd.DataFrame([held] if held else []), parts]).groupby("cluster", as_index=False).agg(UNITE).astype("int64")
+        done = measured.iloc[:-1]
+        sold = done["total_volume"] - done["buy_volume"]
+        out = done.assign(
+            sell_volume=sold, levels_crossed=done["moves"] + 1, monotonic=done["against"] == 0, delta=done["buy_volume"] - sold, dominant_side=np.where(done["buy_volume"] >= sold, "BUY", "SELL"),
+            dominance=np.where(done["total_volume"] > 0, np.maximum(done["buy_volume"], sold) / done["total_volume"].clip(lower=1), 0.0), closed=True,
+        )
+        return {k: int(v) for k, v in measured.iloc[-1].items()}, out
+
+    return step
 
 
 def stream_clusters(trades: DataFrame, gap: int = DEFAULT.cluster_gap, reach: int = DEFAULT.cluster_range * DEFAULT.tick) -> DataFrame:
-    return keyed_fold(trades, KEYS, clustering(gap, reach), None, CLUSTER)
+    return keyed_frames(trades, KEYS, clustering(gap, reach), None, CLUSTER)
 
 
 def stream_sweeps(trades: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
