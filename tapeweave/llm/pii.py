@@ -75,13 +75,15 @@ TOLD = re.compile(
     r"|passport\b(?: (?:no|number|is))?[.:#]* {0,2}(?P<passport>[A-Z]{0,2}\d{6,9})"
     r"|(?:dob|date of birth|born(?: on)?)\b[.:]? {0,2}(?P<dob>\d{4}-\d\d-\d\d|\d\d[./]\d\d[./]\d{4}))(?!\w)", re.I,
 )
-TOLD_HINTS = ("phone", "tel", "mobile", "cell", "fax", "passport", "dob", "birth", "born")
+TOLD_BEFORE = 40  # characters in which a word that says what a number is stands before it
+NUMERIC = re.compile(r"\d{6,15}|\d{4}-\d\d-\d\d|\d\d[./]\d\d[./]\d{4}")
 IPV6 = re.compile(r"(?<![\w:.])(?=[0-9a-fA-F:]*[0-9])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:])|(?<![\w:.])(?:[0-9a-fA-F]{1,4}:){2,6}:(?:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,5})(?![\w:])")
 DIGITS = re.compile(r"[+(\d][\d ().+-]{6,}")
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")
 IBAN_CLUE = re.compile(r"[A-Z][A-Z]\d\d")
-PERSON = re.compile(rf"\b(?:(?i:{'|'.join(map(re.escape, CUES))}) (?P<cued>{CAPITAL}(?:[ -]{CAPITAL}){{1,2}})|(?P<title>{'|'.join(sum(TITLES.values(), []))})\.? (?P<titled>{CAPITAL}(?:[ -]{CAPITAL}){{0,2}})|(?P<given>{'|'.join(sorted(SEX, key=len, reverse=True))}) (?P<surname>{CAPITAL}))")
-CALLED = re.compile("|".join(sorted([*sum(TITLES.values(), []), *SEX], key=len, reverse=True)) + "|(?i:" + "|".join(map(re.escape, CUES)) + ")")
+CUED = re.compile(rf"\b(?i:{'|'.join(map(re.escape, CUES))}) (?P<cued>{CAPITAL}(?:[ -]{CAPITAL}){{1,2}})")
+PERSON = re.compile(rf"\b(?:(?P<title>{'|'.join(sum(TITLES.values(), []))})\.? (?P<titled>{CAPITAL}(?:[ -]{CAPITAL}){{0,2}})|(?P<given>{'|'.join(sorted(SEX, key=len, reverse=True))}) (?P<surname>{CAPITAL}))")
+CALLED = re.compile("|".join(sorted([*sum(TITLES.values(), []), *SEX], key=len, reverse=True)))
 WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿА-Яа-яЁёẞß]+")
 
 
@@ -338,13 +340,17 @@ def found(text: str) -> list[tuple[int, int, str, str]]:
                 last = m.end()
     if IBAN_CLUE.search(text):
         spans += [(m.start(), m.end(), "iban", canonical("iban", m[0])) for m in IBAN.finditer(text)]
-    if any(h in low for h in TOLD_HINTS):
-        for m in TOLD.finditer(text):
+    for near in NUMERIC.finditer(text):
+        told = [m for m in TOLD.finditer(text, max(0, near.start() - TOLD_BEFORE), near.end() + 1) if m.end() > near.start()]
+        for m in told:
             spans.append((m.start(m.lastgroup), m.end(m.lastgroup), m.lastgroup, canonical(m.lastgroup, m[m.lastgroup])))
     if "::" in text or text.count(":") >= 7:
         spans += [(m.start(), m.end(), "ip6", canonical("ip6", m[0])) for m in IPV6.finditer(text)]
-    if CALLED.search(text):
-        named = [x for m in PERSON.finditer(text) for x in _names(m)]
+    people = list(PERSON.finditer(text)) if CALLED.search(text) else []
+    if any(cue in low for cue in CUES):
+        people += CUED.finditer(text)
+    if people:
+        named = sorted({x for m in people for x in _names(m)})
         kinds: dict[str, str] = {}
         for _, _, kind, value in named:  # one name is one entity in a document, whose gender any of its mentions may tell
             if kinds.get(value, "-u").endswith("-u"):
@@ -361,14 +367,14 @@ def found(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def _names(m: re.Match) -> Iterator[tuple[int, int, str, str]]:
-    if m["title"]:
+    if m.re is CUED:
+        words, at = re.split("[ -]", m["cued"]), m.start("cued")
+        sex = SEX[words[0]][1] if words[0] in SEX else "u"
+    elif m["title"]:
         sex = next(sex for sex, titles in TITLES.items() if m["title"] in titles)
         words, at = re.split("[ -]", m["titled"]), m.start("titled")
         if len(words) > 1 and words[0] in SEX:
             sex = SEX[words[0]][1]
-    elif m["cued"]:
-        words, at = re.split("[ -]", m["cued"]), m.start("cued")
-        sex = SEX[words[0]][1] if words[0] in SEX else "u"
     else:
         sex, words, at = SEX[m["given"]][1], [m["given"], m["surname"]], m.start("given")
     for i, word in enumerate(words):
