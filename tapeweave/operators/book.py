@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tapeweave.config import DEFAULT, SCALE
 from tapeweave.operators.running import running
 from tapeweave.operators.sequence import book_epochs
+from tapeweave.sources.shared import kept
 
 KEYS = ["session_id", "symbol"]
 LEVEL = [*KEYS, "epoch", "side", "price"]
@@ -36,7 +37,10 @@ def level_changes(levels: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 def level_intervals(levels: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Each level's quantity with the half-open range of seq in which it stands; seq_to is null at the end of an epoch."""
-    rows = with_seeds(levels, snapshots)
+    return _intervals(with_seeds(levels, snapshots))
+
+
+def _intervals(rows: DataFrame) -> DataFrame:
     last = rows.groupBy(*LEVEL, "seq").agg(F.max_by(F.struct("quantity", "ts_ms"), F.col("pos")).alias("x"))
     w = Window.partitionBy(*LEVEL).orderBy("seq")
     return last.select(*LEVEL, F.col("x.quantity").alias("quantity"), F.col("x.ts_ms").alias("ts_ms"), F.col("seq").alias("seq_from"), F.lead("seq").over(w).alias("seq_to"))
@@ -187,9 +191,9 @@ def top_of_book_timeline(levels: DataFrame, snapshots: DataFrame, chunk: int = C
     book at its start, which the validity intervals give, and afresh from each snapshot inside it:
     chunks run in parallel and hold one book.
     """
-    rows = with_seeds(levels, snapshots).withColumn("chunk", F.col("seq") - F.col("seq") % chunk)
+    rows = kept(with_seeds(levels, snapshots)).withColumn("chunk", F.col("seq") - F.col("seq") % chunk)  # read by three branches
     starts = rows.where("not seed").select(*KEYS, "epoch", "chunk").distinct()
-    i = level_intervals(levels, snapshots).where("quantity > 0")
+    i = _intervals(rows).where("quantity > 0")
     first = lambda c: F.col(c) - F.col(c) % chunk
     ends = starts.groupBy(*KEYS, "epoch").agg(F.max("chunk").alias("last"))
     over = i.join(ends, [*KEYS, "epoch"]).withColumns({"low": first("seq_from") + chunk, "high": F.least(F.coalesce(first("seq_to"), F.col("last")), F.col("last"))}).where("low <= high")
