@@ -15,6 +15,7 @@ from tapeweave.llm.mixing import mix
 from tapeweave.llm.near_dedup import near_dedup
 from tapeweave.llm.pii import pseudonymised
 from tapeweave.llm.quality import quality_scores
+from tapeweave.llm.simhash import simhash_dedup
 from tapeweave.llm.substring_dedup import repeated_passages
 from tapeweave.llm.warc import through_archives
 
@@ -59,8 +60,12 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_pii, op2_mixing, op3_bpe, op4_substring_dedup, op5_fingerprints, op6_html_text, op7_exact_dedup, op8_warc, op9_quality, op10_near_dedup)
+    own = (op1_pii, op2_mixing, op3_bpe, op4_substring_dedup, op5_fingerprints, op6_html_text, op7_exact_dedup, op8_warc, op9_quality, op10_near_dedup, op12_simhash)
     return {f.__name__: f for f in own}
 
 
