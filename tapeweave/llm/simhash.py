@@ -20,9 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeweave.llm.common import cut, saved, small_batches, text_of
+from tapeweave.llm.common import cut, parts, saved, small_batches, text_of
 from tapeweave.llm.near_dedup import contract
-from tapeweave.llm.words import per_slice
+from tapeweave.llm.words import per_slice, places, spaced
 
 K, RADIUS, SEED = 3, 2, 42
 HASHES = 1 << 16  # hashes whose bits are counted at a time
@@ -45,32 +45,18 @@ def fingerprint_column(texts: pa.Array, k: int = K) -> np.ndarray:
     """The fingerprints of texts, as signed 64-bit numbers; a text without words has 0."""
     out = []
     for _, w in per_slice(texts):
-        spaced, start = _spaced(w)
+        text, start = spaced(w)
         sizes = np.diff(w.first)
         runs = np.where(sizes > 0, np.maximum(sizes - k + 1, 1), 0)
-        first = np.repeat(w.first[:-1], runs) + _places(runs)
+        first = np.repeat(w.first[:-1], runs) + places(runs)
         last = np.minimum(first + k, np.repeat(w.first[1:], runs)) - 1
         stop = start[last] + (w.end - w.start)[last]
         hashed = xxhash.xxh64_digest
-        digests = b"".join([hashed(spaced[a:b], SEED) for a, b in zip(start[first].tolist(), stop.tolist(), strict=True)])
+        digests = b"".join([hashed(text[a:b], SEED) for a, b in zip(start[first].tolist(), stop.tolist(), strict=True)])
         out.append(_majority(digests, np.cumsum(runs)))
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def _places(sizes: np.ndarray) -> np.ndarray:
-    """0, 1, ... within each run of that size."""
-    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-
-
-def _spaced(w) -> tuple[bytes, np.ndarray]:
-    """The words with one space after each, as bytes, and where each starts."""
-    sizes = w.end - w.start
-    start = np.cumsum(sizes + 1) - sizes - 1
-    out = np.full(int((sizes + 1).sum()), 32, np.uint8)
-    out[np.repeat(start, sizes) + _places(sizes)] = w.data[np.repeat(w.start, sizes) + _places(sizes)]
-    return out.tobytes(), start
-
-
 def simhashes(docs: DataFrame, k: int = K) -> DataFrame:
     """doc_id and fingerprint (long) of each row's whole text."""
 
@@ -96,7 +82,8 @@ def near_pairs(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     fingerprints has one column, node, without repeats. centre is the least inner member at a common value.
     """
     inner = radius // 2
-    sent = fingerprints.select("node", F.explode(ball("node", inner + radius % 2)).alias("b")).select("b.value", "b.far", "node")
+    spread = fingerprints.repartition(parts(fingerprints.sparkSession))  # each row becomes a ball
+    sent = spread.select("node", F.explode(ball("node", inner + radius % 2)).alias("b")).select("b.value", "b.far", "node")
     least = F.min(F.when(F.col("far") <= inner, F.col("node")))
     met = sent.groupBy("value").agg(least.alias("centre"), F.collect_list("node").alias("nodes")).where("centre is not null and size(nodes) > 1")
     pairs = met.select("centre", F.explode("nodes").alias("node")).where("node <> centre").select("node", "centre").distinct()

@@ -101,10 +101,11 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE) -> Iterator[t
         row = stop
 
 
-def split(data: np.ndarray, offsets: np.ndarray) -> Words:
+def split(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> Words:
+    """Words of texts: longest runs of bytes for which apart is false."""
     n, size = len(offsets) - 1, len(data)
     raw, data = data, _LOWER[data]
-    space = _SPACE[data]
+    space = apart[data]
     before, after = np.ones(size, bool), np.ones(size, bool)
     before[1:], after[:-1] = space[:-1], space[1:]
     edges = offsets[(offsets > 0) & (offsets < size)]
@@ -120,10 +121,25 @@ def split(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(n, data, raw, offsets, start, end, code, doc, first)
 
 
-def per_slice(column: pa.Array | pa.ChunkedArray, limit: int = SLICE) -> Iterator[tuple[int, Words]]:
+def per_slice(column: pa.Array | pa.ChunkedArray, limit: int = SLICE, apart: np.ndarray = _SPACE) -> Iterator[tuple[int, Words]]:
     """(first row, its words) of slice after slice."""
     for row, _, data, offsets in slices(column, limit):
-        yield row, split(data, offsets)
+        yield row, split(data, offsets, apart)
+
+
+def places(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each run of that size."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def spaced(w: Words) -> tuple[bytes, np.ndarray]:
+    """The words with one space after each, as bytes, and where each starts."""
+    sizes = w.end - w.start
+    start = np.cumsum(sizes + 1) - sizes - 1
+    out = np.full(int((sizes + 1).sum()), 32, np.uint8)
+    at = places(sizes)
+    out[np.repeat(start, sizes) + at] = w.data[np.repeat(w.start, sizes) + at]
+    return out.tobytes(), start
 
 
 def signed(x: np.ndarray) -> np.ndarray:
