@@ -28,7 +28,7 @@ from tapeweave.llm.common import cut, parts, saved, small_batches, text_of
 from tapeweave.llm.words import BASE, U, Words, mix, per_slice, seeds, spaced
 
 LONGEST, LEAST, TOP, SHARE = 4, 30, 2000, 80
-HELD = 4_000_000  # run occurrences, or merged counters, that a task of the first pass holds before it counts or writes them
+HELD = 2_000_000  # run occurrences, or merged counters, that a task of the first pass holds before it counts or writes them
 BUFFER = 1_000_000  # counters that a merge takes in at a time
 PHRASES = 300_000  # phrases that a task of the second pass holds
 FILTER, BITS, PROBES = 1 << 30, 16, 2
