@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -219,22 +220,35 @@ def _fold_book(key: tuple, rows: pa.Table) -> pa.Table:
 
 
 def _walk(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Rows of one epoch to what stands best after each update."""
+    """Rows of one epoch to what stands best after each update.
+
+    A side's prices lie in a heap, best first, once each; one without quantity leaves it when it comes to the top.
+    """
     books: dict[str, dict[int, int]] = {"BID": {}, "ASK": {}}
-    best: dict[str, int | None] = {"BID": None, "ASK": None}
-    pick = {"BID": max, "ASK": min}
+    heaps: dict[str, list[int]] = {"BID": [], "ASK": []}  # bids with their sign turned
+    sign = {"BID": -1, "ASK": 1}
     at = None
-    show = lambda: (*at, best["BID"], best["ASK"], books["BID"].get(best["BID"]), books["ASK"].get(best["ASK"]))
+
+    def best(side: str) -> int | None:
+        heap, book = heaps[side], books[side]
+        while heap and not book[sign[side] * heap[0]]:
+            del book[sign[side] * heappop(heap)]
+        return sign[side] * heap[0] if heap else None
+
+    def show() -> tuple:
+        bid, ask = best("BID"), best("ASK")
+        return *at, bid, ask, books["BID"].get(bid), books["ASK"].get(ask)
+
     for seq, ts, seed, side, price, quantity in rows:
         if at is not None and at[0] != seq:
             yield show()
             at = None
         book = books[side]
-        if quantity > 0:
+        if price in book:
+            book[price] = max(quantity, 0)
+        elif quantity > 0:
             book[price] = quantity
-            best[side] = price if best[side] is None else pick[side](price, best[side])
-        elif book.pop(price, None) is not None and price == best[side]:
-            best[side] = pick[side](book) if book else None
+            heappush(heaps[side], sign[side] * price)
         if not seed:
             at = (seq, ts)
     if at is not None:

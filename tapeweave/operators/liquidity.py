@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeweave.config import DEFAULT
 from tapeweave.functions.ticks import classify_change, level_delta
+from tapeweave.operators.scan import edges
 
 KEYS = ["session_id", "symbol"]
 LEVEL = [*KEYS, "epoch", "side", "price"]
@@ -28,35 +31,70 @@ def liquidity_totals(events: DataFrame, by: list[str] | None = None) -> DataFram
     return events.groupBy(*(by or [*KEYS, "epoch"])).agg(side("added", "increased").alias("liquidity_added"), side("removed", "decreased").alias("liquidity_removed"))
 
 
-def refilled(steps: list[tuple[str, int]], window: int) -> list[bool]:
-    """Which steps (kind, ms) of one level are refills: an increase uses up the earliest decrease at most window before it."""
-    waiting: deque[int] = deque()
-    out = []
-    for kind, ms in steps:
-        hit = None
-        if kind == "decreased":
-            waiting.append(ms)
-        elif kind in ("increased", "added"):
-            hit = next((i for i, t in enumerate(waiting) if ms <= t + window), None)
-            if hit is not None:
-                del waiting[hit]
-        out.append(hit is not None)
-    return out
+class Waiting:
+    """Decreases of one level that wait for a refill, first in, first out.
 
-
-def replenishment(events: DataFrame, window: int = DEFAULT.replenishment_window) -> DataFrame:
-    """Increases that refill an earlier, unused decrease (not a removal) of the same level within window ms.
-
-    First in, first out with expiry is a fold, over one level of one epoch at a time.
+    A decrease that expired stays known for late ms more: an update that is late by no more than that
+    still finds it.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["seq", "pos"], kind="stable")
-        return rows[refilled(list(zip(rows["kind"], rows["ts_ms"], strict=True)), window)]
-
-    schema = "session_id string, symbol string, epoch long, side string, price long, seq long, pos int, ts_ms long, quantity long, kind string"
-    rows = events.select(*LEVEL, "seq", "pos", "ts_ms", "quantity", "kind")
-    return rows.groupBy(*LEVEL).applyInPandas(fold, schema).drop("kind")
+    def __init__(self, window: int, late: int):
+        self.window, self.late, self.latest = window, late, None
+        self.live: deque[int] = deque()
+        self.expired: deque[int] = deque()
+
+    def fell(self, ms: int) -> None:
+        self.live.append(ms)
+        self.latest = ms if self.latest is None else max(ms, self.latest)
+
+    def rose(self, ms: int) -> bool:
+        """Whether this increase refills a decrease, which it uses up: the earliest at most window ms before it."""
+        if self.latest is not None and ms < self.latest:
+            for held in (self.expired, self.live):
+                for i, t in enumerate(held):
+                    if ms <= t + self.window:
+                        del held[i]
+                        return True
+            return False
+        self.latest = ms
+        while self.live and ms > self.live[0] + self.window:
+            self.expired.append(self.live.popleft())
+        while self.expired and self.expired[0] + self.window + self.late < ms:
+            self.expired.popleft()
+        if not self.live:
+            return False
+        self.live.popleft()
+        return True
+
+
+def replenishment(events: DataFrame, window: int = DEFAULT.replenishment_window, late: int = DEFAULT.retention) -> DataFrame:
+    """Increases that refill an earlier, unused decrease (not a removal) of the same level within window ms; see Waiting.
+
+    Levels are dealt to tasks and sorted there, so a task walks through many levels in one pass and
+    starts afresh at each level's edge; it holds the waiting decreases of one level.
+    """
+    columns = [*LEVEL, "seq", "pos", "ts_ms", "quantity"]
+
+    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, waiting = None, Waiting(window, late)
+        for batch in batches:
+            hit = np.zeros(batch.num_rows, bool)
+            at = edges(batch, LEVEL)
+            falls, times = batch["falls"].to_pylist(), batch["ts_ms"].to_pylist()
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                level = tuple(batch[k][a].as_py() for k in LEVEL)
+                if level != last:
+                    last, waiting = level, Waiting(window, late)
+                for i in range(a, b):
+                    if falls[i]:
+                        waiting.fell(times[i])
+                    else:
+                        hit[i] = waiting.rose(times[i])
+            yield batch.filter(pa.array(hit)).select(columns)
+
+    rows = events.where("kind <> 'removed'").select(*columns, (F.col("kind") == "decreased").alias("falls"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("falls").schema.fields)
+    return rows.repartition(*LEVEL).sortWithinPartitions(*LEVEL, "seq", "pos").mapInArrow(matched, schema)
 
 
 def level_persistence(events: DataFrame) -> DataFrame:

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeweave.config import DEFAULT, Config
 from tapeweave.functions.ticks import clamp01, signed
+from tapeweave.operators.dominance import beyond
 from tapeweave.operators.flow import large_trades
 from tapeweave.operators.running import running
+from tapeweave.operators.scan import groups
 
 KEYS = ["session_id", "symbol"]
 
@@ -104,20 +111,59 @@ def absorption_windows(trades: DataFrame, window: int = DEFAULT.absorption_windo
     return rows.select(*KEYS, "price", "seq", "ts_ms", "side", "quantity", "best", "opposing").groupBy(*KEYS, "price").applyInPandas(_absorb(window, flush), WINDOW)
 
 
+ANSWER = "session_id string, symbol string, price long, open_seq long, replenished long, c_seq long, c_pos int, c_quantity long"
+
+
+def _answered(window: int):
+    """Sorted windows and changes of a time bin to what the bin adds to each window: the sum of its increases and its last change."""
+
+    def of_bin(key: tuple, part: pa.Table) -> pa.Table:
+        w, c = part.filter(pc.equal(part["kind"], 0)), part.filter(pc.equal(part["kind"], 1))
+        seq, ms, price, quantity = (c[x].to_numpy() for x in ("seq", "ms", "c_price", "quantity"))
+        rises = np.where(quantity > c["old"].to_numpy(), quantity, 0)
+        buys = np.asarray(pc.equal(w["side"], "BUY"))
+        reference, latest = w["reference"].to_numpy(), w["ms"].to_numpy() + window
+        low = np.searchsorted(seq, w["seq"].to_numpy(), "right")
+        high = np.searchsorted(seq, pc.fill_null(w["close_seq"], np.iinfo(np.int64).max).to_numpy(), "left")
+        total, last = np.zeros(len(buys), np.int64), np.full(len(buys), -1)
+        if (np.diff(ms) >= 0).all():
+            high = np.minimum(high, np.searchsorted(ms, latest, "right"))
+            for some, sign in ((buys, 1), (~buys, -1)):
+                total[some], last[some] = beyond(sign * price, rises, low[some], high[some], sign * reference[some])
+        else:  # times that go back: a window looks at the rows between its trades
+            for i in range(len(buys)):
+                at = np.arange(low[i], max(high[i], low[i]))
+                at = at[(ms[at] <= latest[i]) & (price[at] > reference[i] if buys[i] else price[at] < reference[i])]
+                total[i], last[i] = rises[at].sum(), at[-1] if len(at) else -1
+        found = last >= 0
+        pick = lambda x: pa.array(x[last[found]])
+        w = w.filter(pa.array(found))
+        return pa.table([*(w[k] for k in (*KEYS, "price")), w["seq"], pa.array(total[found]), pick(seq), pick(c["pos"].to_numpy()), pick(quantity)], ANSWERED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, part in groups(batches, [*KEYS, "_bin"]):
+            yield from of_bin(key, part).to_batches()
+
+    return run
+
+
+ANSWERED = [x.split(" ")[0] for x in ANSWER.split(", ")]
+
+
 def absorption_liquidity(windows: DataFrame, changes: DataFrame, window: int = DEFAULT.absorption_window) -> DataFrame:
     """Windows with replenished (whole new quantities of increases) and closing (last new quantity) beyond the reference price.
 
     Beyond is above for BUY, below for SELL; changes count from the opening trade to the closing one
-    and within window ms. Both sides are cut into bins of window ms, so this is an equality join.
+    and within window ms. Both sides go to bins of window ms, a window to two. A bin is sorted once, and
+    its windows are answered together from sums over stretches of it (dominance.beyond), so what is
+    moved and made grows with windows and changes, not with their product.
     """
-    bins = windows.withColumn("_bin", F.explode(F.sequence(_bin("open_ms", window), _bin("open_ms", window) + 1)))
-    c = changes.select(*KEYS, _bin("ts_ms", window).alias("_bin"), F.col("seq").alias("c_seq"), F.col("pos").alias("c_pos"), F.col("price").alias("c_price"), F.col("ts_ms").alias("c_ms"), F.col("quantity").alias("c_quantity"), F.coalesce("old_quantity", F.lit(0)).alias("c_old"))
-    met = bins.join(c, [*KEYS, "_bin"]).where(
-        (F.col("c_seq") > F.col("open_seq")) & (F.col("close_seq").isNull() | (F.col("c_seq") < F.col("close_seq"))) & (F.col("c_ms") - F.col("open_ms") <= window)
-        & F.when(F.col("side") == "BUY", F.col("c_price") > F.col("reference")).otherwise(F.col("c_price") < F.col("reference"))
-    )
+    none = lambda kind: F.lit(None).cast(kind)
+    w = windows.select(*KEYS, F.explode(F.sequence(_bin("open_ms", window), _bin("open_ms", window) + 1)).alias("_bin"), F.lit(0).alias("kind"), F.col("open_seq").alias("seq"), F.lit(0).alias("pos"), F.col("open_ms").alias("ms"), "price", "side", "close_seq", "reference", none("bigint").alias("c_price"), none("bigint").alias("quantity"), none("bigint").alias("old"))
+    c = changes.select(*KEYS, _bin("ts_ms", window).alias("_bin"), F.lit(1).alias("kind"), "seq", F.col("pos").cast("int").alias("pos"), F.col("ts_ms").alias("ms"), none("bigint").alias("price"), none("string").alias("side"), none("bigint").alias("close_seq"), none("bigint").alias("reference"), F.col("price").alias("c_price"), "quantity", F.coalesce("old_quantity", F.lit(0)).alias("old"))
+    both = w.unionByName(c).repartition(*KEYS, "_bin").sortWithinPartitions(*KEYS, "_bin", "kind", "seq", "pos")
     by = [*KEYS, "price", "open_seq"]
-    found = met.groupBy(*by).agg(F.sum(F.when(F.col("c_quantity") > F.col("c_old"), F.col("c_quantity")).otherwise(0)).alias("replenished"), F.max_by("c_quantity", F.struct("c_seq", "c_pos")).alias("closing"))
+    found = both.mapInArrow(_answered(window), ANSWER).groupBy(*by).agg(F.sum("replenished").alias("replenished"), F.max_by("c_quantity", F.struct("c_seq", "c_pos")).alias("closing"))
     return windows.join(found, by, "left").withColumns({"replenished": F.coalesce("replenished", F.lit(0)), "closing": F.coalesce("closing", "opposing_open")})
 
 

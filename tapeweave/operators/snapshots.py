@@ -3,41 +3,89 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeweave.config import DEFAULT, Config
 from tapeweave.functions.ticks import signed
 from tapeweave.operators.book import book_asof, book_measures
+from tapeweave.operators.scan import CHUNK, scan
 from tapeweave.operators.sequence import book_epochs
 
 KEYS = ["session_id", "symbol"]
 
 
-def fires(ms: np.ndarray, interval: int) -> np.ndarray:
-    """Which events fire a snapshot: the first, then each first one at least interval ms after the last that fired."""
-    out = np.zeros(len(ms), bool)
-    last = None
-    for i, t in enumerate(ms.tolist()):
-        if last is None or t - last >= interval:
-            out[i], last = True, t
+def next_after(ms: np.ndarray, gap: int) -> np.ndarray:
+    """For each event the next one at least gap ms on; the number of events where there is none."""
+    n = len(ms)
+    if (np.diff(ms) >= 0).all():
+        return np.searchsorted(ms, ms + gap)
+    out = np.full(n, n)
+    later: list[int] = []  # events to the right that rise above all in between, the nearest last
+    for i in range(n - 1, -1, -1):
+        a, b = 0, len(later)
+        while a < b:  # times fall from first to last
+            mid = (a + b) // 2
+            a, b = (mid + 1, b) if ms[later[mid]] >= ms[i] + gap else (a, mid)
+        if a:
+            out[i] = later[a - 1]
+        while later and ms[later[-1]] <= ms[i]:
+            later.pop()
+        later.append(i)
     return out
 
 
-def snapshot_segments(events: DataFrame, interval: int = DEFAULT.snapshot_interval) -> DataFrame:
-    """events (session_id, symbol, seq, ts_ms) with fired and segment; a segment ends with the event that fires.
+class Boundaries:
+    """Which events fire a snapshot: the first, then each first one at least interval ms after the last that fired.
 
-    The next boundary depends on the one before, so a session's boundaries are a fold, over two
-    numbers per event; negative gaps count as none.
+    Where a chunk is entered with the last time that fired, its first event late enough fires, and the
+    chain of next ones from there doesn't depend on what came before. Pointer doubling gives each
+    event's chain its end and length. Only events later than all before them can be the first.
+    State: the last time that fired (none before the first), and how many did.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq", kind="stable")
-        fired = fires(rows["ts_ms"].to_numpy(), max(1, interval))
-        return rows.assign(fired=fired, segment=np.cumsum(fired) - fired)
-
-    return events.select(*KEYS, "seq", "ts_ms").groupBy(*KEYS).applyInPandas(fold, "session_id string, symbol string, seq long, ts_ms long, fired boolean, segment long")
+    start = [None, 0]
+
+    def __init__(self, interval: int):
+        self.interval = max(1, interval)
+
+    def summary(self, chunk: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(times, ends, counts): entered with a last time of at most times[i] - interval, and more than the one before, the chain ends at time ends[i] after counts[i] events."""
+        ms = chunk["ts_ms"].to_numpy()
+        n = len(ms)
+        jump = np.append(next_after(ms, self.interval), n)
+        end, count = np.arange(n + 1), np.ones(n + 1, np.int64)
+        count[n] = 0
+        while (jump < n).any():
+            end = np.where(jump < n, end[jump], end)
+            count, jump = count + count[jump], jump[jump]
+        first = np.flatnonzero(ms > np.maximum.accumulate(np.concatenate([[np.iinfo(np.int64).min], ms[:-1]])))
+        ends, counts = ms[end[first]], count[first]
+        keep = np.append((ends[1:] != ends[:-1]) | (counts[1:] != counts[:-1]), True)
+        return ms[first][keep], ends[keep], counts[keep]
+
+    def after(self, summary: tuple[np.ndarray, np.ndarray, np.ndarray], state: list[int | None]) -> list[int | None]:
+        times, ends, counts = summary
+        last, fired = state
+        i = 0 if last is None else int(np.searchsorted(times, last + self.interval))
+        return state if i == len(times) else [int(ends[i]), fired + int(counts[i])]
+
+    def rows(self, chunk: pa.Table, state: list[int | None]) -> pa.Table:
+        ms = chunk["ts_ms"].to_numpy()
+        fired = np.zeros(len(ms), bool)
+        last, before = state
+        late = np.ones(len(ms), bool) if last is None else ms >= last + self.interval
+        i, jump = int(np.argmax(late)) if late.any() else len(ms), next_after(ms, self.interval)
+        while i < len(ms):
+            fired[i] = True
+            i = int(jump[i])
+        return pa.table({"seq": chunk["seq"], "ts_ms": chunk["ts_ms"], "fired": fired, "segment": np.cumsum(fired) - fired + before})
+
+
+def snapshot_segments(events: DataFrame, interval: int = DEFAULT.snapshot_interval, chunk: int = CHUNK) -> DataFrame:
+    """events (session_id, symbol, seq, ts_ms) with fired and segment; a segment ends with the event that fires. See Boundaries."""
+    return scan(events.select(*KEYS, "seq", "ts_ms"), Boundaries(interval), "seq long, ts_ms long, fired boolean, segment long", chunk=chunk)
 
 
 def microstructure_snapshots(trades: DataFrame, levels: DataFrame, snapshots: DataFrame, counted: DataFrame, interval: int = DEFAULT.snapshot_interval, final: bool = True, cfg: Config = DEFAULT) -> DataFrame:

@@ -4,12 +4,14 @@ import random
 from bisect import bisect_left
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tapeweave.config import DEFAULT, SCALE, Config
 from tapeweave.functions import ticks as fn
 from tapeweave.operators import audit, book, flow, heatmap, liquidity, sequence, signals, snapshots
+from tapeweave.operators.dominance import beyond
 from tapeweave.operators.running import running
 from tapeweave.sources import tables, wire
 from tests.market import levels, seed_book, ticks, trades
@@ -101,9 +103,47 @@ def test_removal_of_an_absent_level_is_a_change(spark):
     assert rows(got, "price", "old_quantity", "quantity") == [(ticks(67000.0), None, 0)]
 
 
-def test_refill_takes_the_earliest_unused_decrease():
+def plain_refills(steps, window):
+    """steps (kind, ms) of one level: an increase uses up the earliest decrease at most window before it."""
+    waiting, out = [], []
+    for kind, ms in steps:
+        hit = None
+        if kind == "decreased":
+            waiting.append(ms)
+        elif kind in ("increased", "added"):
+            hit = next((i for i, t in enumerate(waiting) if ms <= t + window), None)
+            if hit is not None:
+                del waiting[hit]
+        out.append(hit is not None)
+    return out
+
+
+def test_refill_takes_the_earliest_unused_decrease(spark):
     steps = [("decreased", 0), ("decreased", 100), ("increased", 240), ("increased", 300), ("increased", 301), ("removed", 310), ("added", 311)]
-    assert liquidity.refilled(steps, 250) == [False, False, True, True, False, False, False]
+    assert plain_refills(steps, 250) == [False, False, True, True, False, False, False]
+    event = "session_id string, symbol string, epoch long, side string, price long, seq long, pos int, ts_ms long, quantity long, kind string"
+    ev = spark.createDataFrame([("S", "X", 1, "BID", 5, i, 0, ms, 1, kind) for i, (kind, ms) in enumerate(steps)], event)
+    assert rows(liquidity.replenishment(ev, 250), "seq") == [(2,), (3,)]
+
+
+@pytest.mark.parametrize("back", [0, 300])
+def test_refills_of_many_levels_in_one_pass(spark, back):
+    rng = random.Random(back)
+    out, want, seq = [], [], 0
+    for level in range(40):
+        steps, ms = [], 0
+        for _ in range(rng.choice([0, 1, 5, 60, 400])):
+            ms += rng.choice([0, 20, 90, 400])
+            steps.append((rng.choice(["decreased", "decreased", "increased", "added", "removed"]), ms - rng.randrange(back + 1)))
+        for (kind, at), hit in zip(steps, plain_refills(steps, 250), strict=True):
+            seq += 1
+            out.append(("S", "X", level % 3, rng.choice(["BID"]), level, seq, 0, at, 1, kind))
+            want += [(seq, level)] * hit
+    event = "session_id string, symbol string, epoch long, side string, price long, seq long, pos int, ts_ms long, quantity long, kind string"
+    rng.shuffle(out)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)  # levels go on from batch to batch
+    assert rows(liquidity.replenishment(spark.createDataFrame(out, event), 250), "seq", "price") == sorted(want, key=repr)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def sweep_tape(spark, prices):
@@ -148,7 +188,8 @@ def test_large_trade(spark):
 
 
 def test_snapshots_are_greedy(spark):
-    assert snapshots.fires(np.array([1000, 1500, 2000, 2900, 3100, 500]), 1000).tolist() == [True, False, True, False, True, False]
+    events = spark.createDataFrame([("S", "X", i, ms) for i, ms in enumerate([1000, 1500, 2000, 2900, 3100, 500])], "session_id string, symbol string, seq long, ts_ms long")
+    assert [r.fired for r in snapshots.snapshot_segments(events, 1000).orderBy("seq").collect()] == [True, False, True, False, True, False]
     tape = trades(spark, [(1, 68000.0, 1, "BUY", 1000), (2, 68000.0, 2, "SELL", 1500), (3, 68000.0, 4, "BUY", 2100), (4, 68000.0, 8, "BUY", 2200)])
     none = spark.createDataFrame([], "session_id string, symbol string, seq long, anomalies long")
     got = snapshots.microstructure_snapshots(tape, levels(spark, []), seed_book(spark), none).orderBy("segment").collect()
@@ -249,13 +290,145 @@ def test_clusters_against_brute_force(spark):
         tape.append((i, 100 + 0.1 * rng.randrange(6), 1 + rng.randrange(3), rng.choice(["BUY", "SELL"]), ms))
     from tapeweave.streaming.streams import clustering
 
-    fold, state, want = clustering(100, 3 * DEFAULT.tick), None, []
-    for i, (_, price, q, side, at) in enumerate(tape):
-        state, made = fold(state, {"seq": i + 1, "price": ticks(price), "quantity": ticks(q), "side": side, "ts_ms": at})
-        want += made
-    got = signals.cluster_measures(signals.clusters(trades(spark, tape))).where("closed").orderBy("cluster").collect()
+    frame = pd.DataFrame([(i + 1, ticks(price), ticks(q), side, at) for i, (_, price, q, side, at) in enumerate(tape)], columns=["seq", "price", "quantity", "side", "ts_ms"])
     keys = ["cluster", "start_ms", "end_ms", "high", "low", "total_volume", "levels_crossed", "monotonic", "dominant_side"]
-    assert [[r[k] for k in keys] for r in got] == [[w[k] for k in keys] for w in want]
+    want = plain_clusters(frame.to_dict("records"), 100, 3 * DEFAULT.tick)
+    got = signals.cluster_measures(signals.clusters(trades(spark, tape))).where("closed").orderBy("cluster").collect()
+    assert len(want) > 20 and [[r[k] for k in keys] for r in got] == [[w[k] for k in keys] for w in want]
+    for most in (1, 3, 50, 1000):  # the stream's step, fed with frames cut at random places
+        step, state, made, at = clustering(100, 3 * DEFAULT.tick), None, [], 0
+        while at < len(frame):
+            n = rng.randrange(1, most + 1)
+            state, out = step(state, frame.iloc[at : at + n].reset_index(drop=True))
+            made, at = made + out.to_dict("records"), at + n
+        assert [[w[k] for k in keys] for w in made] == [[w[k] for k in keys] for w in want]
+
+
+def plain_clusters(tape, gap, reach):
+    """All clusters but the last, trade by trade."""
+    runs = []
+    for t in tape:
+        if runs and t["ts_ms"] - runs[-1][-1]["ts_ms"] <= gap and abs(t["price"] - runs[-1][-1]["price"]) <= reach:
+            runs[-1].append(t)
+        else:
+            runs.append([t])
+    out = []
+    for n, run in enumerate(runs[:-1], 1):
+        side, monotonic, changes = {"BUY": 0, "SELL": 0}, True, 0
+        for before, t in zip([None, *run], run, strict=False):
+            if before is not None and t["price"] != before["price"]:
+                changes += 1
+                monotonic &= t["price"] > before["price"] if side["BUY"] >= side["SELL"] else t["price"] < before["price"]
+            side[t["side"]] += t["quantity"]
+        prices = [t["price"] for t in run]
+        out.append({"cluster": n, "start_ms": run[0]["ts_ms"], "end_ms": run[-1]["ts_ms"], "high": max(prices), "low": min(prices), "total_volume": sum(side.values()), "levels_crossed": changes + 1, "monotonic": monotonic, "dominant_side": "BUY" if side["BUY"] >= side["SELL"] else "SELL"})
+    return out
+
+
+# --- Scans and sums over chunks ------------------------------------------------------------------
+
+
+def test_segments_do_not_depend_on_chunks(spark):
+    rng = random.Random(21)
+    for back in (0, 500):
+        ms, tape = 0, []
+        for i in range(1, 260):
+            ms += rng.choice([0, 0, 30, 200, 999, 1000, 2500])
+            tape.append((rng.choice("AB"), "X", i, ms - rng.randrange(back + 1)))
+        want = []
+        for session in "AB":
+            last, segment = None, 0
+            for _, _, seq, t in (x for x in tape if x[0] == session):
+                fired = last is None or t - last >= 1000
+                want.append((session, seq, fired, segment))
+                if fired:
+                    last, segment = t, segment + 1
+        df = spark.createDataFrame(tape, "session_id string, symbol string, seq long, ts_ms long")
+        for chunk in (1, 3, 40, 10_000):
+            assert rows(snapshots.snapshot_segments(df, 1000, chunk), "session_id", "seq", "fired", "segment") == sorted(want, key=repr)
+
+
+def random_tape(rng, n):
+    """Updates with ids that mostly chain, some stale, some broken, and snapshots whose ids lie before, in and after what is buffered."""
+    out, last = [], 100
+    for seq in range(1, n + 1):
+        if rng.random() < 0.12:
+            out.append((seq, last + rng.choice([-25, -6, -2, 0, 1, 4, 30]), None, None, None))
+            continue
+        first, final = last + 1, last + rng.choice([1, 3, 8])
+        kind = rng.random()
+        previous = last if kind < 0.85 else rng.choice([None, last - 3, last + 2])
+        if kind > 0.95:
+            first, final, previous = last - 9, last - rng.randrange(3), last  # stale
+        out.append((seq, None, first, final, previous))
+        last = max(last, final)
+    return out
+
+
+def test_continuity_equals_the_fold_on_tapes_cut_anywhere(spark):
+    rng = random.Random(4)
+    updates, marks, want = [], [], []
+    for session in range(25):
+        machine, tape = sequence.Sequencer(), random_tape(rng, rng.choice([3, 40, 150]))
+        for seq, snapshot, *ids in tape:
+            (marks if snapshot is not None else updates).append((str(session), "X", seq, *([snapshot] if snapshot is not None else ids)))
+            made = machine.snapshot(snapshot) if snapshot is not None else machine.depth(seq, *ids)
+            want += [(str(session), *x, seq) for x in made]
+        want += [(str(session), *x, None) for x in machine.rest()]
+    assert {x[2] for x in want} == set(sequence.STATUS)
+    u = spark.createDataFrame(updates, "session_id string, symbol string, seq long, first_update_id long, final_update_id long, previous_final_update_id long")
+    m = spark.createDataFrame(marks, "session_id string, symbol string, seq long, last_update_id long")
+    for chunk in (1, 2, 7, 30, 10_000):
+        assert rows(sequence.sequence_depth(u, m, chunk), "session_id", "seq", "status", "at_seq") == sorted(want, key=repr)
+
+
+def test_sums_beyond_a_price():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 7, 64, 300):
+        price, weight = rng.integers(0, 12, n), rng.integers(0, 100, n)
+        low, high, bound = rng.integers(0, n + 1, 200), rng.integers(0, n + 1, 200), rng.integers(-1, 14, 200)
+        total, last = beyond(price, weight, low, high, bound)
+        for i in range(200):
+            at = [j for j in range(low[i], high[i]) if price[j] > bound[i]]
+            assert (total[i], last[i]) == (weight[at].sum() if at else 0, at[-1] if at else -1)
+
+
+@pytest.mark.parametrize("back", [0, 400])
+def test_absorption_evidence_against_all_pairs(spark, back):
+    rng = random.Random(back)
+    changes, ms = [], 5000
+    for seq in range(2, 600, 2):
+        ms += rng.choice([0, 10, 60, 300])
+        changes.append(("S", "X", seq, 0, rng.randrange(90, 110), ms - rng.randrange(back + 1), rng.randrange(4), rng.choice([None, 0, 1, 2])))
+    windows = []
+    for n in range(40):
+        seq = rng.randrange(1, 590, 2)
+        windows.append(("S", "X", n, rng.choice(["BUY", "SELL"]), seq, rng.choice([None, seq + 2 * rng.randrange(1, 60)]), min((c[5] for c in changes if c[2] > seq), default=ms), rng.randrange(90, 110), 7))
+    want = []
+    for w in windows:
+        met = [c for c in changes if c[2] > w[4] and (w[5] is None or c[2] < w[5]) and c[5] - w[6] <= 1000 and c[5] // 1000 in (w[6] // 1000, w[6] // 1000 + 1) and (c[4] > w[7] if w[3] == "BUY" else c[4] < w[7])]
+        want.append((w[2], sum(c[6] for c in met if c[6] > (c[7] or 0)), met[-1][6] if met else 7))
+    w = spark.createDataFrame(windows, "session_id string, symbol string, price long, side string, open_seq long, close_seq long, open_ms long, reference long, opposing_open long")
+    c = spark.createDataFrame(changes, "session_id string, symbol string, seq long, pos int, price long, ts_ms long, quantity long, old_quantity long")
+    assert rows(signals.absorption_liquidity(w, c, 1000), "price", "replenished", "closing") == sorted(want, key=repr)
+
+
+def test_top_of_a_deep_book():
+    rng = random.Random(2)
+    tape, held = [], {"BID": {}, "ASK": {}}
+    want = []
+    for seq in range(3000):
+        side, price = rng.choice(["BID", "ASK"]), rng.randrange(1000)
+        if rng.random() < 0.5 and held[side]:
+            price = (max if side == "BID" else min)(held[side])  # the best level goes
+        quantity = 0 if rng.random() < 0.5 else rng.randrange(1, 9)
+        tape.append((seq, 0, False, side, price, quantity))
+        held[side].pop(price, None)
+        if quantity:
+            held[side][price] = quantity
+        bid, ask = max(held["BID"], default=None), min(held["ASK"], default=None)
+        want.append((seq, 0, bid, ask, held["BID"].get(bid), held["ASK"].get(ask)))
+    assert list(book._walk(iter(tape))) == want
 
 
 def test_ticks(spark):
