@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tapeweave.llm.common import cut, saved
 
-CAP, LISTED, CHUNK = 256, 10_000, 50_000
+CAP, LISTED, CHUNK = 256, 256, 50_000
 WIDE = 16
 EMPTY = hashlib.sha256(b"").hexdigest()
 TURN = "array<struct<id:binary,bytes:int>>"
