@@ -10,8 +10,9 @@ introduces one; where a document has named someone, later mentions of one of the
 distinct entities of the corpus and their surrogates then meet in one grouping: a surrogate that is a
 real value of the corpus, or that two entities share, is drawn again with the next tweak. After
 ATTEMPTS draws a walk passes every value of the format once; then mail names and secrets grow by a
-letter at a time, addresses vary in all parts, and given names get syllables. So the search ends with a
-free surrogate, or with an error where a fixed format (cards, phones) has none.
+letter at a time, addresses vary in all parts, and given names get syllables. The first draw of a
+fixed format (cards, phones, dates of birth) is a derangement of all its values; where the corpus has
+so many of them that free ones may run out, that is the surrogate.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ KEY = "tapeweave"  # where neither the caller nor the session gives one, as in t
 ATTEMPTS = 32  # draws before the walk through a format
 WIDE = 1_000_000  # draws of one round at most, if each open entity has one
 NO_END = 1 << 62
+FULL = 4  # a format is dense if the corpus has more than one in so many of its values
 SMALL = 50_000  # rows of redrawn entities that are broadcast at most; more are joined by shuffle
 
 # Titles (u: of any gender), phrases before a name, given names to find, and given names to put in their place.
@@ -58,7 +60,7 @@ SEX = {name: (script, sex) for (script, sex), names in GIVEN.items() for name in
 
 CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
+EMAIL = re.compile(r"(?<![\w.%+-])[^\W_][\w.%+-]*@(?:[^\W_](?:[^\W_]|-)*(?<!-)\.)+[^\W\d_]{2,}")
 SECRET = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk[-_][A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,})(?![A-Za-z0-9])")
 LABELLED = re.compile(r"\b(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|auth[_-]?token|token|password|passwd|pwd)\b[\"']?\s*[:=]\s*[\"']?([^\s\"'<>]{6,})", re.I)
 PREFIX = re.compile(r"(?:AKIA|ASIA|gh[pousr]_|sk[-_]|xox[abprs]-|eyJ)?")
@@ -68,27 +70,34 @@ NUMBER = re.compile(
     rf"(?P<ip>(?<![\w.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d))"
     r"|(?P<card>(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<phone>(?<!\w)(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w))"
+    r"|(?P<phone>(?<!\w)(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|0\d{3,4}[ -]\d{5,6}|0\d{2,3}[ -]\d{3,4}[ -]\d{4})(?!\w))"
 )
 TOLD = re.compile(
-    r"\b(?:(?:phone|tel|telephone|mobile|cell|fax)\b(?: (?:no|number|is))?[.:]? {0,2}(?P<phone>\d{7,15})"
+    r"\b(?:(?:phone|tel|telephone|mobile|cell|fax)\b(?: (?:no|number|is))?[.:]? {0,2}(?P<phone>\d{7,15}|\d{3}-\d{4})"
+    r"|(?:call|ring|text|reach)\b(?: (?:me|us|him|her|them))? (?:at|on) (?P<line>\d{7,15}|\d{3}-\d{4})"
     r"|passport\b(?: (?:no|number|is))?[.:#]* {0,2}(?P<passport>[A-Z]{0,2}\d{6,9})"
     r"|(?:dob|date of birth|born(?: on)?)\b[.:]? {0,2}(?P<dob>\d{4}-\d\d-\d\d|\d\d[./]\d\d[./]\d{4}))(?!\w)", re.I,
 )
 TOLD_BEFORE = 40  # characters in which a word that says what a number is stands before it
-NUMERIC = re.compile(r"\d{6,15}|\d{4}-\d\d-\d\d|\d\d[./]\d\d[./]\d{4}")
+NUMERIC = re.compile(r"\d{6,15}|(?<![\d-])\d{3}-\d{4}(?![\d-])|\d{4}-\d\d-\d\d|\d\d[./]\d\d[./]\d{4}")
 IPV6 = re.compile(r"(?<![\w:.])(?=[0-9a-fA-F:]*[0-9])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:])|(?<![\w:.])(?:[0-9a-fA-F]{1,4}:){2,6}:(?:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,5})(?![\w:])")
 DIGITS = re.compile(r"[+(\d][\d ().+-]{6,}")
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")
 IBAN_CLUE = re.compile(r"[A-Z][A-Z]\d\d")
-CUED = re.compile(rf"\b(?i:{'|'.join(map(re.escape, CUES))}) (?P<cued>{CAPITAL}(?:[ -]{CAPITAL}){{1,2}})")
+CUED = re.compile(rf"\b(?i:{'|'.join(map(re.escape, CUES))})(?: |\n{{1,2}})(?P<cued>{CAPITAL}(?:[ -]{CAPITAL}){{1,2}})")
 PERSON = re.compile(rf"\b(?:(?P<title>{'|'.join(sum(TITLES.values(), []))})\.? (?P<titled>{CAPITAL}(?:[ -]{CAPITAL}){{0,2}})|(?P<given>{'|'.join(sorted(SEX, key=len, reverse=True))}) (?P<surname>{CAPITAL}))")
+DEEDS = "said wrote told asked replied answered phoned emailed met thanked contacted spoke".split()  # beside them stands who did it, and to whom
+RUN = rf"{CAPITAL}(?:[ -]{CAPITAL}){{1,2}}"
+ACTOR = re.compile(rf"\b(?P<cued>{RUN}) (?:has |had )?(?:{'|'.join(DEEDS)})\b")
+OTHER = re.compile(rf"\b(?:(?:{'|'.join(DEEDS)})(?: to| with)?|[Dd]ear|[Hh]ello) (?P<cued>{RUN})")
+LISTED = re.compile(rf"(?:,? and|,) (?P<cued>{RUN})")
+COMMON = set("The This That These Those A An In On At For And But If When Where Then There Here We They He She It You Our Your My New North South East West All Some Sir Madam Later Yesterday Today Tomorrow Now Once Soon Finally Meanwhile However Perhaps Also Again".split()) | set(sum(TITLES.values(), []))  # words that begin a sentence or a place, not a name
 CALLED = re.compile("|".join(sorted([*sum(TITLES.values(), []), *SEX], key=len, reverse=True)))
 WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿА-Яа-яЁёẞß]+")
 
 
-def permuted(value: int, size: int, tweak: str, key: str) -> int:
-    """A keyed permutation of range(size): a balanced Feistel network, walked until inside."""
+def permuted(value: int, size: int, tweak: str, key: str, back: bool = False) -> int:
+    """A keyed permutation of range(size), or its inverse: a balanced Feistel network, walked until inside."""
     if size < 2:
         return value
     half = ((size - 1).bit_length() + 1) // 2
@@ -96,18 +105,29 @@ def permuted(value: int, size: int, tweak: str, key: str) -> int:
     need = -(-half // 8)
     while True:
         left, right = value >> half, value & mask
-        for r in range(8):
+        if back:
+            left, right = right, left
+        for r in range(7, -1, -1) if back else range(8):
             data = f"{tweak}|{size}|{r}|{right}".encode()
             noise = hashlib.blake2b(data, key=key.encode()[:64], digest_size=min(64, need)).digest()
             if need > 64:
                 noise = hashlib.shake_256(noise + key.encode()).digest(need)
             left, right = right, left ^ (int.from_bytes(noise, "big") & mask)
-        value = left << half | right
+        value = right << half | left if back else left << half | right
         if value < size:
             return value
 
 
-CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+def deranged(value: int, size: int, tweak: str, key: str) -> int:
+    """A keyed permutation of range(size) that leaves no place where it is: a shift, seen through another permutation."""
+    if size < 2:
+        return value
+    noise = hashlib.blake2b(f"{tweak}|{size}|shift".encode(), key=key.encode()[:64]).digest()
+    shift = 1 + int.from_bytes(noise, "big") % (size - 1)
+    return permuted((permuted(value, size, tweak, key) + shift) % size, size, tweak, key, back=True)
+
+
+CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", *("".join(map(chr, r)) for r in (range(0xE0, 0xF7), range(0xC0, 0xD7), range(0x430, 0x450), range(0x410, 0x430))))
 
 
 def _alphabet(c: str) -> str:
@@ -121,8 +141,10 @@ def _alphabets(value: str) -> list[str]:
     return list(map(_alphabet, value))
 
 
-def walked(number: int, size: int, tweak: str, key: str, step: int = 0) -> int:
-    """A keyed permutation of range(size); steps 1 to size of one number pass every place once."""
+def walked(number: int, size: int, tweak: str, key: str, step: int | None = 0) -> int:
+    """A keyed permutation of range(size), without fixed places if step is None; steps 1 to size of one number pass every place once."""
+    if step is None:
+        return deranged(number, size, tweak, key)
     place = permuted(number, size, tweak, key)
     return permuted((place + step) % size, size, tweak + "|walk", key) if step else place
 
@@ -131,7 +153,7 @@ def _sizes(alphabets: list[str]) -> int:
     return math.prod(map(len, alphabets))
 
 
-def reshaped(value: str, tweak: str, key: str, alphabets: list[str] | None = None, step: int = 0) -> str:
+def reshaped(value: str, tweak: str, key: str, alphabets: list[str] | None = None, step: int | None = 0) -> str:
     """value with every letter and digit replaced by one of its class."""
     alphabets = alphabets or _alphabets(value)
     number, size = 0, 1
@@ -180,9 +202,10 @@ def _script(word: str) -> str:
 def stand_in(kind: str, value: str, attempt: int, key: str) -> str:
     """The surrogate of a canonical value at an attempt, canonical as well.
 
-    From ATTEMPTS on, attempts walk through the value's format: room(kind, value) of them meet each of its values.
+    The first attempt is a derangement of the value's format. From ATTEMPTS on, attempts walk through
+    the format: room(kind, value) of them meet each of its values.
     """
-    step = max(0, attempt - ATTEMPTS + 1)
+    step = max(0, attempt - ATTEMPTS + 1) if attempt else None
     tweak = f"{kind}|{min(attempt, ATTEMPTS)}"
     if step and kind in GROWS and step > room(kind, value):
         return _widened(kind, value, step - room(kind, value) - 1, key)
@@ -221,12 +244,17 @@ def stand_in(kind: str, value: str, attempt: int, key: str) -> str:
         return reshaped(value, tweak, key, ["0123456789abcdef" if c != ":" else c for c in value], step)
     if kind == "dob":
         day = _day(value)
-        return date.fromordinal(FIRST_DAY + walked(day, DAYS, tweak, key, step)).isoformat() if day is not None else reshaped(value, tweak, key, step=step)
+        if day is not None:
+            return date.fromordinal(FIRST_DAY + walked(day, DAYS, tweak, key, step)).isoformat()
+        while True:  # digits that are no such date stay apart from dates
+            value = reshaped(value, tweak, key, step=step)
+            if _day(value) is None:
+                return value
     if kind.startswith("given"):
         _, script, sex = kind.split("-")
         names, pool = GIVEN.get((script, sex), []), STAND_IN.get((script, sex), [])
         if sex == "u":
-            return (_syllables(script, f"{kind}|{attempt}|{value}", 2 + step // 64, key) + ENDING[script, sex]).capitalize()
+            return (_syllables(script, f"{kind}|{attempt}|{value}", 2 + (step or 0) // 64, key) + ENDING[script, sex]).capitalize()
         if value in names:
             shift = permuted(0, len(pool), tweak, key)
             name = pool[(permuted(names.index(value), len(names), tweak, key) + shift) % len(pool)]
@@ -234,7 +262,7 @@ def stand_in(kind: str, value: str, attempt: int, key: str) -> str:
                 return name
             return name + _syllables(script, f"{kind}|{attempt}|{value}", 1 + step // 64, key) + ENDING[script, sex]
     if kind.startswith(("given", "surname")):
-        return _syllables(kind.split("-")[1], f"{kind}|{attempt}|{value}", 5 + step // 64, key).capitalize()
+        return _syllables(kind.split("-")[1], f"{kind}|{attempt}|{value}", 5 + (step or 0) // 64, key).capitalize()
     head = PREFIX.match(value)[0] if kind == "secret" else ""
     return head + reshaped(value[len(head) :], tweak + head, key, step=step)
 
@@ -266,9 +294,10 @@ def _day(value: str) -> int | None:
 
 
 def _phone(value: str) -> list[str]:
-    """Alphabets of a phone number: a country code keeps its first digits (one for 1 and 7, else two)."""
+    """Alphabets of a phone number: a country code keeps its first digits (one for 1 and 7, else two), and where a number or its second part begins with 0, that stays."""
     kept = (2 if value[1] in "17" else 3) if value[0] == "+" else 0
-    return [c if i < kept else CLASSES[0][i - kept in (0, 3) and c != "0" :] for i, c in enumerate(value)]
+    begins = lambda c: "0" if c == "0" else CLASSES[0][1:]
+    return [c if i < kept else begins(c) if i - kept in (0, 3) else CLASSES[0] for i, c in enumerate(value)]
 
 
 def _syllables(script: str, tweak: str, count: int, key: str) -> str:
@@ -307,6 +336,21 @@ def room(kind: str, value: str) -> int:
     return min(size, NO_END)
 
 
+def form(kind: str, value: str) -> str | None:
+    """The format that a surrogate shares with its value, for kinds of fixed formats: no two formats have a value in common."""
+    if kind in GROWS or kind.startswith(("given", "surname")):
+        return None
+    if kind == "dob":
+        return "day" if _day(value) is not None else "digits"
+    if kind == "card":
+        return f"{value[0]} {len(value)} {(int(value[-1]) - luhn(value[:-1])) % 10}"
+    if kind == "iban":
+        return value[:2] + "".join(a[0] for a in map(_alphabet, value[4:]))
+    if kind == "ip6":
+        return re.sub("[^:]", "x", value)
+    return "".join(a[0] for a in (_phone(value) if kind == "phone" else _alphabets(value)))
+
+
 def rendered(kind: str, shown: str, surrogate: str) -> str:
     """The canonical surrogate in the spelling of the value shown."""
     if kind == "dob" and shown[4] != "-":
@@ -343,12 +387,15 @@ def found(text: str) -> list[tuple[int, int, str, str]]:
     for near in NUMERIC.finditer(text):
         told = [m for m in TOLD.finditer(text, max(0, near.start() - TOLD_BEFORE), near.end() + 1) if m.end() > near.start()]
         for m in told:
-            spans.append((m.start(m.lastgroup), m.end(m.lastgroup), m.lastgroup, canonical(m.lastgroup, m[m.lastgroup])))
+            kind = "phone" if m.lastgroup == "line" else m.lastgroup
+            spans.append((m.start(m.lastgroup), m.end(m.lastgroup), kind, canonical(kind, m[m.lastgroup])))
     if "::" in text or text.count(":") >= 7:
         spans += [(m.start(), m.end(), "ip6", canonical("ip6", m[0])) for m in IPV6.finditer(text)]
     people = list(PERSON.finditer(text)) if CALLED.search(text) else []
     if any(cue in low for cue in CUES):
         people += CUED.finditer(text)
+    if any(deed in text for deed in DEEDS) or "ear " in text or "ello " in text:
+        people += _beside(text)
     if people:
         named = sorted({x for m in people for x in _names(m)})
         kinds: dict[str, str] = {}
@@ -366,8 +413,16 @@ def found(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+def _beside(text: str) -> Iterator[re.Match]:
+    """Runs of capitalised words beside a verb of speech or after a salutation, and those listed after one."""
+    for m in (*ACTOR.finditer(text), *OTHER.finditer(text)):
+        while m is not None and COMMON.isdisjoint(re.split("[ -]", m["cued"])):
+            yield m
+            m = LISTED.match(text, m.end("cued"))
+
+
 def _names(m: re.Match) -> Iterator[tuple[int, int, str, str]]:
-    if m.re is CUED:
+    if m.re is not PERSON:
         words, at = re.split("[ -]", m["cued"]), m.start("cued")
         sex = SEX[words[0]][1] if words[0] in SEX else "u"
     elif m["title"]:
@@ -414,6 +469,19 @@ def _drawn(rows: DataFrame, key: str) -> DataFrame:
     return rows.select("kind", "value", "attempt").mapInArrow(run, "kind string, value string, attempt int, surrogate string")
 
 
+def _dense(rows: DataFrame) -> DataFrame:
+    """kind, value of the entities in a format of which the corpus has more than a part (FULL) of all values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [(k, v, f, room(k, v)) for k, v in zip(batch["kind"].to_pylist(), batch["value"].to_pylist(), strict=True) if (f := form(k, v)) is not None]
+            yield pa.record_batch([pa.array([x[i] for x in got], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))], ["kind", "value", "form", "room"])
+
+    each = rows.select("kind", "value").mapInArrow(run, "kind string, value string, form string, room long")
+    full = each.groupBy("kind", "form").agg(F.count(F.lit(1)).alias("n"), F.min("room").alias("room")).where(F.col("n") * FULL > F.col("room"))
+    return each.join(full.select("kind", "form"), ["kind", "form"], "left_semi").select("kind", "value")
+
+
 def _closed(rows: DataFrame) -> DataFrame:
     """The rows (kind, value, attempt) whose format has been walked through and leaves no other value to draw."""
 
@@ -441,12 +509,14 @@ def session_key(docs: DataFrame) -> str:
 
 
 def surrogates(docs: DataFrame, key: str | None = None) -> DataFrame:
-    """kind, value, attempt, surrogate: distinct within a kind, and never a value that the corpus has.
+    """kind, value, attempt, surrogate: distinct within a kind, never the value itself, and never one that the corpus has unless its format is dense.
 
+    The first draws within a format are a derangement of it, so they are distinct and nobody's own.
     Who holds a free surrogate alone, or is the least of those who share it, keeps it. The others draw
-    again, in each round twice as often, until all have one. Where a format of fixed length has no free
-    value left, this is an error; only a format of a single value maps to itself. The key is the
-    caller's, or the session's (KEY_CONF).
+    again, in each round twice as often, until all have one. Where the corpus has more than one in
+    FULL values of a format (dates of birth soon, short numbers later), that many others can't be
+    free: there the derangement stays, and a surrogate may be what another entity really has. Only a
+    format of a single value maps to itself. The key is the caller's, or the session's (KEY_CONF).
     """
     key = key or session_key(docs)
     family = F.split("kind", "-")[0].alias("family")
@@ -455,7 +525,9 @@ def surrogates(docs: DataFrame, key: str | None = None) -> DataFrame:
     values = drawn.select(family, F.col("value").alias("name"))
     seen = claims.union(values.withColumn("owner", F.lit(None).cast("struct<kind:string,value:string>"))).groupBy("family", "name").agg(F.min("owner").alias("first"), F.max(F.col("owner").isNull()).alias("real"))
     judged = drawn.withColumns({"family": F.split("kind", "-")[0], "name": F.col("surrogate")}).join(seen, ["family", "name"])
-    again = F.col("real") | (F.struct("kind", "value") != F.col("first"))
+    dense = _dense(drawn).withColumn("dense", F.lit(True))
+    judged = judged.join(dense, ["kind", "value"], "left")
+    again = (F.col("real") & F.col("dense").isNull()) | (F.struct("kind", "value") != F.col("first"))
     bad = cut(_movable(judged.where(again).select("kind", "value", "attempt")))
     count, wide = bad.count(), 1
     if not count:

@@ -544,6 +544,45 @@ def test_later_names_follow_and_codes_tell_phones_apart(spark):
     spark.conf.unset(pii.KEY_CONF)
 
 
+def test_names_by_context_and_further_spellings():
+    shown = lambda text: [text[a:b] for a, b, *_ in pii.found(text)]
+    assert shown("Jane Doe wrote to Wei Zhang and Priya Patel.") == ["Jane", "Doe", "Wei", "Zhang", "Priya", "Patel"]
+    assert shown("Dear Aino Virtanen, we met Kofi Mensah, Li Na and Eva Novak.") == ["Aino", "Virtanen", "Kofi", "Mensah", "Li", "Na", "Eva", "Novak"]
+    assert shown("Best regards,\nOlu Adeyemi") == ["Olu", "Adeyemi"]
+    assert shown("The Board said no. New York asked. In Paris They met. Then we wrote to them.") == []
+    assert shown("josé@exämple.com or 07700 900123, call me at 555-0199") == ["josé@exämple.com", "07700 900123", "555-0199"]
+    assert shown("room 555-0199, part 0770 12") == []
+    mail = pii.stand_in("email", "josé@exämple.com", 0, "k")
+    assert re.fullmatch(r"[a-z]{3}[à-ö]@[a-z]{2}[à-ö][a-z]{4}\.example", mail) and mail[:4] != "josé"
+
+
+def test_derangements_and_formats():
+    for size in (2, 3, 10, 1000, 4099):
+        moved = [pii.deranged(i, size, "t", "k") for i in range(size)]
+        assert sorted(moved) == list(range(size)) and all(i != x for i, x in enumerate(moved))
+        assert [pii.permuted(pii.permuted(i, size, "t", "k"), size, "t", "k", back=True) for i in range(size)] == list(range(size))
+    for kind, value in (("dob", "1990-01-02"), ("dob", "2024-99-99"), ("card", "4111111111111111"), ("phone", "+441234567"), ("phone", "5550199"), ("ssn", "123456789"), ("passport", "X123456"), ("iban", "DE89370400440532013000"), ("ip6", "2001:db8::1")):
+        new = pii.stand_in(kind, value, 0, "k")
+        assert new != value and pii.form(kind, new) == pii.form(kind, value)
+
+
+def test_most_dates_of_birth_in_one_corpus(spark):
+    from datetime import date
+
+    days = [date.fromordinal(pii.FIRST_DAY + i).isoformat() for i in range(pii.DAYS)]
+    lines = [(n, " ".join(f"dob {d}" for d in days[n::400])) for n in range(400)]
+    lines += [(1000 + i, f"passport no. {i:06d} and DOB: 2024-99-{i % 100:02d} and dob {days[i]}") for i in range(300)]
+    got = {r.doc_id: r for r in pii.pseudonymised(documents(spark, lines)).collect()}
+    seen = {}
+    for doc_id, text in lines:
+        old, new = re.findall(r"\d{4}-\d\d-\d\d|\d{6}", text), re.findall(r"\d{4}-\d\d-\d\d|\d{6}", got[doc_id].text)
+        assert got[doc_id].n_entities == len(old) == len(new)
+        for a, b in zip(old, new, strict=True):
+            assert seen.setdefault(a, b) == b != a
+    assert len(set(seen.values())) == len(seen) and set(days) <= set(seen)
+    assert {seen[d] for d in days} == set(days)
+
+
 def test_pii_odd_rows(spark):
     got = pii.pseudonymised(documents(spark, ODD))
     assert sorted(map(tuple, got.select("doc_id", "text").collect()), key=repr) == sorted(ODD, key=repr)
