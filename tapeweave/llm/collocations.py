@@ -10,8 +10,8 @@ subtracted bounds a count from above: the rest is dropped. The mass is known fir
 all tasks sort before their counters; a task holds capacity counters and one buffer.
 
 Second pass: a Bloom filter of the survivors, at most FILTER bits whatever the input, lets the texts'
-runs through that can be frequent; those are counted exactly, by their text. A full filter only lets
-more through.
+runs through that can be frequent. A task counts them and writes one row per hash partition and
+language, and they are summed by their text, exactly. A full filter only lets more through.
 """
 
 from __future__ import annotations
@@ -210,20 +210,25 @@ def bloom(survivors: DataFrame, bits: int) -> np.ndarray:
 
 
 def _counted(shared, bits: int):
-    """Texts to lang, phrase, count: the runs that pass the filter, counted within the task; phrase '' has all words."""
+    """Texts to part, lang, phrases, counts: the runs that pass the filter, counted within the task, a row per part and language; the phrase '' has all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         width = table.shape[1] * 8
-        number: dict[int, int] = {}
+        number: dict[int, int] = {}  # the place of each code, ascending
         names: list[tuple[str, bytes]] = []
         counts = np.zeros(0, np.int64)
         words: dict[str, int] = {}
 
         def rows() -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(names), 50_000):
-                langs, texts = zip(*names[at : at + 50_000], strict=True)
-                yield pa.record_batch([pa.array(langs, pa.string()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(counts[at : at + len(langs)])], ["lang", "phrase", "count"])
+            part = (np.fromiter(number, U, len(number)) >> U(64 - bits)).astype(np.int32)
+            langs = [x[0] for x in names]
+            coded = pa.array(langs, pa.string()).dictionary_encode().indices.to_numpy()
+            order = np.lexsort((part, coded))
+            edges = np.flatnonzero((np.diff(part[order], prepend=-1) != 0) | (np.diff(coded[order], prepend=-1) != 0)).tolist()
+            for at in range(0, len(edges), 256):
+                some = [order[a:b] for a, b in zip(edges[at : at + 256], [*edges[at + 1 : at + 256], *(edges[at + 256 : at + 257] or [len(order)])], strict=True)]
+                yield packed([int(part[x[0]]) for x in some], [langs[x[0]] for x in some], [b"\n".join([names[i][1] for i in x.tolist()]) for x in some], [counts[x].tobytes() for x in some])
 
         for batch in batches:
             langs = batch["lang"].to_pylist()
@@ -250,21 +255,48 @@ def _counted(shared, bits: int):
                 if len(names) >= PHRASES:
                     yield from rows()
                     number, names, counts = {}, [], np.zeros(0, np.int64)
-        yield from rows()
+        if names:
+            yield from rows()
         if words:
-            yield pa.record_batch([pa.array(list(words)), pa.array([""] * len(words)), pa.array(list(words.values()), pa.int64())], ["lang", "phrase", "count"])
+            yield packed([-1] * len(words), list(words), [b""] * len(words), [np.int64(n).tobytes() for n in words.values()])
+
+    def packed(part: list[int], langs: list[str], phrases: list[bytes], counts: list[bytes]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(part, pa.int32()), pa.array(langs, pa.string()), pa.array(phrases, pa.binary()), pa.array(counts, pa.binary())], ["part", "lang", "phrases", "counts"])
 
     return run
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed counts, sorted by language, to lang, phrase, count: a phrase has one row, or a few where more than PHRASES pass the filter."""
+    last, held = None, {}
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        names = list(held)
+        for at in range(0, len(names), 50_000):
+            some = names[at : at + 50_000]
+            yield pa.record_batch([pa.array([last] * len(some), pa.string()), pa.array(some, pa.binary()).cast(pa.string()), pa.array([held[x] for x in some], pa.int64())], ["lang", "phrase", "count"])
+
+    for batch in batches:
+        for lang, phrases, counts in zip(batch["lang"].to_pylist(), batch["phrases"], batch["counts"], strict=True):
+            if held and (lang != last or len(held) >= PHRASES):
+                yield from rows()
+                held = {}
+            last = lang
+            for phrase, n in zip(phrases.as_py().split(b"\n"), np.frombuffer(counts.as_py(), np.int64).tolist(), strict=True):
+                held[phrase] = held.get(phrase, 0) + n
+    if held:
+        yield from rows()
+
+
 def frequent(docs: DataFrame, threshold: int = LEAST) -> DataFrame:
     """lang, phrase (words joined by a space), f: every run of 1 to LONGEST words with at least threshold occurrences; phrase '' has all words."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_of().alias("text"))
     survivors, bits = surviving(docs, threshold)
     shared = docs.sparkSession.sparkContext.broadcast(bloom(survivors, bits))
-    counted = docs.mapInArrow(_counted(shared, bits), "lang string, phrase string, count long")
-    return saved(counted.groupBy("lang", "phrase").agg(F.sum("count").alias("f")).where((F.col("f") >= threshold) | (F.col("phrase") == "")))
+    counted = docs.mapInArrow(_counted(shared, bits), "part int, lang string, phrases binary, counts binary")
+    united = counted.repartition("part", "lang").sortWithinPartitions("lang").mapInArrow(_united, "lang string, phrase string, count long")
+    return saved(united.groupBy("lang", "phrase").agg(F.sum("count").alias("f")).where((F.col("f") >= threshold) | (F.col("phrase") == "")))
 
 
 def _part(first: Column, size: Column) -> Column:
