@@ -87,6 +87,8 @@ IBAN_CLUE = re.compile(r"[A-Z][A-Z]\d\d")
 CUED = re.compile(rf"\b(?i:{'|'.join(map(re.escape, CUES))})(?: |\n{{1,2}})(?P<cued>{CAPITAL}(?:[ -]{CAPITAL}){{1,2}})")
 PERSON = re.compile(rf"\b(?:(?P<title>{'|'.join(sum(TITLES.values(), []))})\.? (?P<titled>{CAPITAL}(?:[ -]{CAPITAL}){{0,2}})|(?P<given>{'|'.join(sorted(SEX, key=len, reverse=True))}) (?P<surname>{CAPITAL}))")
 DEEDS = "said wrote told asked replied answered phoned emailed met thanked contacted spoke".split()  # beside them stands who did it, and to whom
+GREETINGS = ("Dear ", "dear ", "Hello ", "hello ")
+ACTOR_BEFORE = 80  # characters in which the one who did it stands before a verb
 RUN = rf"{CAPITAL}(?:[ -]{CAPITAL}){{1,2}}"
 ACTOR = re.compile(rf"\b(?P<cued>{RUN}) (?:has |had )?(?:{'|'.join(DEEDS)})\b")
 OTHER = re.compile(rf"\b(?:(?:{'|'.join(DEEDS)})(?: to| with)?|[Dd]ear|[Hh]ello) (?P<cued>{RUN})")
@@ -394,8 +396,7 @@ def found(text: str) -> list[tuple[int, int, str, str]]:
     people = list(PERSON.finditer(text)) if CALLED.search(text) else []
     if any(cue in low for cue in CUES):
         people += CUED.finditer(text)
-    if any(deed in text for deed in DEEDS) or "ear " in text or "ello " in text:
-        people += _beside(text)
+    people += _beside(text)
     if people:
         named = sorted({x for m in people for x in _names(m)})
         kinds: dict[str, str] = {}
@@ -415,10 +416,18 @@ def found(text: str) -> list[tuple[int, int, str, str]]:
 
 def _beside(text: str) -> Iterator[re.Match]:
     """Runs of capitalised words beside a verb of speech or after a salutation, and those listed after one."""
-    for m in (*ACTOR.finditer(text), *OTHER.finditer(text)):
-        while m is not None and COMMON.isdisjoint(re.split("[ -]", m["cued"])):
-            yield m
-            m = LISTED.match(text, m.end("cued"))
+    for cue in (*DEEDS, *GREETINGS):
+        at = text.find(cue)
+        while at >= 0:
+            end = at + len(cue)
+            near = [OTHER.match(text, at)]
+            if cue in DEEDS and not text[end : end + 1].isalnum():
+                near += [m for m in ACTOR.finditer(text, max(0, at - ACTOR_BEFORE), end) if m.end() == end]
+            for m in near:
+                while m is not None and COMMON.isdisjoint(re.split("[ -]", m["cued"])):
+                    yield m
+                    m = LISTED.match(text, m.end("cued"))
+            at = text.find(cue, end)
 
 
 def _names(m: re.Match) -> Iterator[tuple[int, int, str, str]]:
