@@ -1088,7 +1088,7 @@ _stream(
     "SELECT * FROM hflow WHERE bucket + 3600000 <= (SELECT max(ts_ms) FROM trades) - 900000",
 )
 _stream("R-03_stream_sweeps", testdata.trades, lambda rows: streams.stream_sweeps(rows, SCALED), "SELECT * REPLACE (round(dominance, 6) AS dominance, round(confidence, 6) AS confidence) FROM sw", lambda x: rounded(x, "dominance", "confidence"))
-_stream("R-04_stream_replenishment", lambda s, d: book.with_seeds(testdata.levels(s, d), testdata.snapshot_levels(s, d)), lambda rows: streams.on_time(streams.stream_replenishment(rows, SCALED.replenishment_window)), REFILLS + "SELECT * FROM refills")
+_stream("R-04_stream_replenishment", lambda s, d: testdata.raw(s, d).unionByName(testdata.raw_snapshots(s, d)), lambda rows: streams.stream_replenishment(rows, SCALED.replenishment_window), REFILLS + "SELECT * FROM refills")
 _stream("R-05_stream_sequence", lambda s, d: sequence.headers(testdata.levels(s, d)).unionByName(testdata.snapshots(s, d).select("session_id", "symbol", "seq", F.col("last_update_id").alias("snapshot_id")), allowMissingColumns=True), lambda rows: streams.on_time(streams.stream_sequence(rows)), SEQUENCING + "SELECT session_id, symbol, seq, status FROM stat WHERE status <> 'buffered'")
 _stream("R-06_stream_dedup", testdata.repeated_trades, lambda rows: streams.on_time(streams.stream_dedup(rows)), CLASSIFIED.format(window=4096) + "SELECT * FROM c")
 
@@ -1096,15 +1096,16 @@ _stream("R-06_stream_dedup", testdata.repeated_trades, lambda rows: streams.on_t
 FLOW = ["buy_volume", "sell_volume", "delta", "trade_count", "large_volume"]
 
 
-@query("R-07_stream_frame_diff", "SELECT session_id, symbol, price, " + ", ".join(f"arg_max({c}, bucket) AS {c}" for c in FLOW) + " FROM hflow GROUP BY ALL")
-def _(s, d):
-    path = _folder(s)
-    streams.stream_frame_diff(streams.replayed(s, testdata.trades(s, d), f"{path}/in"), path, f"{path}/checkpoint", SCALED).awaitTermination()
-    newest = F.max_by(F.struct("change", *FLOW), F.col("batch")).alias("x")  # what the diffs leave of each price, one after the other
-    held = s.read.parquet(f"{path}/diff/*").groupBy("session_id", "symbol", "price").agg(newest)
+def _newest(rows: DataFrame) -> DataFrame:
+    """What the diffs leave of each price, one after the other."""
+    held = rows.groupBy("session_id", "symbol", "price").agg(F.max_by(F.struct("change", *FLOW), F.col("version")).alias("x"))
     return held.where("x.change <> 'removed'").select("session_id", "symbol", "price", *(f"x.{c}" for c in FLOW))
 
 
+_stream("R-07_stream_frame_diff", testdata.trades, lambda rows: streams.stream_frame_diff(rows, SCALED), "SELECT session_id, symbol, price, " + ", ".join(f"arg_max({c}, bucket) AS {c}" for c in FLOW) + " FROM hflow GROUP BY ALL", _newest)
+_stream("W-02_stream_dedup_rows", lambda s, d: testdata.trades(s, d).select(TRADE).unionByName(testdata.trades(s, d).select(TRADE).where("seq % 6 = 0")), lambda rows: streams.stream_dedup_rows(rows, ["session_id", "symbol", "trade_id", "seq"]), f"SELECT {', '.join(TRADE)} FROM trades")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -94,3 +94,12 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.format_string('{"e":"depthUpdate","E":%d,"T":%d,"s":"%s","U":%d,"u":%d,"pu":%d,"b":[%s],"a":[%s]}', "ts_ms", "ts_ms", "symbol", "first_update_id", "final_update_id", F.coalesce("previous_final_update_id", F.lit(-1)), bids, asks).alias("raw_payload"),
     )
     return t.unionByName(d)
+
+
+def raw_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshots as the exchange's JSON, in raw's columns."""
+    text = lambda x: (x.cast("decimal(28,8)") / SCALE).cast("decimal(20,8)").cast("string")
+    side = lambda s: F.to_json(F.transform(F.sort_array(F.collect_list(F.when(F.col("side") == s, F.struct("pos", "price", "quantity")))), lambda x: F.array(text(x["price"]), text(x["quantity"]))))
+    rows = snapshot_levels(spark, sf_dir).groupBy("session_id", "symbol", "seq", "last_update_id", "ts_ms").agg(side("BID").alias("bids"), side("ASK").alias("asks"))
+    payload = F.format_string('{"lastUpdateId":%d,"bids":%s,"asks":%s}', "last_update_id", "bids", "asks")
+    return rows.select("session_id", "seq", "symbol", F.lit("snapshot").alias("stream_type"), F.col("ts_ms").alias("exchange_event_ms"), payload.alias("raw_payload"))

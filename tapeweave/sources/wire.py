@@ -48,6 +48,12 @@ def parse_snapshot(raw: DataFrame) -> DataFrame:
     return rows.where(F.col("last_update_id").isNotNull())
 
 
+def parse_book(raw: DataFrame) -> DataFrame:
+    """Depth updates and snapshot documents alike: raw rows with bids and asks as text pairs; rows that are neither are left out."""
+    side = lambda update, document: F.from_json(F.coalesce(_text(update), _text(document)), LEVELS)
+    return raw.withColumns({"bids": side("$.b", "$.bids"), "asks": side("$.a", "$.asks")}).where("bids is not null and asks is not null")
+
+
 def explode_levels(messages: DataFrame) -> DataFrame:
     """One row per level of a message: all bids, then all asks, each in array order; levels that aren't numbers are left out."""
     tagged = lambda c, side: F.transform(F.col(c), lambda x: F.struct(F.lit(side).alias("side"), x[0].alias("price_text"), x[1].alias("quantity_text")))

@@ -1,17 +1,8 @@
-"""Structured Streaming forms of the order-dependent operators.
-
-A keyed fold keeps one row of state per key: the last seq it has seen and the fold's own state as
-JSON. Rows of a key are sorted by seq and pos within a micro-batch; a row at or below the last seq
-of an earlier batch is late and comes out marked as such instead of changing the past.
-"""
+"""Structured Streaming forms of the order-dependent operators; the machines that hold a key's state are in state.py."""
 
 from __future__ import annotations
 
-import json
-from bisect import bisect_left
-from collections import deque
-from collections.abc import Callable, Iterator
-from copy import copy
+from collections.abc import Callable
 from typing import Any
 
 import numpy as np
@@ -19,67 +10,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tapeweave.config import DEFAULT, Config
-from tapeweave.functions.ticks import signed
-from tapeweave.operators import heatmap, signals
-from tapeweave.operators.sequence import Sequencer
+from tapeweave.functions.ticks import bucket_start, signed
+from tapeweave.operators import signals
 from tapeweave.sources import tables, wire
+from tapeweave.streaming.state import Accepted, Cells, Epochs, Measures, Refills, Statuses, on_time, ordered
 
 KEYS = ["session_id", "symbol"]
-STATE = "last_seq long, fold string"
-Fold = Callable[[Any, dict], tuple[Any, list[dict]]]
 Step = Callable[[Any, pd.DataFrame], tuple[Any, pd.DataFrame]]
 
 
-def keyed_frames(rows: DataFrame, keys: list[str], step: Step, start: Any, schema: str) -> DataFrame:
-    """step(state, a key's new rows in order) gives the new state and rows of schema (without the keys); late rows come out with late true and nulls."""
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    head = ", ".join(f"{k} {types[k]}" for k in keys)
-    names = [x.strip().split(" ")[0] for x in schema.split(",")]
-    ordered = [c for c in ("seq", "pos") if c in rows.columns]
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        last, state = -1, copy(start)
-        if held.exists:
-            last, text = held.get
-            state = json.loads(text)
-        pdf = pd.concat(list(batches)).sort_values(ordered, kind="stable", ignore_index=True)
-        late = pdf["seq"] <= last
-        out = [pd.DataFrame({"late": True, "late_seq": pdf["seq"][late]})] if late.any() else []
-        if not late.all():
-            fresh = pdf[~late].reset_index(drop=True)
-            state, made = step(state, fresh)
-            last = int(fresh["seq"].iloc[-1])
-            out += [made.assign(late=False, late_seq=None)] if len(made) else []
-        held.update((int(last), json.dumps(state)))
-        for part in out:
-            got = part.reindex(columns=[*names, "late", "late_seq"])
-            for name, value in zip(keys, key, strict=True):
-                got[name] = value
-            yield got[[*keys, *names, "late", "late_seq"]]
-
-    return rows.groupBy(*keys).applyInPandasWithState(run, f"{head}, {schema}, late boolean, late_seq long", STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def keyed_fold(rows: DataFrame, keys: list[str], fold: Fold, start: Any, schema: str) -> DataFrame:
-    """keyed_frames for what depends on each row in turn: fold(state, row) gives the new state and rows."""
-
-    def step(state: Any, pdf: pd.DataFrame) -> tuple[Any, pd.DataFrame]:
-        out = []
-        for row in pdf.to_dict("records"):
-            state, made = fold(state, row)
-            out += made
-        return state, pd.DataFrame(out)
-
-    return keyed_frames(rows, keys, step, start, schema)
-
-
-def on_time(rows: DataFrame) -> DataFrame:
-    return rows.where("not late").drop("late", "late_seq")
-
-
 # --- R-01 --------------------------------------------------------------------------------------
 
 
@@ -154,7 +95,7 @@ def clustering(gap: int, reach: int) -> Step:
 
 
 def stream_clusters(trades: DataFrame, gap: int = DEFAULT.cluster_gap, reach: int = DEFAULT.cluster_range * DEFAULT.tick) -> DataFrame:
-    return keyed_frames(trades, KEYS, clustering(gap, reach), None, CLUSTER)
+    return ordered(trades, KEYS, Measures, CLUSTER, clustering(gap, reach))
 
 
 def stream_sweeps(trades: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -165,97 +106,56 @@ def stream_sweeps(trades: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 # --- R-04 --------------------------------------------------------------------------------------
 
 
-def refilling(window: int) -> Fold:
-    """A level's epoch, quantity and unused decreases as state; decreases past the window are dropped."""
-
-    def fold(state: dict | None, row: dict) -> tuple[dict, list[dict]]:
-        epoch, new, ms = int(row["epoch"]), int(row["quantity"]), int(row["ts_ms"])
-        if state is None or state["epoch"] != epoch:
-            state = {"epoch": epoch, "quantity": 0, "waiting": []}
-        old, waiting, out = state["quantity"], deque(state["waiting"]), []
-        if not row["seed"]:
-            if 0 < new < old:
-                waiting.append(ms)
-            elif new > old:
-                while waiting and waiting[0] + window < ms:
-                    waiting.popleft()
-                if waiting:
-                    waiting.popleft()
-                    out.append({"epoch": epoch, "seq": int(row["seq"]), "pos": int(row["pos"]), "ts_ms": ms, "quantity": new})
-        return {"epoch": epoch, "quantity": new, "waiting": list(waiting)}, out
+def stream_replenishment(raw: DataFrame, window: int = DEFAULT.replenishment_window, late: str = "15 minutes") -> DataFrame:
+    """Refills from raw messages (session_id, symbol, seq, stream_type, exchange_event_ms, raw_payload), of which depth updates and snapshots count.
 
-    return fold
-
-
-def stream_replenishment(rows: DataFrame, window: int = DEFAULT.replenishment_window) -> DataFrame:
-    """Refills of levels. rows: level rows and snapshot seeds with epoch and seed, times not decreasing within a level."""
-    return keyed_fold(rows, [*KEYS, "side", "price"], refilling(window), None, "epoch long, seq long, pos int, ts_ms long, quantity long")
-
-
-# --- R-05 --------------------------------------------------------------------------------------
+    Two states in a row: a session counts its snapshots, and a level, whose rows carry that count, matches
+    refills. Messages that the watermark has left behind by more than late are dropped.
+    """
+    ms = F.col("exchange_event_ms")
+    messages = raw.where(F.col("stream_type").isin("depth", "snapshot")).select(*KEYS, "seq", "stream_type", "exchange_event_ms", "raw_payload")
+    timed = messages.withColumn("ts", F.timestamp_millis(ms)).withWatermark("ts", late)
+    counted = on_time(ordered(timed, KEYS, Epochs, "seq long, stream_type string, exchange_event_ms long, raw_payload string, ts timestamp, epoch long", timed="ts", ts="ts"))
+    rows = wire.explode_levels(wire.parse_book(counted)).select(*KEYS, "side", "price", "seq", "pos", "quantity", F.col("exchange_event_ms").alias("ts_ms"), "ts", "epoch", (F.col("stream_type") == "snapshot").alias("seed"))
+    rows = rows.where("not seed or quantity > 0")
+    return on_time(ordered(rows, [*KEYS, "side", "price"], Refills, "epoch long, seq long, pos int, ts_ms long, quantity long", window, True, timed="ts"))
 
 
-def _sequencing(state: dict | None, row: dict) -> tuple[dict, list[dict]]:
-    machine = Sequencer(*((state["last"], [tuple(x) for x in state["buffer"]]) if state else ()))
-    if not pd.isna(row["snapshot_id"]):
-        made = machine.snapshot(int(row["snapshot_id"]))
-    else:
-        previous = row["previous_final_update_id"]
-        made = machine.depth(int(row["seq"]), int(row["first_update_id"]), int(row["final_update_id"]), None if pd.isna(previous) else int(previous))
-    return {"last": machine.last, "buffer": machine.buffer}, [{"seq": s, "status": x} for s, x in made]
+# --- R-05, R-06 --------------------------------------------------------------------------------
 
 
 def stream_sequence(rows: DataFrame) -> DataFrame:
     """Status of each depth update once it is known; one still buffered has none yet. rows: headers and snapshots with snapshot_id."""
-    return keyed_fold(rows, KEYS, _sequencing, None, "seq long, status string")
-
+    return ordered(rows, KEYS, Statuses, "seq long, status string")
 
-# --- R-06 --------------------------------------------------------------------------------------
 
-
-def deduplicating(window: int) -> Fold:
-    """The last window accepted ids as state; they ascend, so the last is the greatest and a search finds a repeat."""
-
-    def fold(accepted: list[int], row: dict) -> tuple[list[int], list[dict]]:
-        number = int(row["trade_id"])
-        fresh = not accepted or number > accepted[-1]
-        at = bisect_left(accepted, number)
-        status = "processed" if fresh else "duplicate" if at < len(accepted) and accepted[at] == number and len(accepted) - at <= window else "stale"
-        if fresh:
-            accepted.append(number)
-            if len(accepted) > 2 * window:  # cut now and then, not at each row
-                del accepted[:-window]
-        return accepted, [{"seq": int(row["seq"]), "trade_id": number, "status": status}]
-
-    return fold
+def stream_dedup(trades: DataFrame, window: int = DEFAULT.dedup_window) -> DataFrame:
+    """trades with status as sequence.classify_trades gives it."""
+    return ordered(trades, KEYS, Accepted, "seq long, trade_id long, status string", window)
 
 
-def stream_dedup(trades: DataFrame, window: int = DEFAULT.dedup_window) -> DataFrame:
-    return keyed_fold(trades, KEYS, deduplicating(window), [], "seq long, trade_id long, status string")
+def stream_dedup_rows(rows: DataFrame, keys: list[str], ms: str = "ts_ms", late: str = "15 minutes") -> DataFrame:
+    """One row per key, as batches retry: repeats within late of each other collapse, and state goes with the watermark."""
+    return rows.withColumn("_ts", F.timestamp_millis(ms)).withWatermark("_ts", late).dropDuplicatesWithinWatermark(keys).drop("_ts")
 
 
 # --- R-07 --------------------------------------------------------------------------------------
 
 
-def stream_frame_diff(trades: DataFrame, root: str, checkpoint: str, cfg: Config = DEFAULT) -> StreamingQuery:
-    """For each micro-batch, what turns the frame before it into the one after it, written to root/diff; the frame is root/frame/N.
+def stream_frame_diff(trades: DataFrame, cfg: Config = DEFAULT, retention: int | None = None, late: str = "15 minutes") -> DataFrame:
+    """What each micro-batch changes in the frame: per price that it touches the newest cell's values, with change (new, changed, removed) and version.
 
-    A batch's frame is the one before plus its own cells, so a batch reads the cells so far once.
+    A batch costs what it touches: the frame is the state, one cell a price. Flow measures only. With
+    retention, a cell goes that much after its bucket began.
     """
-    spark = trades.sparkSession
-
-    def step(batch: DataFrame, number: int) -> None:
-        new = heatmap.heat_flow(batch, cfg)
-        names = ["buy_volume", "sell_volume", "delta", "trade_count", "pressure", "large_volume"]
-        blank = {c: F.lit(0).cast("bigint") for c in heatmap.COUNTS if c not in names}
-        new = new.withColumns(blank)
-        old = spark.read.parquet(f"{root}/frame/{number - 1}") if number else new.limit(0)
-        whole = old.unionByName(new).groupBy(*heatmap.CELL).agg(*(F.sum(c).alias(c) for c in heatmap.COUNTS))
-        whole.write.mode("overwrite").parquet(f"{root}/frame/{number}")
-        after = spark.read.parquet(f"{root}/frame/{number}")
-        heatmap.frame_diff(old, after).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/diff/{number}")
-
-    return trades.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q = F.col("quantity")
+    side = lambda s: F.when(F.col("side") == s, q).otherwise(0)
+    rows = trades.select(
+        *KEYS, "price", "seq", F.timestamp_millis("ts_ms").alias("ts"), bucket_start(F.col("ts_ms"), cfg.cell).alias("bucket"), side("BUY").alias("buy_volume"), side("SELL").alias("sell_volume"),
+        signed(q, F.col("side")).alias("delta"), F.lit(1).cast("bigint").alias("trade_count"), F.when(q >= cfg.large_trade, q).otherwise(0).alias("large_volume"),
+    )
+    cells = "version long, change string, bucket long, buy_volume long, sell_volume long, delta long, trade_count long, large_volume long"
+    return on_time(ordered(rows.withWatermark("ts", late), [*KEYS, "price"], Cells, cells, retention, timed="ts"))
 
 
 # --- Running -----------------------------------------------------------------------------------
