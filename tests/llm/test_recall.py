@@ -118,6 +118,29 @@ def test_a_passage_that_fills_buckets_hides_no_copy(spark):
     assert all(got[1000 + k] == k for k in range(0, 150, 10)) and len(set(got.values())) == 150
 
 
+def template(n, copies):
+    """n texts of which a template makes three fifths, and a near copy of every so many-th."""
+    passage, rows = words(60, 999), []
+    for k in range(n):
+        own = words(40, 5000 + k)
+        rows.append((k, f"{own} {passage}"))
+        if k % copies == 0:
+            rows.append((100_000 + k, f"{altered(own, k, 0.03)} {passage}"))
+    return rows
+
+
+def test_a_template_of_thousands_hides_no_copy(spark):
+    got = {r.doc_id: r.class_id for r in near_dedup.near_dedup(documents(spark, template(2500, 50))).collect()}
+    assert all(got[100_000 + k] == k for k in range(0, 2500, 50)) and len(set(got.values())) == 2500
+
+
+def test_what_no_combination_splits_meets_whole(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    monkeypatch.setattr(near_dedup, "LEVELS", 3)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_dedup(documents(spark, template(120, 10))).collect()}
+    assert all(got[100_000 + k] == k for k in range(0, 120, 10)) and len(set(got.values())) == 120
+
+
 # --- 5 fingerprints ----------------------------------------------------------------------------
 
 
