@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeweave.operators.book import best_bid_ask, mid, spread
 from tapeweave.operators.flow import last_trade
+from tapeweave.operators.running import running
 from tapeweave.operators.sequence import sequence_report
 
 KEYS = ["session_id", "symbol"]
@@ -39,8 +40,7 @@ def duplicate_depth_identities(levels: DataFrame) -> DataFrame:
 def depth_sequence_anomalies(levels: DataFrame) -> DataFrame:
     """Depth updates whose final id isn't above the one before."""
     per = levels.groupBy("session_id", "seq").agg(F.max("final_update_id").alias("final_update_id"))
-    before = F.lag("final_update_id").over(Window.partitionBy("session_id").orderBy("seq"))
-    return per.withColumn("previous", before).where(F.col("final_update_id") <= F.col("previous"))
+    return running(per, "previous", F.col("final_update_id"), "last", inclusive=False, keys=["session_id"]).where(F.col("final_update_id") <= F.col("previous"))
 
 
 def session_counts(raw: DataFrame, trades: DataFrame, levels: DataFrame) -> DataFrame:

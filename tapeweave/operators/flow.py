@@ -71,12 +71,18 @@ def cvd(trades: DataFrame) -> DataFrame:
     return running(rows, "cvd", F.col("signed_quantity"), "sum")
 
 
-def flow_digest(trades: DataFrame) -> DataFrame:
-    """Totals and the ordered price list of a session, as one row: for sessions whose profile fits in a row."""
+def flow_digest(trades: DataFrame, levels: bool = False) -> DataFrame:
+    """Totals of a session, the number of its price levels, and a hash of its profile; levels adds the profile itself, as a list.
+
+    The hash is the sum of the price levels' own hashes (60 bits of an MD5 each): equal for equal
+    profiles, whatever order or partition they come in, and of a fixed size.
+    """
     profile = volume_at_price(trades)
-    levels = F.sort_array(F.collect_list(F.struct("price", "total_volume", "buy_volume", "sell_volume", "delta"))).alias("levels")
-    rows = profile.groupBy(*KEYS).agg(levels)
-    return flow_totals(trades).join(rows, KEYS).withColumn("level_count", F.size("levels"))
+    values = ["price", "total_volume", "buy_volume", "sell_volume", "delta"]
+    code = F.conv(F.substring(F.md5(F.concat_ws(",", *values)), 1, 15), 16, 10).cast("decimal(20,0)")
+    made = [F.sum(code).cast("string").alias("profile_hash"), F.count(F.lit(1)).alias("level_count")]
+    made += [F.sort_array(F.collect_list(F.struct(*values))).alias("levels")] if levels else []
+    return flow_totals(trades).join(profile.groupBy(*KEYS).agg(*made), KEYS)
 
 
 def aggressor_counts(trades: DataFrame) -> DataFrame:

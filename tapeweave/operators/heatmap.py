@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeweave.config import DEFAULT, SCALE, Config
 from tapeweave.functions.ticks import bucket_start, clamp01, grid_price, signed
+from tapeweave.operators.running import running
 
 KEYS = ["session_id", "symbol"]
 CELL = [*KEYS, "bucket", "price"]
@@ -135,27 +136,30 @@ def apply_diff(cells: DataFrame, diff: DataFrame) -> DataFrame:
     return kept.unionByName(diff.where("change <> 'removed'").select(*KEYS, "price", *COUNTS))
 
 
-def price_ladder(cells: DataFrame, low: int, high: int, most: int = 40) -> DataFrame:
-    """Resting shares of the visible cells by their session's peak (at least 1), in bucket and price order; every so many where there are more than most."""
-    s = Window.partitionBy(*KEYS)
-    peak = cells.groupBy(*KEYS).agg(F.greatest(F.max(F.col("resting_bid") + F.col("resting_ask")), F.lit(1)).alias("_peak"))
-    rows = frame_cells(cells, low, high).join(peak, KEYS)
-    rows = rows.withColumns({"_n": F.count(F.lit(1)).over(s), "place": F.row_number().over(s.orderBy("bucket", "price")) - 1})
+def price_ladder(cells: DataFrame, low: int, high: int, most: int = 40, chunk: int = 1_000 * DEFAULT.cell) -> DataFrame:
+    """Resting shares of the visible cells by their session's peak (at least 1), in bucket and price order; every so many where there are more than most.
+
+    Places are running counts by chunks of time, so no task orders a session's cells.
+    """
+    rows = frame_cells(cells, low, high)
+    peak = cells.groupBy(*KEYS).agg(F.greatest(F.max(F.col("resting_bid") + F.col("resting_ask")), F.lit(1)).alias("_peak"), F.count_if(F.col("price").between(low, high)).alias("_n"))
+    placed = running(rows, "place", F.lit(1).cast("bigint"), "sum", inclusive=False, then=(F.col("price"),), chunk=chunk, by="bucket").join(peak, KEYS)
     stride = F.when(F.col("_n") > most, F.ceil(F.col("_n") / F.lit(most))).otherwise(1)
-    return rows.where(F.col("place") % stride == 0).select(*CELL, "place", (F.col("resting_bid") / F.col("_peak")).alias("bid_share"), (F.col("resting_ask") / F.col("_peak")).alias("ask_share"))
+    return placed.where(F.col("place") % stride == 0).select(*CELL, "place", (F.col("resting_bid") / F.col("_peak")).alias("bid_share"), (F.col("resting_ask") / F.col("_peak")).alias("ask_share"))
 
 
-def nearest_cell(cells: DataFrame, probes: DataFrame) -> DataFrame:
+def nearest_cell(cells: DataFrame, probes: DataFrame, chunk: int = 100 * DEFAULT.tick) -> DataFrame:
     """probes (session_id, symbol, probe_id, target) with the nearest price, if nearer than 5 % of the session's range; of ties the lower.
 
-    Cells and probes meet in one ordering by price: the cell before and the cell after a probe are
-    its only candidates.
+    Cells and probes meet in one ordering by price, cut into chunks of so many ticks: the cell before
+    and the cell after a probe are its only candidates.
     """
     prices = cells.select(*KEYS, "price").distinct()
     both = prices.unionByName(probes.select(*KEYS, F.col("target").alias("price"), "probe_id"), allowMissingColumns=True)
     cell = F.when(F.col("probe_id").isNull(), F.col("price"))
-    w = Window.partitionBy(*KEYS).orderBy("price", F.col("probe_id").isNotNull())
-    both = both.withColumns({"below": F.last(cell, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "above": F.first(cell, True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    then = (F.col("probe_id").isNotNull(),)
+    both = running(both, "below", cell, "last", then=then, chunk=chunk, by="price")
+    both = running(both, "above", cell, "last", then=(F.col("probe_id").isNull(),), chunk=chunk, by="price", back=True)
     low, high = F.col("price") - F.col("below"), F.col("above") - F.col("price")
     near = F.when(F.col("above").isNull() | (low <= high), F.col("below")).otherwise(F.col("above"))
     span = prices.groupBy(*KEYS).agg((F.max("price") - F.min("price")).alias("span"))

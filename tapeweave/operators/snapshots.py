@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from tapeweave.config import DEFAULT, Config
 from tapeweave.functions.ticks import signed
 from tapeweave.operators.book import book_asof, book_measures
+from tapeweave.operators.running import running
 from tapeweave.operators.scan import CHUNK, scan
 from tapeweave.operators.sequence import book_epochs
+from tapeweave.sources.shared import kept
 
 KEYS = ["session_id", "symbol"]
 
@@ -88,18 +90,20 @@ def snapshot_segments(events: DataFrame, interval: int = DEFAULT.snapshot_interv
     return scan(events.select(*KEYS, "seq", "ts_ms"), Boundaries(interval), "seq long, ts_ms long, fired boolean, segment long", chunk=chunk)
 
 
-def microstructure_snapshots(trades: DataFrame, levels: DataFrame, snapshots: DataFrame, counted: DataFrame, interval: int = DEFAULT.snapshot_interval, final: bool = True, cfg: Config = DEFAULT) -> DataFrame:
+def microstructure_snapshots(trades: DataFrame, levels: DataFrame, snapshots: DataFrame, counted: DataFrame, interval: int = DEFAULT.snapshot_interval, final: bool = True, cfg: Config = DEFAULT, breaks: DataFrame | None = None) -> DataFrame:
     """One row per fired boundary, which counts the event that fires; final adds the closing row of a session.
 
     counted holds what else a snapshot counts: session_id, symbol, seq and any of liquidity_added,
     liquidity_removed, large_trade_count, sweep_count, absorption_count, replenishment_count,
-    anomalies. Each measure is a sum over the events of its segment; the book is the one that stands
-    at the boundary, ready once a snapshot has filled it.
+    anomalies; what isn't at a trade or update counts at the next one, or at the last. Each measure is
+    a sum over the events of its segment; the book is the one that stands at the boundary, ready from a
+    snapshot to the first of breaks (session_id, symbol, seq: the updates that don't follow) after it.
     """
     stream = trades.select(*KEYS, "seq", "ts_ms").unionByName(levels.select(*KEYS, "seq", "ts_ms").distinct())
     segments = snapshot_segments(stream, interval)
     flow = trades.select(*KEYS, "seq", "quantity", "side")
     sums = ["liquidity_added", "liquidity_removed", "large_trade_count", "sweep_count", "absorption_count", "replenishment_count", "anomalies"]
+    counted = _at_events(counted, stream) if "anomalies" in counted.columns else counted
     extra = counted.groupBy(*KEYS, "seq").agg(*(F.sum(c).alias(c) for c in sums if c in counted.columns))
     rows = segments.join(flow, [*KEYS, "seq"], "left").join(extra, [*KEYS, "seq"], "left")
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
@@ -111,12 +115,32 @@ def microstructure_snapshots(trades: DataFrame, levels: DataFrame, snapshots: Da
     )
     run = Window.partitionBy(*KEYS).orderBy("segment").rowsBetween(Window.unboundedPreceding, 0)
     per = per.withColumn("cvd", F.sum("delta").over(run))
-    per = per if final else per.where("fired")
+    per = kept(per if final else per.where("fired"))  # read by the book, the epochs and the result
     book = book_measures(book_asof(levels, snapshots, per), cfg.depth).drop("epoch")
-    per = book_epochs(per, snapshots).withColumn("book_ready", F.col("epoch") > 0).drop("epoch")
+    per = _ready(book_epochs(per, snapshots), snapshots, breaks)
     return per.join(book, [*KEYS, "seq"], "left").withColumns({"book_crossed": F.coalesce("crossed", F.lit(False)), "bid_depth": F.coalesce("bid_depth", F.lit(0)), "ask_depth": F.coalesce("ask_depth", F.lit(0))}).drop("crossed")
 
 
+def _at_events(counted: DataFrame, stream: DataFrame) -> DataFrame:
+    """counted, its anomalies (which a snapshot of the book may bring about) at the next event of stream, or at the last one."""
+    odd = F.coalesce("anomalies", F.lit(0)) > 0
+    marks = stream.select(*KEYS, "seq", F.col("seq").alias("_at"))
+    both = counted.where(odd).unionByName(marks, allowMissingColumns=True)
+    both = running(both, "_next", F.col("_at"), "last", then=(F.col("_at").isNotNull(),), back=True).where("_at is null")
+    last = stream.groupBy(*KEYS).agg(F.max("seq").alias("_last"))
+    moved = both.join(last, KEYS).withColumn("seq", F.coalesce("_next", "_last")).drop("_at", "_next", "_last")
+    return counted.where(~odd).unionByName(moved)
+
+
+def _ready(per: DataFrame, snapshots: DataFrame, breaks: DataFrame | None) -> DataFrame:
+    """per (with epoch) with book_ready."""
+    if breaks is None:
+        return per.withColumn("book_ready", F.col("epoch") > 0).drop("epoch")
+    first = book_epochs(breaks.select(*KEYS, "seq"), snapshots).groupBy(*KEYS, "epoch").agg(F.min("seq").alias("_break"))
+    ready = (F.col("epoch") > 0) & (F.col("_break").isNull() | (F.col("seq") < F.col("_break")))
+    return per.join(first, [*KEYS, "epoch"], "left").withColumn("book_ready", ready).drop("epoch", "_break")
+
+
 def final_snapshot(rows: DataFrame) -> DataFrame:
     """The last row of each session."""
     newest = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.col("segment").desc()))

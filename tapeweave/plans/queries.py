@@ -353,7 +353,8 @@ ALL_KINDS = SEGMENTS + REFILLS + ABSORBING + CROSSINGS + """, kinds_of AS (
   UNION ALL SELECT session_id, symbol, ts_ms, 'liquidity_' || kind, side, price, magnitude FROM liq
   UNION ALL SELECT session_id, symbol, ts_ms, 'liquidity_replenishment', side, price, quantity FROM refills
   UNION ALL SELECT session_id, symbol, last_ms, 'absorption_candidate', side, price, volume FROM absorbed
-  UNION ALL SELECT session_id, symbol, ts_ms, 'book_anomaly', NULL, NULL, NULL FROM anomalies)
+  UNION ALL SELECT session_id, symbol, ts_ms, 'book_anomaly', NULL, NULL, NULL FROM anomalies
+  UNION ALL SELECT session_id, symbol, ts_ms, 'book_anomaly', NULL, NULL, NULL FROM trades WHERE order_type = 'NA')
 """
 
 
@@ -572,9 +573,14 @@ def _(s, d):
     return flow.completed_buckets(flow.time_buckets(testdata.trades(s, d), (60_000, HOUR, 24 * HOUR)), HOUR)
 
 
-@query("A-06_flow_digest", f"SELECT session_id, symbol, {MEASURES}, {total(SIGNED)} AS cvd, CAST(count(DISTINCT price) AS INTEGER) AS level_count FROM trades GROUP BY ALL")
+@query(
+    "A-06_flow_digest",
+    f""", pr AS (SELECT session_id, symbol, price, {MEASURES} FROM trades GROUP BY ALL),
+ph AS (SELECT session_id, symbol, CAST(sum(CAST('0x' || substr(md5(concat_ws(',', price, total_volume, buy_volume, sell_volume, delta)), 1, 15) AS HUGEINT)) AS VARCHAR) AS profile_hash, count(*) AS level_count FROM pr GROUP BY ALL)
+SELECT t.*, profile_hash, level_count FROM (SELECT session_id, symbol, {MEASURES}, {total(SIGNED)} AS cvd FROM trades GROUP BY ALL) t JOIN ph USING (session_id, symbol)""",
+)
 def _(s, d):
-    return flow.flow_digest(testdata.trades(s, d)).drop("levels")
+    return flow.flow_digest(testdata.trades(s, d))
 
 
 @query("A-07_aggressor_counts", "SELECT session_id, symbol, count(*) FILTER (side = 'BUY') AS buy_trades, count(*) FILTER (side = 'SELL') AS sell_trades FROM trades GROUP BY ALL")
@@ -631,17 +637,25 @@ def segments(s, d):
     return snapshots.snapshot_segments(stream, SCALED.snapshot_interval)
 
 
-COUNTED = ["liquidity_added", "liquidity_removed", "large_trade_count", "sweep_count", "absorption_count", "replenishment_count"]
+COUNTED = ["liquidity_added", "liquidity_removed", "large_trade_count", "sweep_count", "absorption_count", "replenishment_count", "anomalies"]
 TALLY = """, tally AS (
   SELECT session_id, symbol, seq, CASE WHEN kind IN ('added', 'increased') THEN magnitude ELSE 0 END AS liquidity_added, CASE WHEN kind IN ('removed', 'decreased') THEN magnitude ELSE 0 END AS liquidity_removed,
-         0 AS large_trade_count, 0 AS sweep_count, 0 AS absorption_count, 0 AS replenishment_count FROM liq
-  UNION ALL SELECT session_id, symbol, seq, 0, 0, 1, 0, 0, 0 FROM trades WHERE quantity >= 500000000
-  UNION ALL SELECT w.session_id, w.symbol, min(c.seq), 0, 0, 0, 1, 0, 0 FROM sw w JOIN clustered c ON c.session_id = w.session_id AND c.symbol = w.symbol AND c.cluster = w.cluster + 1 GROUP BY w.session_id, w.symbol, w.cluster
-  UNION ALL SELECT session_id, symbol, close_seq, 0, 0, 0, 0, 1, 0 FROM absorbed
-  UNION ALL SELECT session_id, symbol, seq, 0, 0, 0, 0, 0, 1 FROM refills)
+         0 AS large_trade_count, 0 AS sweep_count, 0 AS absorption_count, 0 AS replenishment_count, 0 AS anomalies FROM liq
+  UNION ALL SELECT session_id, symbol, seq, 0, 0, 1, 0, 0, 0, 0 FROM trades WHERE quantity >= 500000000
+  UNION ALL SELECT w.session_id, w.symbol, min(c.seq), 0, 0, 0, 1, 0, 0, 0 FROM sw w JOIN clustered c ON c.session_id = w.session_id AND c.symbol = w.symbol AND c.cluster = w.cluster + 1 GROUP BY w.session_id, w.symbol, w.cluster
+  UNION ALL SELECT session_id, symbol, close_seq, 0, 0, 0, 0, 1, 0, 0 FROM absorbed
+  UNION ALL SELECT session_id, symbol, seq, 0, 0, 0, 0, 0, 1, 0 FROM refills
+  UNION ALL SELECT a.session_id, a.symbol, (SELECT coalesce(min(e.seq) FILTER (e.seq >= a.seq), max(e.seq)) FROM ev e WHERE e.session_id = a.session_id), 0, 0, 0, 0, 0, 0, 1
+            FROM (SELECT session_id, symbol, seq FROM anomalies UNION ALL SELECT session_id, symbol, seq FROM trades WHERE order_type = 'NA') a),
+broke AS (SELECT s.session_id, s.seq, (SELECT count(*) FROM snaps x WHERE x.session_id = s.session_id AND x.seq <= s.seq) AS epoch FROM stat s WHERE status = 'mismatch')
 """
 
 
+def lost_connections(s: SparkSession, d: str) -> DataFrame:
+    """The given data have no records of connections: a marker among the trades stands for a lost one."""
+    return signals.connection_loss_anomalies(testdata.trades(s, d).withColumn("connected", F.col("order_type") != "NA"))
+
+
 def answers(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(level changes, refills, absorption): made once for the queries that unite them."""
     ch = kept(changes(s, d))
@@ -659,7 +673,7 @@ def counted(s: SparkSession, d: str) -> DataFrame:
     swept = signals.sweeps(signals.cluster_measures(clustered), SCALED)
     more = [
         one(flow.large_trades(testdata.trades(s, d)), "large_trade_count"), one(signals.sweep_closings(clustered, swept), "sweep_count"),
-        one(absorbed, "absorption_count", "close_seq"), one(refilled, "replenishment_count"),
+        one(absorbed, "absorption_count", "close_seq"), one(refilled, "replenishment_count"), one(kept(found_anomalies(s, d)), "anomalies"), one(lost_connections(s, d), "anomalies"),
     ]
     for r in more:
         rows = rows.unionByName(r, allowMissingColumns=True)
@@ -667,11 +681,12 @@ def counted(s: SparkSession, d: str) -> DataFrame:
 
 
 def microstructure(s: SparkSession, d: str) -> DataFrame:
-    return snapshots.microstructure_snapshots(testdata.trades(s, d), testdata.levels(s, d), testdata.snapshot_levels(s, d), counted(s, d), SCALED.snapshot_interval)
+    breaks = kept(statuses(s, d).where("status = 'mismatch'"))
+    return snapshots.microstructure_snapshots(testdata.trades(s, d), testdata.levels(s, d), testdata.snapshot_levels(s, d), kept(counted(s, d)), SCALED.snapshot_interval, breaks=breaks)
 
 
 SNAPSHOT_ROWS = over_views(
-    SEGMENTS + REFILLS + ABSORBING + TALLY
+    SEGMENTS + REFILLS + ABSORBING + CROSSINGS + SEQUENCING + TALLY
     + f""", sg AS (
   SELECT g.session_id, g.symbol, g.segment, max(g.seq) AS seq, arg_max(g.ts_ms, g.seq) AS ts_ms, bool_or(g.fired) AS fired, CAST(coalesce(sum(t.quantity), 0) AS BIGINT) AS trade_volume,
          CAST(sum(CASE WHEN t.side = 'BUY' THEN t.quantity ELSE 0 END) AS BIGINT) AS buy_volume, CAST(sum(CASE WHEN t.side = 'SELL' THEN t.quantity ELSE 0 END) AS BIGINT) AS sell_volume,
@@ -689,7 +704,7 @@ sd AS (
   SELECT session_id, symbol, seq, CAST(coalesce(sum(quantity) FILTER (side = 'BID'), 0) AS BIGINT) AS bid_depth, CAST(coalesce(sum(quantity) FILTER (side = 'ASK'), 0) AS BIGINT) AS ask_depth
   FROM (SELECT *, row_number() OVER (PARTITION BY session_id, symbol, seq, side ORDER BY CASE WHEN side = 'BID' THEN -price ELSE price END) AS rank FROM sl) WHERE rank <= 10 GROUP BY ALL),
 micro AS (
-  SELECT sg.*, CAST(sum(sg.delta) OVER (PARTITION BY sg.session_id, sg.symbol ORDER BY sg.segment) AS BIGINT) AS cvd, {', '.join(f'coalesce(tl.{c}, 0) AS {c}' for c in COUNTED)}, sb.epoch > 0 AS book_ready,
+  SELECT sg.*, CAST(sum(sg.delta) OVER (PARTITION BY sg.session_id, sg.symbol ORDER BY sg.segment) AS BIGINT) AS cvd, {', '.join(f'coalesce(tl.{c}, 0) AS {c}' for c in COUNTED)}, sb.epoch > 0 AND NOT EXISTS (SELECT 1 FROM broke k WHERE k.session_id = sg.session_id AND k.epoch = sb.epoch AND k.seq <= sg.seq) AS book_ready,
          st.best_bid, st.best_ask, st.bid_quantity, st.ask_quantity, st.bid_levels, st.ask_levels, coalesce(sd.bid_depth, 0) AS bid_depth, coalesce(sd.ask_depth, 0) AS ask_depth, coalesce(st.best_bid >= st.best_ask, false) AS book_crossed,
          CASE WHEN st.best_bid < st.best_ask THEN st.best_ask - st.best_bid END AS spread, CASE WHEN st.best_bid < st.best_ask THEN (st.best_bid + st.best_ask) / 2.0 END AS mid,
          round(CASE WHEN st.best_bid < st.best_ask AND sd.bid_depth + sd.ask_depth > 0 THEN (sd.bid_depth - sd.ask_depth) / (sd.bid_depth + sd.ask_depth) END, 6) AS imbalance,
@@ -814,7 +829,7 @@ def _(s, d):
 
 @query("C-10_connection_loss_anomalies", "SELECT session_id, symbol, seq, ts_ms, 'connection lost' AS reason FROM trades WHERE order_type = 'NA'")
 def _(s, d):
-    return signals.connection_loss_anomalies(testdata.trades(s, d).withColumn("connected", F.col("order_type") != "NA"))
+    return lost_connections(s, d)
 
 
 def all_events(s: SparkSession, d: str) -> DataFrame:
@@ -822,7 +837,7 @@ def all_events(s: SparkSession, d: str) -> DataFrame:
     ch, refilled, absorbed = answers(s, d)
     return signals.analytics_events(
         signals.trade_delta_events(t), signals.large_trade_events(t), signals.cluster_events(cluster_rows(s, d)), signals.sweep_events(found_sweeps(s, d)), signals.liquidity_change_events(liquidity.liquidity_events(ch)),
-        signals.replenishment_events(refilled), signals.absorption_events(absorbed), signals.anomaly_events(found_anomalies(s, d)),
+        signals.replenishment_events(refilled), signals.absorption_events(absorbed), signals.anomaly_events(found_anomalies(s, d)), signals.anomaly_events(lost_connections(s, d)),
     )
 
 
@@ -944,7 +959,7 @@ def _(s, d):
     "H-13_price_ladder",
     f""", p AS (SELECT session_id, symbol, greatest(max(resting_bid + resting_ask), 1) AS peak FROM cells GROUP BY ALL),
 r AS (SELECT *, count(*) OVER s AS n, row_number() OVER (PARTITION BY session_id, symbol ORDER BY bucket, price) - 1 AS place FROM cells JOIN p USING (session_id, symbol) WHERE price BETWEEN {LOW} AND {HIGH} WINDOW s AS (PARTITION BY session_id, symbol))
-SELECT {CELL}, CAST(place AS INTEGER) AS place, round(resting_bid / peak, 6) AS bid_share, round(resting_ask / peak, 6) AS ask_share FROM r WHERE place % (CASE WHEN n > 40 THEN CAST(ceil(n / 40.0) AS BIGINT) ELSE 1 END) = 0""",
+SELECT {CELL}, place, round(resting_bid / peak, 6) AS bid_share, round(resting_ask / peak, 6) AS ask_share FROM r WHERE place % (CASE WHEN n > 40 THEN CAST(ceil(n / 40.0) AS BIGINT) ELSE 1 END) = 0""",
 )
 def _(s, d):
     return rounded(heatmap.price_ladder(cells(s, d), LOW, HIGH), "bid_share", "ask_share")

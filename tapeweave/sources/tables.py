@@ -21,14 +21,14 @@ RAW, TRADES, UPDATES, SNAPSHOTS = "raw_market_events", "trades", "order_book_upd
 
 
 def write(rows: DataFrame, root: str, table: str, mode: str = "append", below: str = "") -> None:
-    """Append rows by day and session, so that a session's or a day's read opens its own files alone.
+    """Append rows by day, symbol and session, so that a session's, a symbol's or a day's read opens its own files alone.
 
     A task and a file hold at most SEQS sequence numbers of a day and session, where rows have them.
     below names a folder under the table's, such as batch=7, which a retry overwrites as a whole.
     """
     ms = TABLES[table][0]
     day = F.to_date(F.timestamp_millis(F.col(ms)))
-    parts = [c for c in ("session_id",) if c in rows.columns]
+    parts = [c for c in ("symbol", "session_id") if c in rows.columns]
     pieces = [F.floor(F.col("seq") / SEQS)] if "seq" in rows.columns else []
     rows.withColumn("dt", day).repartition("dt", *parts, *pieces).sortWithinPartitions(*TABLES[table][1]).write.mode(mode).partitionBy("dt", *parts).parquet(f"{root}/{table}/{below}" if below else f"{root}/{table}")
 
@@ -43,7 +43,7 @@ def read_session(spark: SparkSession, root: str, table: str, session_id: str) ->
 
 
 def read_range(spark: SparkSession, root: str, table: str, symbol: str, start_ms: int, end_ms: int) -> DataFrame:
-    """A symbol's rows within an inclusive range of event time; the days are pruned by partition, the rest in the scan."""
+    """A symbol's rows within an inclusive range of event time; days and symbol are pruned by partition, the rest in the scan."""
     ms = TABLES[table][0]
     day = lambda t: F.to_date(F.timestamp_millis(F.lit(t)))
     rows = read(spark, root, table).where(F.col("dt").between(day(start_ms), day(end_ms)))
