@@ -1,6 +1,7 @@
 """Cases with values worked out by hand."""
 
 import random
+import re
 from bisect import bisect_left
 
 import numpy as np
@@ -487,3 +488,85 @@ def test_config_is_frozen():
     assert bisect_left(DEFAULT.intervals, 1000) == 1
     with pytest.raises(AttributeError):
         Config().tick = 1
+
+
+# --- Snapshots' anomalies and readiness, digest, places, partitions ------------------------------
+
+
+def test_snapshots_count_anomalies_and_know_when_the_book_is_ready(spark):
+    tape = trades(spark, [(2, 1, 68000.0, 1, "BUY", 1000), (6, 2, 68000.0, 1, "BUY", 2000), (10, 3, 68000.0, 1, "BUY", 3000), (20, 4, 68000.0, 1, "BUY", 4000)])
+    ladders = seed_book(spark, 4).unionByName(seed_book(spark, 15))
+    seen = spark.createDataFrame([("S", "X", 4, 1), ("S", "X", 10, 1), ("S", "X", 15, 1), ("S", "X", 30, 1)], "session_id string, symbol string, seq long, anomalies long")
+    breaks = spark.createDataFrame([("S", "X", 8), ("S", "X", 20)], "session_id string, symbol string, seq long")
+    got = snapshots.microstructure_snapshots(tape, levels(spark, []), ladders, seen, breaks=breaks).orderBy("segment").collect()
+    # at 4 and 15 stand snapshots, whose anomalies count at the next trade; that at 30 comes after the last; 8 and 20 break the chain
+    assert [(r.seq, r.anomalies, r.book_ready) for r in got] == [(2, 0, False), (6, 1, True), (10, 1, False), (20, 2, False)]
+
+
+def test_profile_hash_is_that_of_the_profile(spark):
+    rng = random.Random(1)
+    tape = [(i, 100 + 0.1 * rng.randrange(9), 1 + rng.randrange(5), rng.choice(["BUY", "SELL"]), i) for i in range(200)]
+    hashes = {flow.flow_digest(trades(spark, t).repartition(n)).first().profile_hash for t, n in ((tape, 1), (tape, 5), (sorted(tape, key=lambda x: x[1]), 3))}
+    other = flow.flow_digest(trades(spark, [*tape[:-1], (199, 100.0, 6, "BUY", 199)]), levels=True).first()
+    assert len(hashes) == 1 and other.profile_hash not in hashes and len(other.levels) == other.level_count
+
+
+def test_running_values_backwards_and_by_another_number(spark):
+    df = spark.createDataFrame([("S", "X", i, 10 * (i // 3), i % 4) for i in range(40)], "session_id string, symbol string, seq long, price long, v long")
+    for chunk in (1, 7, 1000):
+        got = running(df, "next", F.when(F.col("v") == 0, F.col("seq")), "last", chunk=chunk, back=True)
+        got = running(got, "after", F.col("v"), "sum", inclusive=False, then=(F.col("seq"),), chunk=chunk, by="price", back=True)
+        for seq, following, after in rows(got, "seq", "next", "after"):
+            assert following == min((i for i in range(seq, 40) if i % 4 == 0), default=None) and after == sum(i % 4 for i in range(seq + 1, 40))
+
+
+def test_a_range_of_one_symbol_opens_its_own_files(spark, tmp_path):
+    day = 86_400_000
+    rows_ = [(f"S{n}", f"SYM{n % 3}", i, i, 1, 1, "BUY", i * day // 2, "MARKET") for n in range(6) for i in range(8)]
+    tables.write(spark.createDataFrame(rows_, "session_id string, symbol string, seq long, trade_id long, price long, quantity long, side string, ts_ms long, order_type string"), str(tmp_path), tables.TRADES)
+    got = tables.read_range(spark, str(tmp_path), tables.TRADES, "SYM1", day, 2 * day)
+    plan = got._jdf.queryExecution().executedPlan()
+    pruned = re.search(r"PartitionFilters: \[(.*?)\]", plan.toString())[1]
+    assert got.count() == 2 * 3 and "symbol" in pruned and "dt" in pruned
+    scans = [x for x in str(plan.treeString()).splitlines() if "FileScan" in x]
+    assert len(scans) == 1 and len(list((tmp_path / tables.TRADES).glob("dt=*/symbol=SYM1"))) == 4
+
+
+# --- Streams -------------------------------------------------------------------------------------
+
+
+def test_streams_go_on_after_a_restart(spark, tmp_path):
+    from tapeweave.sources import testdata
+    from tapeweave.streaming import streams
+
+    sf = "/root/testdata/sf0.001"
+    raw = testdata.raw(spark, sf).unionByName(testdata.raw_snapshots(spark, sf)).where("session_id in ('S0', 'S1')")
+    cuts = [-1, 300, 900, 1500, 10**9]
+    run = {
+        "refills": (raw, lambda r: streams.stream_replenishment(r, 24 * 3_600_000), lambda: liquidity.replenishment(liquidity.liquidity_events(book.level_changes(testdata.levels(spark, sf), testdata.snapshot_levels(spark, sf))), 24 * 3_600_000).where("session_id in ('S0', 'S1')")),
+        "dedup": (testdata.repeated_trades(spark, sf), lambda r: streams.on_time(streams.stream_dedup(r, 5)), lambda: sequence.classify_trades(testdata.repeated_trades(spark, sf), 5)),
+    }
+    for name, (source, stream, batch) in run.items():
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # each part is a run of its own, which finds the state of the one before
+            source.where((F.col("seq") > a) & (F.col("seq") <= b)).write.mode("append").parquet(f"{tmp_path}/{name}/in")
+            got = streams.drained(stream(spark.readStream.schema(source.schema).parquet(f"{tmp_path}/{name}/in")), f"{tmp_path}/{name}")
+        columns = [c for c in got.columns if c in batch().columns]
+        assert rows(got, *columns) == rows(batch(), *columns)
+
+
+def test_frame_changes_are_those_of_the_batch_and_cells_expire(spark, tmp_path):
+    from tapeweave.streaming import streams
+
+    tape = [(1, 1, 100.0, 6, "BUY", 60_000), (2, 2, 100.1, 1, "SELL", 60_500), (3, 3, 100.0, 2, "SELL", 60_900), (4, 4, 100.0, 1, "BUY", 62_000), (5, 5, 100.2, 1, "BUY", 9_000_000)]
+    out = []
+    for part in (tape[:2], tape[2:3], tape[3:4], tape[4:], [(6, 6, 100.2, 1, "BUY", 9_000_001)]):
+        trades(spark, part).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(trades(spark, []).schema).parquet(f"{tmp_path}/in")
+        seen = len(out)
+        done = streams.drained(streams.stream_frame_diff(stream, retention=5000, late="1 second"), str(tmp_path))
+        got = rows(done, "price", "version", "change", "bucket", "buy_volume", "sell_volume", "trade_count")
+        out += [x for x in got if x not in out]
+        if len(part) == 1 and part[0][0] == 3:
+            assert out[seen:] == [(ticks(100.0), 2, "changed", 60_000, 6 * SCALE, 2 * SCALE, 2)]  # the price that the batch touches, alone
+    assert (ticks(100.0), 3, "changed", 62_000, SCALE, 0, 1) in out and (ticks(100.2), 1, "new", 9_000_000, SCALE, 0, 1) in out
+    assert {x[0] for x in out if x[2] == "removed"} == {ticks(100.0), ticks(100.1)}
