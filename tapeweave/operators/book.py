@@ -175,11 +175,16 @@ def rejected_levels(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy(*KEYS).agg(F.count_if(F.col("quantity") == 0).alias("rejected"))
 
 
-def invariants(standing: DataFrame) -> DataFrame:
-    """Points that break a rule of the book: a level without quantity, or best bid not below best ask."""
-    by = [c for c in standing.columns if c not in ("side", "price", "quantity")]
-    bad = standing.groupBy(*by).agg(F.count_if(F.col("quantity") <= 0).alias("empty_levels"), F.max(F.when(F.col("side") == "BID", F.col("price"))).alias("best_bid"), F.min(F.when(F.col("side") == "ASK", F.col("price"))).alias("best_ask"))
-    return bad.where((F.col("empty_levels") > 0) | is_crossed())
+def invariants(timeline: DataFrame, levels: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Updates and snapshots that break a rule of the book: session_id, symbol, seq, bad_levels, best_bid, best_ask.
+
+    After an update the best bid must be below the best ask (timeline), an update's quantities aren't
+    negative, and a snapshot has no level without quantity. Best prices are null at a snapshot.
+    """
+    bad = levels.where("quantity < 0").select(*KEYS, "seq").unionByName(snapshots.where("quantity <= 0").select(*KEYS, "seq"))
+    rows = timeline.join(bad.groupBy(*KEYS, "seq").agg(F.count(F.lit(1)).alias("bad_levels")), [*KEYS, "seq"], "full_outer")
+    rows = rows.withColumn("bad_levels", F.coalesce("bad_levels", F.lit(0)))
+    return rows.where((F.col("bad_levels") > 0) | F.col("crossed")).select(*KEYS, "seq", "bad_levels", "best_bid", "best_ask")
 
 
 CHUNK = 50_000  # sequence numbers that one task folds

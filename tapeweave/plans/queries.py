@@ -451,9 +451,19 @@ def _(s, d):
     return sequence.sequence_report(statuses(s, d))
 
 
-@query("W-08_invariants", "SELECT session_id, symbol, epoch, seq, CAST(0 AS BIGINT) AS empty_levels, best_bid, best_ask FROM best WHERE best_bid >= best_ask")
+@query(
+    "W-08_invariants",
+    """, bad AS (
+  SELECT session_id, symbol, seq, count(*) AS n FROM levels WHERE seq % 202 = 0 GROUP BY ALL
+  UNION ALL SELECT session_id, symbol, seq, count(*) FROM ladder WHERE pos % 20 = 19 AND seq % 3 = 0 GROUP BY ALL)
+SELECT session_id, symbol, seq, coalesce(n, 0) AS bad_levels, best_bid, best_ask FROM xtimeline FULL JOIN bad USING (session_id, symbol, seq) WHERE best_bid >= best_ask OR n > 0""",
+)
 def _(s, d):
-    return book.invariants(standing(s, d))
+    levels, ladders = testdata.levels(s, d, crossing=True), testdata.snapshot_levels(s, d, crossing=True)
+    line = book.top_of_book_timeline(levels, ladders)
+    spoilt = levels.withColumn("quantity", F.when(F.col("seq") % 202 == 0, F.lit(-1)).otherwise(F.col("quantity")))  # faults for the checks to find
+    emptied = ladders.withColumn("quantity", F.when((F.col("pos") % 20 == 19) & (F.col("seq") % 3 == 0), 0).otherwise(F.col("quantity")))
+    return book.invariants(line, spoilt, emptied)
 
 
 # --- Book --------------------------------------------------------------------------------------

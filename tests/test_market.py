@@ -43,7 +43,11 @@ def test_crossed_book_has_no_measures(spark):
     at = spark.createDataFrame([("S", "X", 5)], "session_id string, symbol string, seq long")
     r = book.book_measures(book.book_asof(levels(spark, []), ladder, at)).first()
     assert r.crossed and r.spread is None and r.imbalance is None and r.microprice_num is None
-    assert book.invariants(book.book_asof(levels(spark, []), ladder, at)).count() == 1
+    line = book.top_of_book_timeline(levels(spark, [(6, 0, "BID", 67990.0, 1, 0), (7, 0, "BID", 68000.0, 0, 0)]), ladder)
+    spoilt = levels(spark, [(6, 0, "BID", 67990.0, -1, 0), (7, 0, "BID", 68000.0, -1, 0), (7, 1, "ASK", 1.0, -2, 0)])
+    got = rows(book.invariants(line, spoilt, levels(spark, [(9, 0, "ASK", 5.0, 0, 0)])), "seq", "bad_levels", "best_bid")
+    assert got == [(6, 1, ticks(68000.0)), (7, 2, ticks(67990.0)), (9, 1, None)]
+    assert rows(book.invariants(line, levels(spark, []), ladder), "seq") == [(6,)]
 
 
 def test_crossing_is_reported_once(spark):
