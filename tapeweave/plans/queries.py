@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tapeweave.config import Config
 from tapeweave.functions import ticks
 from tapeweave.operators import audit, book, flow, heatmap, liquidity, sequence, signals, snapshots
-from tapeweave.plans.sql import ABSORBING, BUY, CROSSINGS, ENDING, FULL, MEASURES, REFILLS, REPORT, SEGMENTS, SELL, SEQUENCING, SIGNED, over_views, total
+from tapeweave.plans.sql import ABSORBING, CROSSINGS, ENDING, FULL, MEASURES, REFILLS, REPORT, SEGMENTS, SEQUENCING, SIGNED, over_views, total
 from tapeweave.sources import tables, testdata, wire
 from tapeweave.sources.shared import kept, shared_folder
 from tapeweave.streaming import streams

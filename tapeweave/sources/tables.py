@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Where each table lies below the store's root, its time column and its order.
 TABLES = {
@@ -34,7 +35,11 @@ def write(rows: DataFrame, root: str, table: str, mode: str = "append", below: s
 
 
 def read(spark: SparkSession, root: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{table}")
+    """A stored table; a session or symbol of digits stays text."""
+    path = f"{root}/{table}"
+    found = spark.read.parquet(path).schema
+    texts = T.StructType([T.StructField(f.name, T.StringType() if f.name in ("symbol", "session_id") else f.dataType) for f in found])
+    return spark.read.schema(texts).parquet(path)
 
 
 def read_session(spark: SparkSession, root: str, table: str, session_id: str) -> DataFrame:

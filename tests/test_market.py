@@ -526,12 +526,12 @@ def test_running_values_backwards_and_by_another_number(spark):
 
 def test_a_range_of_one_symbol_opens_its_own_files(spark, tmp_path):
     day = 86_400_000
-    rows_ = [(f"S{n}", f"SYM{n % 3}", i, i, 1, 1, "BUY", i * day // 2, "MARKET") for n in range(6) for i in range(8)]
+    rows_ = [(f"{n:03d}", f"SYM{n % 3}", i, i, 1, 1, "BUY", i * day // 2, "MARKET") for n in range(6) for i in range(8)]
     tables.write(spark.createDataFrame(rows_, "session_id string, symbol string, seq long, trade_id long, price long, quantity long, side string, ts_ms long, order_type string"), str(tmp_path), tables.TRADES)
     got = tables.read_range(spark, str(tmp_path), tables.TRADES, "SYM1", day, 2 * day)
     plan = got._jdf.queryExecution().executedPlan()
     pruned = re.search(r"PartitionFilters: \[(.*?)\]", plan.toString())[1]
-    assert got.count() == 2 * 3 and "symbol" in pruned and "dt" in pruned
+    assert got.count() == 2 * 3 and "symbol" in pruned and "dt" in pruned and {r.session_id for r in got.collect()} == {"001", "004"}
     scans = [x for x in str(plan.treeString()).splitlines() if "FileScan" in x]
     assert len(scans) == 1 and len(list((tmp_path / tables.TRADES).glob("dt=*/symbol=SYM1"))) == 4
 
