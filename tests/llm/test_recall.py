@@ -136,7 +136,8 @@ def test_a_template_of_thousands_hides_no_copy(spark):
 
 def test_parts_larger_than_a_task_are_split_and_then_dealt_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 2)
-    monkeypatch.setattr(near_dedup, "WIDE", 5)
+    monkeypatch.setattr(near_dedup, "WIDE", 9)
+    monkeypatch.setattr(near_dedup, "SPAN", 4)
     monkeypatch.setattr(near_dedup, "LEVELS", (2,))
     got = {r.doc_id: r.class_id for r in near_dedup.near_dedup(documents(spark, template(120, 10))).collect()}
     assert all(got[100_000 + k] == k for k in range(0, 120, 10)) and len(set(got.values())) == 120
