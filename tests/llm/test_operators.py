@@ -5,7 +5,7 @@ import html
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -399,18 +399,64 @@ def test_repeats_within_a_host_go_where_no_article_is_marked(spark):
     assert got[10] == f"{words(90, 99)}\n{boiler}" and got[20] == boiler
 
 
-def test_repeats_decide_inside_a_marked_article_too(spark):
-    notice, quote, story = words(100, 1), words(100, 2), words(400, 3)
-    own = [words(200, 60 + i) for i in range(6)]
-    rows = [(i, f"http://h.example/{i}", f"<body><article><p>{own[i]}</p><div>{notice}</div><blockquote>{quote}</blockquote></article></body>") for i in range(4)]
-    rows += [(4, "http://h.example/4", f"<body><div>{own[4]}</div><div>{notice}</div><div class=story>a short teaser</div></body>")]
-    rows += [(5 + i, f"http://h.example/{5 + i}", f"<article><p>{story}</p><p>{own[5][i:]}</p></article>") for i in range(2)]
+def test_what_many_articles_of_a_host_have_is_a_notice(spark):
+    notice, quote, story, shared = words(100, 1), words(100, 2), words(400, 3), words(40, 4)
+    own = [words(200, 60 + i) for i in range(20)]
+    rows = [(i, f"http://h.example/{i}", f"<body><article><p>{own[i]}</p><div>{notice}</div><blockquote>{quote}</blockquote></article></body>") for i in range(12)]
+    rows += [(12, "http://h.example/12", f"<body><div>{own[12]}</div><div>{notice}</div><div class=story>a short teaser</div></body>")]
+    rows += [(13 + i, f"http://h.example/{13 + i}", f"<article><p>{story}</p><p>{own[13][i:]}</p></article>") for i in range(2)]
+    rows += [(20 + i, f"http://few.example/{i}", f"<article><p>{own[i]}</p><p>{shared}</p></article>") for i in range(9)]
+    rows += [(40 + i, f"http://wire.example/{i}", f"<article><p>{own[i][:60]}</p><p>{story}</p></article>") for i in range(12)]
+    rows += [(60 + i, "http://copied.example/", rows[0][2]) for i in range(30)]  # copies count once
     got = {r.page_id: r.text for r in html_text.extract(pages(spark, rows)).collect()}
-    assert all(got[i] == f"{own[i]}\n{quote}" for i in range(4))
-    assert got[4] == f"{own[4]}\na short teaser"
-    assert got[5] == f"{story}\n{own[5]}"
-    found = html_text.blocks(rows[0][2])
-    assert notice in html_text.main_blocks(found, [0.0] * len(found))  # without the array, the row is another
+    assert all(got[i] == f"{own[i]}\n{quote}" for i in range(12))
+    assert got[12] == f"{own[12]}\na short teaser"
+    assert got[13] == f"{story}\n{own[13]}" and got[14] == f"{story}\n{own[13][1:]}"  # one article at two addresses
+    assert all(got[20 + i] == f"{own[i]}\n{shared}" for i in range(9))  # nine articles are not many
+    assert all(got[40 + i] == f"{own[i][:60].strip()}\n{story}" for i in range(12))  # syndicated
+    assert all(got[60 + i] == f"{own[0]}\n{notice}\n{quote}" for i in range(30))
+
+
+def test_menus_without_marks():
+    link = lambda t: f"<li><a href='/'>{t}</a></li>"
+    body = f"<body><ul>{link('Home')}{link('News')}</ul><h2><a href='/'>A title</a></h2><p>Text with a <a href='/'>link</a>.</p><p><a href='/'>alone</a></p><p>End</p></body>"
+
+    def kept(page):
+        found = html_text.blocks(page)
+        return html_text.main_blocks(found, [0.0] * len(found))
+
+    assert kept(body) == ["A title", "Text with a link.", "alone", "End"]
+    assert kept(f"<ul>{link('Home')}{link('News')}</ul>") == ["Home", "News"]  # nothing else is there
+
+
+@pytest.mark.parametrize("unmarked", [True, False])
+def test_repeats_against_brute_force(spark, unmarked):
+    """Anchors cover what is repeated in truth, and of every repeat of 15 tokens at least 8."""
+    given = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    if unmarked:
+        given = given.withColumn("html", F.regexp_replace(F.regexp_replace("html", r"</?(article|main|nav|header|footer|aside|form)\b[^>]*>", "<div>"), r"\s(class|id|role)=[\"'][^\"']*[\"']", ""))
+    host = F.xxhash64(F.regexp_extract("url", "://([^/?#]*)", 1))
+    rows = given.withColumn("host", host).withColumn("row", F.xxhash64("host", "html")).select("row", "host", "html").dropDuplicates(["row"])
+    found = html_text.suffixes(rows).where("size = 0").select("p", "row", "at", "known").toPandas()
+    streams = {r.row: (r.host, " ".join(t for t, k in html_text.blocks(r.html) if k in (html_text.OPEN, html_text.OUT)).lower().split(" ")) for r in rows.collect()}
+    holders = {n: defaultdict(set) for n in (8, 15)}
+    for row, (h, ws) in streams.items():
+        for n, seen in holders.items():
+            for i in range(len(ws) - n + 1):
+                seen[h, tuple(ws[i : i + n])].add(row)
+    repeated = found.groupby("p").row.transform("nunique").gt(1) | found.known
+    covered = {row: np.zeros(len(ws) + 8, bool) for row, (_, ws) in streams.items()}
+    for x in found[repeated].itertuples():
+        h, ws = streams[x.row]
+        assert len(holders[8][h, tuple(ws[x.at : x.at + 8])]) > 1
+        covered[x.row][x.at : x.at + 8] = True
+    long = 0
+    for row, (h, ws) in streams.items():
+        for i in range(len(ws) - 14):
+            if len(holders[15][h, tuple(ws[i : i + 15])]) > 1:
+                long += 1
+                assert covered[row][i : i + 15].sum() >= 8
+    assert long > 100 or not unmarked
 
 
 def test_short_repeats_copies_and_deep_pages(spark):
@@ -422,7 +468,7 @@ def test_short_repeats_copies_and_deep_pages(spark):
     rows += [(30, "http://e.example/", deep)]
     got = {r.page_id: r.text for r in html_text.extract(pages(spark, rows)).collect()}
     assert [got[i] for i in range(3)] == own[:3] and got[10] == got[11] == own[3]
-    assert got[20] == "0" and got[30] == "text"  # a page whose only unique text is a number keeps that
+    assert got[20] == f"{own[3]}\n0" and got[30] == "text"  # one article at two addresses stays whole
 
 
 def test_pages_odd_rows(spark):
