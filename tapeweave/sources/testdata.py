@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeweave.config import SCALE
+from tapeweave.operators.running import running
 
 STEP = SCALE // 10
 RUNGS = 20
@@ -45,20 +46,20 @@ def levels(spark: SparkSession, sf_dir: str, crossing: bool = False) -> DataFram
     bid = F.col("event_id") % 2 == 0
     ask = 100_001 + F.col("v") % 20 - (F.when(F.col("event_id") % 50 == 1, 30).otherwise(0) if crossing else F.lit(0))
     quantity = F.col("k") % 5 * SCALE
-    before = F.lag(F.col("event_id") * 10 + 9).over(Window.partitionBy("session_id", "symbol").orderBy("seq"))
+    e = running(e, "before", F.col("event_id") * 10 + 9, "last", inclusive=False)
     broken = (quantity == 0) & (F.col("event_id") % 7 == 0)
     return e.select(
         "session_id", "symbol", "seq", F.lit(0).alias("pos"), F.when(bid, "BID").otherwise("ASK").alias("side"),
         (F.when(bid, 100_000 - F.col("v") % 20).otherwise(ask) * STEP).alias("price"), quantity.alias("quantity"), "ts_ms",
         (F.col("event_id") * 10).alias("first_update_id"), (F.col("event_id") * 10 + 9).alias("final_update_id"),
-        F.when(broken, F.lit(-1)).otherwise(before).alias("previous_final_update_id"),
+        F.when(broken, F.lit(-1)).otherwise(F.col("before")).alias("previous_final_update_id"),
     )
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """After every 50th level event of a session: session_id, symbol, seq, last_update_id, ts_ms."""
-    at = F.row_number().over(Window.partitionBy("session_id", "symbol").orderBy("seq"))
-    return levels(spark, sf_dir).withColumn("n", at).where("n % 50 = 0").select("session_id", "symbol", (F.col("seq") + 1).alias("seq"), F.col("final_update_id").alias("last_update_id"), "ts_ms")
+    numbered = running(levels(spark, sf_dir), "n", F.lit(1).cast("bigint"), "sum")
+    return numbered.where("n % 50 = 0").select("session_id", "symbol", (F.col("seq") + 1).alias("seq"), F.col("final_update_id").alias("last_update_id"), "ts_ms")
 
 
 def snapshot_levels(spark: SparkSession, sf_dir: str, crossing: bool = False) -> DataFrame:
