@@ -6,14 +6,14 @@ keeps them in text order, so a sketch agrees with the probability of order-sensi
 Nodes that agree in a sketch are first compared with one centre of that bucket, the member whose
 buckets are the largest: the original of a group of copies shares more of them than any copy does.
 So a bucket of near copies costs as many comparisons as it has members. A bucket where a member
-failed is open: up to BLOCK members are compared with each other, where they aren't in one class yet.
-In a larger one
-(a passage or a template that many texts hold) those meet that agree in AGREE sketches or more: a task
-holds two blocks of about SPAN members with their texts, compares their sketches, and aligns such pairs there and
-then, unless links found before have joined them; a pair with SIMILAR of its k-mers in common falls
-below AGREE once in three thousand. A pair is aligned in the bucket of the first sketch that it shares. What has more than WIDE members is split first, by 2, 4 or more sketches at
-once, in so many random sets of sketches that such a pair misses all of them once in a thousand; what
-these leave is compared whole. A comparison aligns
+failed is open: all of its members that aren't in one class yet meet each other, whatever its size.
+Up to BLOCK members do so in a join; of a larger bucket (a passage or a template that many texts hold)
+a task holds two blocks of about SPAN members with their texts. It leaves out the pairs whose lengths or
+counts of words (by BAG hash values) already differ by more edits than the similarity allows, so no
+near pair, and aligns the others, unless links found before have joined them. A pair is aligned in the
+bucket of the first sketch that it shares. What has more than WIDE members is joined by 2, 4 or more
+sketches at once first, which makes most near ones one class cheaply; then it meets whole like the others,
+so a class depends on no bucket's size. A comparison aligns
 the two word sequences within a diagonal band that doubles up to what a similarity of 0.8 leaves:
 1 - edits / longer length. Verified links make classes by repeated contraction to the least member.
 """
@@ -21,7 +21,7 @@ the two word sequences within a diagonal band that doubles up to what a similari
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from tapeweave.llm.words import BASE, U, mix, per_slice, seeds, signed, split
 from tapeweave.operators.scan import groups
 
 K, PICK, SKETCHES, SIMILAR = 5, 2, 20, 0.8
-BLOCK, SPAN, WIDE, AGREE = 32, 512, 4096, 6
+BLOCK, SPAN, WIDE, BAG = 32, 512, 4096, 128
 HELD = 64 << 20  # bytes of word codes that a task keeps while it aligns members of a large bucket
 LEVELS, MISS = (2, 4, 6, 8), 1e-3
 JUMPS, SPREAD = 2, 16
@@ -180,29 +180,63 @@ def _in_blocks(rooted: DataFrame) -> DataFrame:
 
 
 def _open_pairs(members: DataFrame, failed: DataFrame, centres: DataFrame, sketches: DataFrame, root: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(pairs, links), node and centre each, of the members of open buckets, those of a failed pair: pairs have to meet besides, links have and are near."""
+    """(pairs, links), node and centre each, of the members of open buckets, those of a failed pair: pairs have to meet besides, links have and are near.
+
+    Every two members of an open bucket that aren't in one class meet, in a pair or where links come from.
+    """
     keys = members.join(centres, "key").join(failed, ["node", "centre"], "left_semi").select("key").distinct()
     opened = cut(members.join(keys, "key", "left_semi"))
-    rooted = lambda rows: rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = lambda rows, root=root: rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     pairs = _in_blocks(rooted(opened.where(F.col("size") <= BLOCK).select("key", "node")))
-    wide = opened.where(F.col("size") > BLOCK)
+    wide = opened.where(F.col("size") > BLOCK).select("key", "node", "place", "size")
     if wide.isEmpty():
         return pairs.distinct(), None
-    full = lambda rows: _agreeing(_dealt(rows).select("key", "node", "root", "block", "place").join(sketches, "node").join(texts, "node"))
-    links = full(rooted(wide.where(F.col("size") <= WIDE).select("key", "node", "place", "size")))
-    large = wide.where(F.col("size") > WIDE).select("node").distinct()
-    if not large.isEmpty():
-        large = cut(rooted(large).join(sketches, "node"))
-        for level in LEVELS:
-            keyed = large.mapInArrow(_combined(level), "node binary, root binary, key long")
-            parts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), (F.min("root") != F.max("root")).alias("mixed")).where("size > 1 and mixed")
-            rows = cut(keyed.join(parts.select("key", "size"), "key").withColumn("place", F.lit(ANY)))
-            rest = rows.where(F.col("size") > WIDE)
-            links = links.union(full(rows if level == LEVELS[-1] else rows.where(F.col("size") <= WIDE)))
-            large = cut(large.join(rest.select("node").distinct(), "node", "left_semi"))
-            if large.isEmpty():
-                break
-    return pairs.distinct(), cut(links.distinct())
+    bags = cut(_bags(texts.join(wide.select("node").distinct(), "node", "left_semi")))
+    full = lambda rows: _met(_dealt(rows).select("key", "node", "root", "block", "place").join(sketches, "node").join(bags, "node"))
+    early = _early(rooted(wide.where(F.col("size") > WIDE).select("node").distinct()), sketches, full)
+    rows = rooted(wide, root if early is None else merge_roots(root, early))
+    mixed = rows.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("key")
+    links = full(rows.join(mixed, "key", "left_semi"))
+    return pairs.distinct(), cut((links if early is None else links.union(early)).distinct())
+
+
+def _early(large: DataFrame, sketches: DataFrame, full: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """Links between nodes (with root) of very large buckets that agree in several sketches at once: what these join doesn't have to meet again."""
+    if large.isEmpty():
+        return None
+    large, links = cut(large.join(sketches, "node")), None
+    for level in LEVELS:
+        keyed = large.mapInArrow(_combined(level), "node binary, root binary, key long")
+        parts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), (F.min("root") != F.max("root")).alias("mixed")).where("size > 1 and mixed")
+        rows = cut(keyed.join(parts.select("key", "size"), "key").withColumn("place", F.lit(ANY)))
+        found = full(rows.where(F.col("size") <= WIDE))
+        links = found if links is None else links.union(found)
+        large = cut(large.join(rows.where(F.col("size") > WIDE).select("node").distinct(), "node", "left_semi"))
+        if large.isEmpty():
+            break
+    return cut(links.distinct())
+
+
+def _bags(texts: DataFrame) -> DataFrame:
+    """node, text, bag: how many words of the text have each of BAG hash values, as 16-bit integers (at most their largest value)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [np.bincount((_codes(x.as_py()) % U(BAG)).astype(np.int64), minlength=BAG) for x in batch["text"]]
+            bags = [np.minimum(x, 0xFFFF).astype("<u2").tobytes() for x in counts]
+            yield pa.record_batch([batch["node"], batch["text"], pa.array(bags, pa.binary())], ["node", "text", "bag"])
+
+    return texts.select("node", "text").mapInArrow(run, "node binary, text binary, bag binary")
+
+
+def may_be_near(bags: np.ndarray, bag: np.ndarray, least: float = SIMILAR) -> np.ndarray:
+    """Which rows of bags may belong to texts as similar to that of bag: an edit adds a word, takes one away, or does both, so edits are at least what either has more of."""
+    diff = bags - bag
+    more = np.maximum(diff, 0).sum(axis=1)
+    fewer = more - diff.sum(axis=1)
+    allowed = (1 - least) * np.maximum(bags.sum(axis=1), bag.sum()) + 1e-9
+    full = (bags == 0xFFFF).any(axis=1) | (bag == 0xFFFF).any()  # counts that were cut say nothing about the length
+    return (np.maximum(more, fewer) <= allowed) | full
 
 
 ANY = -1  # the place of a part that isn't a bucket of one sketch
@@ -216,13 +250,14 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.withColumn("key", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
 
 
-def _agreeing(rows: DataFrame, agree: int = AGREE, least: float = SIMILAR) -> DataFrame:
-    """node, centre: near members (key, place, node, root, block, sketch, text) of one part that agree in so many sketches, until they are joined; of two blocks, those of different ones."""
+def _met(rows: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """node, centre: near members (key, place, node, root, block, sketch, text, bag) of one part, until they are joined; of two blocks, those of different ones."""
 
     def of_part(part: pa.Table) -> list[tuple[bytes, bytes]]:
         nodes, packed, place = part["node"].to_pylist(), part["text"], part["place"][0].as_py()
         root, block = part["root"].combine_chunks().dictionary_encode().indices.to_numpy().copy(), part["block"].to_numpy()
         sketch = np.array(part["sketch"].to_pylist(), np.int64)
+        bags = np.frombuffer(b"".join(part["bag"].to_pylist()), "<u2").reshape(-1, BAG).astype(np.int32)
         apart = len(np.unique(block)) > 1
         held: dict[int, np.ndarray] = {}
         size, out = 0, []
@@ -238,13 +273,13 @@ def _agreeing(rows: DataFrame, agree: int = AGREE, least: float = SIMILAR) -> Da
             return held[i]
 
         for i in range(len(nodes) - 1):
-            equal = sketch[i] == sketch[i + 1 :]
-            meets = (equal.sum(axis=1) >= agree) & (root[i + 1 :] != root[i])
-            if place != ANY:
-                meets &= equal.argmax(axis=1) == place
+            meets = root[i + 1 :] != root[i]
             if apart:
                 meets &= block[i + 1 :] != block[i]
-            for j in (np.flatnonzero(meets) + i + 1).tolist():
+            if place != ANY:
+                meets &= (sketch[i] == sketch[i + 1 :]).argmax(axis=1) == place
+            others = np.flatnonzero(meets) + i + 1
+            for j in others[may_be_near(bags[others], bags[i], least)].tolist():
                 if root[i] != root[j] and similarity(codes(i), codes(j), least) >= least:
                     out.append((max(nodes[i], nodes[j]), min(nodes[i], nodes[j])))
                     root[root == root[j]] = root[i]
@@ -255,7 +290,7 @@ def _agreeing(rows: DataFrame, agree: int = AGREE, least: float = SIMILAR) -> Da
             if part.num_rows > 1 and (two := of_part(part)):
                 yield pa.record_batch([pa.array([x[k] for x in two], pa.binary()) for k in (0, 1)], ["node", "centre"])
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "node binary, centre binary")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "node binary, centre binary")
 
 
 def combinations_of(level: int) -> list[np.ndarray]:
@@ -344,7 +379,7 @@ def merge_roots(root: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, least: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
-    """(nodes, links): node with n, least_id and root (null where it has no link) of every distinct text; and the verified pairs."""
+    """(nodes, links): node with n, least_id and root (null where it has no link) of every distinct text; and the near pairs of a text and a bucket's centre."""
     small_batches(docs.sparkSession)
     ids = cut(docs.select("doc_id", _node()).groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")))
     sketches = cut(sketched(docs).dropDuplicates(["node"]))
@@ -369,7 +404,6 @@ def near_classes(docs: DataFrame, least: float = SIMILAR) -> tuple[DataFrame, Da
         checked = cut(verified(more, texts, least)) if not more.isEmpty() else done.where("false")
         if links is not None:
             checked = checked.union(links.withColumn("near", F.lit(True)))
-        done = done.union(checked)
         root = merge_roots(root, checked.where("near").select("node", "centre"))
     return ids.join(root, "node", "left"), done.where("near").select("node", "centre")
 
@@ -382,9 +416,10 @@ def _named(nodes: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """One row per document: doc_id, class_id (least doc_id of its class), class_size (rows), links (of its text, verified), kept.
+    """One row per document: doc_id, class_id (least doc_id of its class), class_size (rows), links, kept.
 
-    One row of each class stays: one with the least doc_id. Equal texts are in one class, empty and
+    links counts the verified pairs of its text and a bucket's centre; a text that only its bucket's other
+    members join to the class has none. One row of each class stays: one with the least doc_id. Equal texts are in one class, empty and
     null ones too; a text without words is near only to equal ones. Where no row of a class has a
     doc_id, class_id is null and every such row of the least text stays; other columns are ignored;
     empty input gives no rows.
@@ -394,7 +429,7 @@ def near_dedup(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     classes = nodes.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("n").alias("class_size"))
     degree = links.select("node").union(links.select(F.col("centre").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     alone = nodes.where(F.col("root").isNull()).select("node", F.col("least_id").alias("class_id"), F.col("n").alias("class_size"), F.lit(0).cast("long").alias("links"))
-    linked = _named(nodes, classes).join(degree, "node").select("node", "class_id", "class_size", "links")
+    linked = _named(nodes, classes).join(degree, "node", "left").select("node", "class_id", "class_size", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
     named = alone.unionByName(linked)
     return (
         docs.select("doc_id", _node())

@@ -1,7 +1,9 @@
 """Recall of the search operators, and the digest and the fit, against plain versions over all pairs."""
 
+import hashlib
 import math
 import random
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -134,6 +136,37 @@ def test_a_template_of_thousands_hides_no_copy(spark):
     assert all(got[100_000 + k] == k for k in range(0, 2500, 50)) and len(set(got.values())) == 2500
 
 
+def test_a_large_bucket_leaves_out_no_pair_that_a_small_one_would_find(spark):
+    rng, passage, rows = random.Random(7), words(60, 999), []
+    for k in range(60):  # all in large buckets; scattered edits, so that near copies agree in few sketches
+        own = words(40, 5000 + k).split()
+        rows.append((k, f"{' '.join(own)} {passage}"))
+        if k % 6 == 0:
+            at = set(rng.sample(range(40), 18))
+            rows.append((1000 + k, f"{' '.join(f'z{k}x{i}' if i in at else w for i, w in enumerate(own))} {passage}"))
+    sketch = {r.node.hex(): r.sketch for r in near_dedup.sketched(documents(spark, rows)).collect()}
+    code = {k: np.array([zlib.crc32(w.encode()) for w in text.lower().split()], "u8") for k, text in rows}
+    of = {k: sketch[hashlib.md5(text.encode()).hexdigest()] for k, text in rows}
+    agree = lambda a, b: sum(x == y for x, y in zip(of[a], of[b], strict=True))
+    near = [k for k in range(0, 60, 6) if agree(k, 1000 + k) and near_dedup.similarity(code[k], code[1000 + k]) >= 0.8]
+    assert sum(agree(k, 1000 + k) < 6 for k in near) >= 3
+    got = {r.doc_id: r.class_id for r in near_dedup.near_dedup(documents(spark, rows)).collect()}
+    assert all(got[1000 + k] == got[k] for k in near)
+
+
+def test_counts_of_words_leave_out_no_near_pair():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        a = rng.integers(0, 60, rng.integers(1, 200)).tolist()
+        b = list(a)
+        for _ in range(rng.integers(0, len(a) // 3 + 2)):
+            at = int(rng.integers(0, len(b) + 1))
+            b[at : at + int(rng.integers(0, 2))] = rng.integers(0, 60, rng.integers(0, 2)).tolist()
+        bags = np.array([np.bincount(x, minlength=60) for x in (a, b)], np.int32)
+        if near_dedup.similarity(np.array(a, "u8"), np.array(b, "u8")) >= 0.8:
+            assert near_dedup.may_be_near(bags[1:], bags[0]).all()
+
+
 def test_parts_larger_than_a_task_are_split_and_then_dealt_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 2)
     monkeypatch.setattr(near_dedup, "WIDE", 9)
