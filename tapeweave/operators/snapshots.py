@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeweave.config import DEFAULT, Config
 from tapeweave.functions.ticks import signed
-from tapeweave.operators.book import book_asof, book_measures
+from tapeweave.operators.book import measures_at
 from tapeweave.operators.running import running
 from tapeweave.operators.scan import CHUNK, scan
 from tapeweave.operators.sequence import book_epochs
@@ -116,7 +116,7 @@ def microstructure_snapshots(trades: DataFrame, levels: DataFrame, snapshots: Da
     run = Window.partitionBy(*KEYS).orderBy("segment").rowsBetween(Window.unboundedPreceding, 0)
     per = per.withColumn("cvd", F.sum("delta").over(run))
     per = kept(per if final else per.where("fired"))  # read by the book, the epochs and the result
-    book = book_measures(book_asof(levels, snapshots, per), cfg.depth).drop("epoch")
+    book = measures_at(levels, snapshots, per, cfg.depth).drop("epoch")
     per = _ready(book_epochs(per, snapshots), snapshots, breaks)
     return per.join(book, [*KEYS, "seq"], "left").withColumns({"book_crossed": F.coalesce("crossed", F.lit(False)), "bid_depth": F.coalesce("bid_depth", F.lit(0)), "ask_depth": F.coalesce("ask_depth", F.lit(0))}).drop("crossed")
 

@@ -30,6 +30,23 @@ def test_cvd_and_profile(spark):
     assert got == [(ticks(68000.0), 7 * SCALE, 3 * SCALE, 4 * SCALE, -SCALE, 0), (ticks(68000.1), 8 * SCALE, 6 * SCALE, 2 * SCALE, 4 * SCALE, 1)]
 
 
+def test_book_at_points_is_folded_in_chunks_to_what_stands(spark):
+    rng, rows, shots = random.Random(4), [], []
+    for seq in range(1, 160):
+        if seq % 37 == 0:
+            shots += [(seq, i, side, 100 + (i + 1) * (1 if side == "ASK" else -1), rng.randrange(0, 3), seq) for side in ("BID", "ASK") for i in range(4)]
+        elif seq % 3:
+            rows += [(seq, pos, rng.choice(["BID", "ASK"]), 100 + rng.randrange(-6, 7), rng.randrange(0, 4), seq) for pos in range(2)]
+    updates, ladders = levels(spark, rows), levels(spark, shots)
+    points = spark.createDataFrame([("S", "X", seq) for seq in range(0, 170)], "session_id string, symbol string, seq long")
+    standing = book.book_asof(updates, ladders, points)
+    want = book.best_bid_ask(standing).join(book.depth_volume(standing, 3), ["session_id", "symbol", "epoch", "seq"])
+    ordered = lambda df: sorted((tuple(r) for r in df.select(sorted(df.columns)).collect()), key=repr)
+    for chunk in (7, 1000):
+        assert ordered(book.summary_at(updates, ladders, points, 3, chunk)) == ordered(want)
+        assert ordered(book.top_at(updates, ladders, points, 2, chunk)) == ordered(book.top_n(standing, 2))
+
+
 def test_book_measures(spark):
     at = spark.createDataFrame([("S", "X", 5)], "session_id string, symbol string, seq long")
     r = book.book_measures(book.book_asof(levels(spark, []), seed_book(spark), at)).first()
