@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +15,8 @@ from tapeweave.functions.ticks import clamp01, signed
 from tapeweave.operators.dominance import beyond
 from tapeweave.operators.flow import large_trades
 from tapeweave.operators.running import running
-from tapeweave.operators.scan import groups
+from tapeweave.operators.scan import CHUNK, State, groups, scan
+from tapeweave.operators.snapshots import next_after
 
 KEYS = ["session_id", "symbol"]
 
@@ -70,45 +70,106 @@ def sweeps(measures: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return measures.where(gates).withColumns({"duration_ms": took, "displacement": moved, "confidence": score}).where(F.col("confidence") >= cfg.confidence)
 
 
-WINDOW = "session_id string, symbol string, price long, side string, open_seq long, close_seq long, open_ms long, last_ms long, reference long, trade_count long, volume long, displacement long, opposing_open long"
+WINDOW = ["side", "open_seq", "close_seq", "open_ms", "last_ms", "reference", "trade_count", "volume", "displacement", "opposing_open"]
+PART = "open_seq long, buys boolean, open_ms long, reference long, opposing long, last_seq long, last_ms long, n long, volume long, high long, low long, close_seq long"
 
 
-def _absorb(window: int, flush: bool):
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq", kind="stable")
-        out, held = [], None
-        for seq, ms, side, quantity, best, opposing in zip(*(rows[c].tolist() for c in ("seq", "ts_ms", "side", "quantity", "best", "opposing")), strict=True):
-            if held is None:
-                held = {"side": side, "open_seq": seq, "open_ms": ms, "last_ms": ms, "reference": int(best), "trade_count": 1, "volume": quantity, "displacement": 0, "opposing_open": int(opposing)}
-            elif ms - held["open_ms"] > window:
-                out.append({**held, "close_seq": seq})
-                held = None  # the trade that closes is in no window
-            else:
-                moved = int(best) - held["reference"]
-                held["trade_count"] += 1
-                held["volume"] += quantity
-                held["displacement"] = max(held["displacement"], moved if side == "BUY" else -moved)
-                held["last_ms"] = ms
-        if held is not None and flush:
-            out.append({**held, "close_seq": None})
-        columns = [c.split()[0] for c in WINDOW.split(", ")]
-        pdf = pd.DataFrame(out, columns=columns[3:]).assign(session_id=key[0], symbol=key[1], price=key[2])
-        return pdf[columns].astype({"close_seq": "Int64"})
-
-    return fold
+class Absorbing:
+    """Parts of the windows of one price, which a chunk of its trades has.
 
+    A window opens, the first trade more than window ms later closes it, and the one after opens the
+    next. So from where a window opens the chain of later ones is fixed, and with it the window that a
+    chunk is left with. Where a chunk is entered with an open window, its first trade late enough
+    closes that; only trades later than all before them can be the first.
+    State: the open window's seq and time (none where none is open).
+    """
 
-def absorption_windows(trades: DataFrame, window: int = DEFAULT.absorption_window, flush: bool = False) -> DataFrame:
+    start = [None, None]
+
+    def __init__(self, window: int):
+        self.window = window
+
+    def summary(self, chunk: pa.Table) -> tuple[State, np.ndarray, np.ndarray, np.ndarray]:
+        """(state, times, seqs, opened): entered without a window it leaves state; entered with one that a trade of at most times[i], and more than the one before, closes, it leaves seqs[i] and opened[i] (seq -1: none)."""
+        seq, ms = chunk["seq"].to_numpy(), chunk["ts_ms"].to_numpy()
+        n, close = len(ms), next_after(ms, self.window + 1)
+        left = np.full(n + 1, -1)  # the window that is left where one opens at i; -1: none
+        for i in range(n - 1, -1, -1):
+            left[i] = i if close[i] == n else left[close[i] + 1]
+        first = np.flatnonzero(ms > np.maximum.accumulate(np.concatenate([[np.iinfo(np.int64).min], ms[:-1]])))
+        then = left[first + 1]
+        keep = np.append(then[1:] != then[:-1], True)
+        first, then = first[keep], then[keep]
+        state = [int(seq[left[0]]), int(ms[left[0]])] if left[0] >= 0 else [None, None]
+        return state, ms[first], np.where(then >= 0, seq[then], -1), ms[then]
+
+    def after(self, summary: tuple[State, np.ndarray, np.ndarray, np.ndarray], state: State) -> State:
+        entered, times, seqs, opened = summary
+        if state[0] is None:
+            return entered
+        i = int(np.searchsorted(times, state[1] + self.window, "right"))
+        return state if i == len(times) else [int(seqs[i]), int(opened[i])] if seqs[i] >= 0 else [None, None]
+
+    def rows(self, chunk: pa.Table, state: State) -> pa.Table:
+        seq, ms, quantity, best, opposing = (chunk[c].to_numpy() for c in ("seq", "ts_ms", "quantity", "best", "opposing"))
+        buys = np.asarray(pc.equal(chunk["side"], "BUY"))
+        n, close = len(ms), next_after(ms, self.window + 1)
+        begins, ends, i = [], [], 0  # a part's trades, and where the one that closes it is
+        if state[0] is not None:
+            late = ms > state[1] + self.window
+            begins, ends = [0], [int(np.argmax(late)) if late.any() else n]
+            i = ends[0] + 1
+        while i < n:
+            begins.append(i)
+            ends.append(int(close[i]))
+            i = ends[-1] + 1
+        begins, ends = np.array(begins, np.int64), np.array(ends, np.int64)
+        opens, shut, some = np.ones(len(begins), bool), ends < n, ends > begins
+        opens[:1] = state[0] is None
+        member = np.ones(n, bool)
+        member[ends[shut]] = False
+        sizes = ends - begins
+        at = (np.cumsum(sizes) - sizes)[some]  # where a part that has trades begins among the members
+
+        def reduced(f: np.ufunc, values: np.ndarray, empty: int) -> np.ndarray:
+            out = np.full(len(begins), empty, np.int64)
+            if len(at):
+                out[some] = f.reduceat(values[member], at)
+            return out
+
+        least, most = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+        high, low = reduced(np.maximum, np.where(buys, best, least), least), reduced(np.minimum, np.where(buys, most, best), most)
+        last = np.maximum(ends - 1, 0)
+        masked = lambda values, valid: pa.array(values, mask=~valid)
+        opened = np.where(opens, seq[begins], 0 if state[0] is None else state[0])
+        columns = [
+            pa.array(opened), masked(buys[begins], opens), masked(ms[begins], opens), masked(best[begins], opens), masked(opposing[begins], opens), masked(seq[last], some), masked(ms[last], some),
+            pa.array(sizes), pa.array(reduced(np.add, quantity, 0)), masked(high, high > least), masked(low, low < most), masked(seq[np.minimum(ends, n - 1)], shut),
+        ]
+        return pa.table(columns, [x.split(" ")[0] for x in PART.split(", ")])
+
+
+def absorption_windows(trades: DataFrame, window: int = DEFAULT.absorption_window, flush: bool = False, chunk: int = CHUNK) -> DataFrame:
     """Closed windows of trades at one price. trades carry the book at their time: best_bid, best_ask, crossed, bid_depth, ask_depth.
 
     The first eligible trade opens a window; those within window ms of it count; the first later one
     closes it and belongs to none. Eligible: the book is there, not crossed, with the best price of
-    the aggressor's own side. flush also returns the windows still open at the end. A fold per price.
+    the aggressor's own side. flush also returns the windows still open at the end. A price's trades
+    are read in chunks (see Absorbing), each of which gives its parts of the windows.
     """
     buys = F.col("side") == "BUY"
     best, opposing = F.when(buys, F.col("best_bid")).otherwise(F.col("best_ask")), F.when(buys, F.col("ask_depth")).otherwise(F.col("bid_depth"))
-    rows = trades.withColumns({"best": best, "opposing": F.coalesce(opposing, F.lit(0))}).where(~F.col("crossed") & F.col("best").isNotNull())
-    return rows.select(*KEYS, "price", "seq", "ts_ms", "side", "quantity", "best", "opposing").groupBy(*KEYS, "price").applyInPandas(_absorb(window, flush), WINDOW)
+    rows = trades.withColumns({"best": best, "opposing": F.coalesce(opposing, F.lit(0).cast("bigint"))}).where(~F.col("crossed") & F.col("best").isNotNull())
+    by = [*KEYS, "price"]
+    parts = scan(rows.select(*by, "seq", "ts_ms", "side", "quantity", "best", "opposing"), Absorbing(window), PART, by, chunk=chunk)
+    of = lambda c: F.max(c).alias(c)
+    out = parts.groupBy(*by, "open_seq").agg(
+        of("close_seq"), of("buys"), of("open_ms"), of("reference"), F.max("opposing").alias("opposing_open"), F.max_by("last_ms", "last_seq").alias("last_ms"),
+        F.sum("n").alias("trade_count"), F.sum("volume").alias("volume"), of("high"), F.min("low").alias("low"),
+    )
+    moved = F.greatest(F.lit(0).cast("bigint"), F.col("high") - F.col("reference"), F.col("reference") - F.col("low"))
+    out = out.withColumns({"side": F.when(F.col("buys"), "BUY").otherwise("SELL"), "displacement": moved}).select(*by, *WINDOW)
+    return out if flush else out.where("close_seq is not null")
 
 
 ANSWER = "session_id string, symbol string, price long, open_seq long, replenished long, c_seq long, c_pos int, c_quantity long"

@@ -90,7 +90,7 @@ def snapshot_segments(events: DataFrame, interval: int = DEFAULT.snapshot_interv
     return scan(events.select(*KEYS, "seq", "ts_ms"), Boundaries(interval), "seq long, ts_ms long, fired boolean, segment long", chunk=chunk)
 
 
-def microstructure_snapshots(trades: DataFrame, levels: DataFrame, snapshots: DataFrame, counted: DataFrame, interval: int = DEFAULT.snapshot_interval, final: bool = True, cfg: Config = DEFAULT, breaks: DataFrame | None = None) -> DataFrame:
+def microstructure_snapshots(trades: DataFrame, levels: DataFrame, snapshots: DataFrame, counted: DataFrame, interval: int = DEFAULT.snapshot_interval, final: bool = True, cfg: Config = DEFAULT, breaks: DataFrame | None = None, segments: DataFrame | None = None, seeded: DataFrame | None = None) -> DataFrame:
     """One row per fired boundary, which counts the event that fires; final adds the closing row of a session.
 
     counted holds what else a snapshot counts: session_id, symbol, seq and any of liquidity_added,
@@ -98,9 +98,10 @@ def microstructure_snapshots(trades: DataFrame, levels: DataFrame, snapshots: Da
     anomalies; what isn't at a trade or update counts at the next one, or at the last. Each measure is
     a sum over the events of its segment; the book is the one that stands at the boundary, ready from a
     snapshot to the first of breaks (session_id, symbol, seq: the updates that don't follow) after it.
+    segments (snapshot_segments of all events) and seeded (book.with_seeds) are taken where they are there already.
     """
     stream = trades.select(*KEYS, "seq", "ts_ms").unionByName(levels.select(*KEYS, "seq", "ts_ms").distinct())
-    segments = snapshot_segments(stream, interval)
+    segments = snapshot_segments(stream, interval) if segments is None else segments
     flow = trades.select(*KEYS, "seq", "quantity", "side")
     sums = ["liquidity_added", "liquidity_removed", "large_trade_count", "sweep_count", "absorption_count", "replenishment_count", "anomalies"]
     counted = _at_events(counted, stream) if "anomalies" in counted.columns else counted
@@ -116,7 +117,7 @@ def microstructure_snapshots(trades: DataFrame, levels: DataFrame, snapshots: Da
     run = Window.partitionBy(*KEYS).orderBy("segment").rowsBetween(Window.unboundedPreceding, 0)
     per = per.withColumn("cvd", F.sum("delta").over(run))
     per = kept(per if final else per.where("fired"))  # read by the book, the epochs and the result
-    book = measures_at(levels, snapshots, per, cfg.depth).drop("epoch")
+    book = measures_at(levels, snapshots, per, cfg.depth, seeded).drop("epoch")
     per = _ready(book_epochs(per, snapshots), snapshots, breaks)
     return per.join(book, [*KEYS, "seq"], "left").withColumns({"book_crossed": F.coalesce("crossed", F.lit(False)), "bid_depth": F.coalesce("bid_depth", F.lit(0)), "ask_depth": F.coalesce("ask_depth", F.lit(0))}).drop("crossed")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeweave.config import SCALE
@@ -12,6 +12,10 @@ STEP = SCALE // 10
 RUNGS = 20
 
 
+def _quantity() -> Column:
+    return F.col("k") % 5 * SCALE
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return e.select(
@@ -40,33 +44,41 @@ def repeated_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trades(spark, sf_dir).withColumn("trade_id", F.when(F.col("trade_id") % 7 == 0, F.col("trade_id") - 14).otherwise(F.col("trade_id")))
 
 
-def levels(spark: SparkSession, sf_dir: str, crossing: bool = False) -> DataFrame:
-    """session_id, symbol, seq, pos, side, price, quantity, ts_ms, first_update_id, final_update_id, previous_final_update_id."""
-    e = _events(spark, sf_dir).where(F.col("event_type").isin("view", "error"))
+def _updates(e: DataFrame, crossing: bool, *more: Column) -> DataFrame:
+    """The book's columns of depth events, and more."""
     bid = F.col("event_id") % 2 == 0
     ask = 100_001 + F.col("v") % 20 - (F.when(F.col("event_id") % 50 == 1, 30).otherwise(0) if crossing else F.lit(0))
-    quantity = F.col("k") % 5 * SCALE
-    e = running(e, "before", F.col("event_id") * 10 + 9, "last", inclusive=False)
-    broken = (quantity == 0) & (F.col("event_id") % 7 == 0)
     return e.select(
         "session_id", "symbol", "seq", F.lit(0).alias("pos"), F.when(bid, "BID").otherwise("ASK").alias("side"),
-        (F.when(bid, 100_000 - F.col("v") % 20).otherwise(ask) * STEP).alias("price"), quantity.alias("quantity"), "ts_ms",
-        (F.col("event_id") * 10).alias("first_update_id"), (F.col("event_id") * 10 + 9).alias("final_update_id"),
-        F.when(broken, F.lit(-1)).otherwise(F.col("before")).alias("previous_final_update_id"),
+        (F.when(bid, 100_000 - F.col("v") % 20).otherwise(ask) * STEP).alias("price"), _quantity().alias("quantity"), "ts_ms",
+        (F.col("event_id") * 10).alias("first_update_id"), (F.col("event_id") * 10 + 9).alias("final_update_id"), *more,
     )
 
 
+def updates(spark: SparkSession, sf_dir: str, crossing: bool = False) -> DataFrame:
+    """levels without previous_final_update_id, which takes an ordering: for what reads only the book."""
+    return _updates(_events(spark, sf_dir).where(F.col("event_type").isin("view", "error")), crossing)
+
+
+def levels(spark: SparkSession, sf_dir: str, crossing: bool = False) -> DataFrame:
+    """session_id, symbol, seq, pos, side, price, quantity, ts_ms, first_update_id, final_update_id, previous_final_update_id."""
+    e = _events(spark, sf_dir).where(F.col("event_type").isin("view", "error"))
+    e = running(e, "before", F.col("event_id") * 10 + 9, "last", inclusive=False)
+    broken = (_quantity() == 0) & (F.col("event_id") % 7 == 0)
+    return _updates(e, crossing, F.when(broken, F.lit(-1)).otherwise(F.col("before")).alias("previous_final_update_id"))
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """After every 50th level event of a session: session_id, symbol, seq, last_update_id, ts_ms."""
-    numbered = running(levels(spark, sf_dir), "n", F.lit(1).cast("bigint"), "sum")
+    numbered = running(updates(spark, sf_dir), "n", F.lit(1).cast("bigint"), "sum")
     return numbered.where("n % 50 = 0").select("session_id", "symbol", (F.col("seq") + 1).alias("seq"), F.col("final_update_id").alias("last_update_id"), "ts_ms")
 
 
-def snapshot_levels(spark: SparkSession, sf_dir: str, crossing: bool = False) -> DataFrame:
-    """The ladder of each snapshot: RUNGS levels a side, bids first; crossing lifts the bids of some above the asks."""
+def snapshot_levels(spark: SparkSession, sf_dir: str, crossing: bool = False, heads: DataFrame | None = None) -> DataFrame:
+    """The ladder of each snapshot: RUNGS levels a side, bids first; crossing lifts the bids of some above the asks. heads are snapshots made before."""
     lift = F.when(F.col("seq") % 7 == 0, 5).otherwise(0) if crossing else F.lit(0)
     rung = F.explode(F.sequence(F.lit(0), F.lit(2 * RUNGS - 1))).alias("pos")
-    s = snapshots(spark, sf_dir).select("*", rung)
+    s = (snapshots(spark, sf_dir) if heads is None else heads).select("*", rung)
     i = (F.col("pos") % RUNGS).cast("bigint")
     bid = F.col("pos") < RUNGS
     return s.select(

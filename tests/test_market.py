@@ -47,6 +47,56 @@ def test_book_at_points_is_folded_in_chunks_to_what_stands(spark):
         assert ordered(book.top_at(updates, ladders, points, 2, chunk)) == ordered(book.top_n(standing, 2))
 
 
+def test_trades_meet_the_book_in_chunks_as_in_joins(spark):
+    rng, rows, shots, tape = random.Random(7), [], [], []
+    for seq in range(1, 240):
+        if seq % 37 == 0 or 150 < seq < 160:  # snapshots without updates between them
+            shots += [(seq, i, side, 100 + (i + 1) * (1 if side == "ASK" else -1), 0 if seq % 74 == 0 else rng.randrange(0, 3), seq) for side in ("BID", "ASK") for i in range(4)]
+        elif seq > 20 and seq % 5 == 0 and not 100 < seq < 130:
+            rows += [(seq, pos, rng.choice(["BID", "ASK"]), 100 + rng.randrange(-6, 7), rng.randrange(0, 4), seq) for pos in range(2)]
+        else:
+            tape.append((seq, seq, 100 + rng.randrange(3), 1, rng.choice(["BUY", "SELL"]), seq))
+    updates, ladders, t = levels(spark, rows), levels(spark, shots), trades(spark, tape)
+    line, depth = book.top_of_book_timeline(updates, ladders), book.summary_at(updates, ladders, t, 3).select("session_id", "symbol", "seq", "bid_depth", "ask_depth")
+    names = ["session_id", "symbol", "seq", "price", "quantity", "side", "ts_ms", "best_bid", "best_ask", "bid_depth", "ask_depth"]
+    ordered = lambda df: sorted((tuple(r) for r in df.select(*names, F.coalesce("crossed", F.lit(False))).collect()), key=repr)
+    want = ordered(book.trade_with_book(t, line).join(depth, ["session_id", "symbol", "seq"], "left"))
+    assert len({r[2] for r in want}) == len(tape)
+    for chunk in (7, 50, 1000):
+        assert ordered(book.traded_book(t, book.with_seeds(updates, ladders).localCheckpoint(), ladders, 3, chunk)) == want
+
+
+def folded_windows(rows, window):
+    """rows (seq, ms, side, quantity, best, opposing) of one price, one after the other."""
+    out, held = [], None
+    for seq, ms, side, quantity, best, opposing in rows:
+        moved = 0 if held is None else (best - held["reference"]) * (1 if side == "BUY" else -1)
+        if held is None:
+            held = {"side": side, "open_seq": seq, "close_seq": None, "open_ms": ms, "last_ms": ms, "reference": best, "trade_count": 1, "volume": quantity, "displacement": 0, "opposing_open": opposing}
+        elif ms - held["open_ms"] > window:
+            out.append({**held, "close_seq": seq})
+            held = None
+        else:
+            held |= {"last_ms": ms, "trade_count": held["trade_count"] + 1, "volume": held["volume"] + quantity, "displacement": max(held["displacement"], moved)}
+    return [tuple(x.values()) for x in [*out, *([held] if held else [])]]
+
+
+@pytest.mark.parametrize("back", [0, 18])
+def test_absorption_windows_pass_from_chunk_to_chunk(spark, back):
+    rng, ms, made = random.Random(back), 0, {1: [], 2: []}
+    for seq in range(1, 300):
+        ms += rng.choice([1, 2, 3, 40]) - (rng.randrange(back) if back else 0)
+        made[rng.choice([1, 1, 2])].append((seq, ms, rng.choice(["BUY", "SELL"]), rng.randrange(1, 5), 100 + rng.randrange(-5, 6), rng.randrange(9)))
+    both = [("S", "X", p, *r[:5], r[4], False, r[5], r[5]) for p, rows in made.items() for r in rows]
+    tape = spark.createDataFrame(both, "session_id string, symbol string, price long, seq long, ts_ms long, side string, quantity long, best_bid long, best_ask long, crossed boolean, bid_depth long, ask_depth long")
+    want = sorted(((p, *x) for p, rows in made.items() for x in folded_windows(rows, 20)), key=repr)
+    assert sum(x[3] is not None for x in want) > 9
+    for chunk in (3, 25, 1000):
+        for flush in (True, False):
+            got = signals.absorption_windows(tape, 20, flush, chunk).select("price", *signals.WINDOW).collect()
+            assert sorted(map(tuple, got), key=repr) == [x for x in want if flush or x[3] is not None]
+
+
 def test_book_measures(spark):
     at = spark.createDataFrame([("S", "X", 5)], "session_id string, symbol string, seq long")
     r = book.book_measures(book.book_asof(levels(spark, []), seed_book(spark), at)).first()
