@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -23,19 +25,19 @@ def next_after(ms: np.ndarray, gap: int) -> np.ndarray:
     n = len(ms)
     if (np.diff(ms) >= 0).all():
         return np.searchsorted(ms, ms + gap)
-    out = np.full(n, n)
+    out = [n] * n
     later: list[int] = []  # events to the right that rise above all in between, the nearest last
-    for i in range(n - 1, -1, -1):
-        a, b = 0, len(later)
-        while a < b:  # times fall from first to last
-            mid = (a + b) // 2
-            a, b = (mid + 1, b) if ms[later[mid]] >= ms[i] + gap else (a, mid)
+    turned: list[int] = []  # their times with the sign turned, which rise
+    for i, x in zip(range(n - 1, -1, -1), (-ms[::-1]).tolist(), strict=True):
+        a = bisect_right(turned, x - gap)
         if a:
             out[i] = later[a - 1]
-        while later and ms[later[-1]] <= ms[i]:
+        while turned and turned[-1] >= x:
+            turned.pop()
             later.pop()
+        turned.append(x)
         later.append(i)
-    return out
+    return np.array(out, np.int64)
 
 
 class Boundaries:
