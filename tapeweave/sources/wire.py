@@ -1,4 +1,7 @@
-"""Exchange messages as JSON text to typed rows, and back. Keys differ by case alone, so each is read by its path."""
+"""Exchange messages as JSON text to typed rows, and back. Keys differ by case alone, so they are read by their exact names.
+
+A payload is parsed once, by a generator: what is a plain expression is evaluated again in each filter that is pushed below it.
+"""
 
 from __future__ import annotations
 
@@ -10,48 +13,48 @@ from tapeweave.functions.ticks import aggressor_side, is_marker, to_ticks
 LEVELS = "array<array<string>>"
 
 
-def _number(path: str) -> Column:
-    return F.get_json_object("raw_payload", path).try_cast("bigint")
+def _fields(raw: DataFrame, **keys: str) -> DataFrame:
+    """raw with the payload's values under these keys as text; all null where it isn't an object."""
+    return raw.select("*", F.json_tuple("raw_payload", *keys.values()).alias(*keys))
+
 
+def _number(name: str) -> Column:
+    return F.col(name).try_cast("bigint")
 
-def _text(path: str) -> Column:
-    return F.get_json_object("raw_payload", path)
+
+def _sides(rows: DataFrame, bids: Column, asks: Column) -> DataFrame:
+    """rows with bids and asks as text pairs; null where they aren't arrays of arrays."""
+    rest = [c for c in rows.columns if c not in ("bids", "asks")]
+    return rows.select(*rest, F.inline(F.array(F.struct(F.from_json(bids, LEVELS).alias("bids"), F.from_json(asks, LEVELS).alias("asks")))))
 
 
 def parse_depth(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(messages, rejects) of depth rows: event_ms, transaction_ms, first, final and previous ids, bids and asks as text pairs."""
-    rows = raw.withColumns(
-        {
-            "event_ms": _number("$.E"), "transaction_ms": _number("$.T"), "message_symbol": _text("$.s"), "first_update_id": _number("$.U"), "final_update_id": _number("$.u"),
-            "previous_final_update_id": _number("$.pu"), "bids": F.from_json(_text("$.b"), LEVELS), "asks": F.from_json(_text("$.a"), LEVELS),
-        }
-    )
+    rows = _fields(raw, event_ms="E", transaction_ms="T", message_symbol="s", first_update_id="U", final_update_id="u", previous_final_update_id="pu", bids="b", asks="a")
+    rows = rows.withColumns({c: _number(c) for c in ("event_ms", "transaction_ms", "first_update_id", "final_update_id", "previous_final_update_id")})
+    rows = _sides(rows, F.col("bids"), F.col("asks"))
     good = F.col("event_ms").isNotNull() & F.col("first_update_id").isNotNull() & F.col("final_update_id").isNotNull() & F.col("bids").isNotNull() & F.col("asks").isNotNull()
     return rows.where(good), rows.where(~good).select(raw.columns)
 
 
 def parse_trade(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(messages, rejects) of trade rows: event_ms, trade_ms, trade_id, price and quantity as text, order_type, buyer_is_maker."""
-    rows = raw.withColumns(
-        {
-            "event_ms": _number("$.E"), "trade_ms": _number("$.T"), "message_symbol": _text("$.s"), "trade_id": _number("$.t"), "price_text": _text("$.p"), "quantity_text": _text("$.q"),
-            "order_type": _text("$.X"), "buyer_is_maker": _text("$.m").try_cast("boolean"), "trade_type": F.coalesce(_number("$.st"), F.lit(0)),
-        }
-    )
+    rows = _fields(raw, event_ms="E", trade_ms="T", message_symbol="s", trade_id="t", price_text="p", quantity_text="q", order_type="X", buyer_is_maker="m", trade_type="st")
+    rows = rows.withColumns({c: _number(c) for c in ("event_ms", "trade_ms", "trade_id")} | {"buyer_is_maker": F.col("buyer_is_maker").try_cast("boolean"), "trade_type": F.coalesce(_number("trade_type"), F.lit(0))})
     good = F.col("trade_ms").isNotNull() & F.col("trade_id").isNotNull() & F.col("price_text").isNotNull() & F.col("quantity_text").isNotNull() & F.col("buyer_is_maker").isNotNull()
     return rows.where(good), rows.where(~good).select(raw.columns)
 
 
 def parse_snapshot(raw: DataFrame) -> DataFrame:
     """Snapshot documents: last_update_id, bids and asks as text pairs; rows that aren't one are left out."""
-    rows = raw.withColumns({"last_update_id": _number("$.lastUpdateId"), "bids": F.from_json(_text("$.bids"), LEVELS), "asks": F.from_json(_text("$.asks"), LEVELS)})
-    return rows.where(F.col("last_update_id").isNotNull())
+    rows = _fields(raw, last_update_id="lastUpdateId", bids="bids", asks="asks").withColumn("last_update_id", _number("last_update_id"))
+    return _sides(rows.where(F.col("last_update_id").isNotNull()), F.col("bids"), F.col("asks"))
 
 
 def parse_book(raw: DataFrame) -> DataFrame:
     """Depth updates and snapshot documents alike: raw rows with bids and asks as text pairs; rows that are neither are left out."""
-    side = lambda update, document: F.from_json(F.coalesce(_text(update), _text(document)), LEVELS)
-    return raw.withColumns({"bids": side("$.b", "$.bids"), "asks": side("$.a", "$.asks")}).where("bids is not null and asks is not null")
+    rows = _fields(raw, b="b", a="a", bids="bids", asks="asks")
+    return _sides(rows, F.coalesce("b", "bids"), F.coalesce("a", "asks")).drop("b", "a").where("bids is not null and asks is not null")
 
 
 def explode_levels(messages: DataFrame) -> DataFrame:

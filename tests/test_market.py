@@ -525,6 +525,50 @@ def test_wire_messages(spark):
     assert rows(wire.parse_snapshot(doc), "last_update_id") == [(160,)]
 
 
+def test_odd_payloads(spark):
+    depth = '{"E":5,"U":1,"u":2,"b":[["1","2"]],"a":[]}'
+    odd = [depth, depth[:-1], depth.replace("5", '"5"'), depth.replace("5", "5.5"), depth.replace('"U"', '"X"'), depth.replace("[]", "null"), depth.replace("[]", "7"), depth.replace('["1","2"]', "3"), f"[{depth}]", "7", "", None]
+    raw = spark.createDataFrame([("S", i, "X", "depth", 5, p) for i, p in enumerate(odd)], "session_id string, seq long, symbol string, stream_type string, exchange_event_ms long, raw_payload string")
+    good, bad = wire.parse_depth(raw)
+    assert rows(good, "seq", "event_ms", "previous_final_update_id") == [(0, 5, None), (2, 5, None)] and sorted(rows(bad, "seq")) == [(1,), *((i,) for i in range(3, len(odd)))]
+    assert good.columns == [*raw.columns, "event_ms", "transaction_ms", "message_symbol", "first_update_id", "final_update_id", "previous_final_update_id", "bids", "asks"] and bad.columns == raw.columns
+    assert sorted(rows(wire.parse_book(raw), "seq")) == [(0,), (2,), (3,), (4,)] and wire.parse_book(raw).columns == [*raw.columns, "bids", "asks"]
+    trade = '{"T":4,"t":7,"p":"a\\"b\\u00e9","q":1.5,"m":false}'
+    odd = [trade, trade[:-1], trade.replace("false", "0.5"), trade.replace("7", "null"), trade.replace("1.5", "null"), trade.replace('"t"', '"T"')]
+    good, bad = wire.parse_trade(spark.createDataFrame([("S", i, "X", "trade", 5, p) for i, p in enumerate(odd)], raw.schema))
+    assert rows(good, "seq", "trade_id", "price_text", "quantity_text", "order_type", "buyer_is_maker", "trade_type") == [(0, 7, 'a"b\u00e9', "1.5", None, False, 0)]
+    assert sorted(rows(bad, "seq")) == [(i,) for i in range(1, len(odd))]
+
+
+def test_a_payload_is_parsed_once(spark):
+    raw = spark.createDataFrame([("S", 1, "X", "depth", 5, "{}")], "session_id string, seq long, symbol string, stream_type string, exchange_event_ms long, raw_payload string")
+    made = [wire.explode_levels(wire.parse_depth(raw)[0]), wire.normalize_trades(wire.parse_trade(raw)[0]).where("status = 'ok'"), wire.explode_levels(wire.parse_book(raw)), wire.parse_snapshot(raw)]
+    for df in made:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("get_json_object") + plan.count("json_tuple") == 1 and plan.count("from_json") <= 2
+
+
+def test_replayed_rows_are_made_once_and_files_grow_with_them(spark, tmp_path):
+    from tapeweave.streaming import streams
+
+    made = spark.sparkContext.accumulator(0)
+
+    def count(v):
+        made.add(len(v))
+        return v
+
+    seen = F.pandas_udf(count, "long")
+    source = spark.range(90, numPartitions=3).select(F.col("id").alias("seq"), seen("id").alias("v"))
+    stream = streams.replayed(spark, source, f"{tmp_path}/in", files=2, most=7)
+    assert made.value == 90
+    got = []
+    query = stream.writeStream.foreachBatch(lambda b, n: got.append((n, sorted(r.seq for r in b.collect())))).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    # 30 rows a batch are dealt in 5 files of about 7
+    assert got == [(i, list(range(30 * i, 30 * i + 30))) for i in range(3)] and len(list((tmp_path / "in").glob("*.parquet"))) == 15
+    assert made.value == 90
+
+
 def test_snapshot_text_skips_bad_pairs(spark):
     df = spark.createDataFrame([("S", "[[1,2],[3],[4,5,6]]", "[]"), ("T", None, "nope")], "session_id string, bids string, asks string")
     assert rows(wire.decode_snapshot(df), "session_id", "side", "price", "quantity") == [("S", "BID", 1, 2)]
