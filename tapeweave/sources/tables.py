@@ -35,11 +35,11 @@ def write(rows: DataFrame, root: str, table: str, mode: str = "append", below: s
 
 
 def read(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """A stored table; a session or symbol of digits stays text."""
+    """A stored table; a session or symbol of digits stays text. Its folders are listed again only for that."""
     path = f"{root}/{table}"
-    found = spark.read.parquet(path).schema
-    texts = T.StructType([T.StructField(f.name, T.StringType() if f.name in ("symbol", "session_id") else f.dataType) for f in found])
-    return spark.read.schema(texts).parquet(path)
+    found = spark.read.parquet(path)
+    texts = T.StructType([T.StructField(f.name, T.StringType() if f.name in ("symbol", "session_id") else f.dataType) for f in found.schema])
+    return found if found.schema == texts else spark.read.schema(texts).parquet(path)
 
 
 def read_session(spark: SparkSession, root: str, table: str, session_id: str) -> DataFrame:

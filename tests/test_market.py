@@ -7,6 +7,7 @@ from bisect import bisect_left
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import DataFrameReader
 from pyspark.sql import functions as F
 
 from tapeweave.config import DEFAULT, SCALE, Config
@@ -593,6 +594,18 @@ def test_tables_round_trip(spark, tmp_path):
     assert tables.storage_size(spark, str(tmp_path)).first().files > 0
 
 
+def test_folders_are_listed_again_only_for_digits(spark, tmp_path, monkeypatch):
+    schemas = []
+    monkeypatch.setattr(DataFrameReader, "schema", lambda self, s, given=DataFrameReader.schema: schemas.append(s) or given(self, s))
+    made = trades(spark, [(i, 1.0, 1, "BUY", 0) for i in range(4)])
+    for n, (sessions, again) in enumerate([(("S", "T"), 0), (("S", "007"), 0), (("007", "08"), 1)]):
+        for s in sessions:
+            tables.write(made.withColumn("session_id", F.lit(s)), f"{tmp_path}/{n}", tables.TRADES)
+        schemas.clear()
+        got = tables.read(spark, f"{tmp_path}/{n}", tables.TRADES)
+        assert len(schemas) == again and sorted(r.session_id for r in got.collect()) == sorted([*sessions] * 4)
+
+
 def test_nearest_cell_takes_the_lower_of_a_tie(spark):
     cells = spark.createDataFrame([("S", "X", p) for p in (100, 200, 10_000)], "session_id string, symbol string, price long")
     probes = spark.createDataFrame([("S", "X", 1, 150), ("S", "X", 2, 190), ("S", "X", 3, 5000), ("S", "X", 4, 9999)], "session_id string, symbol string, probe_id long, target long")
